@@ -29,7 +29,7 @@ FROM f WHERE target IS NOT NULL
 """
 
 
-@query("price_features", FLAGSHIP_SQL)
+@query("price_features", FLAGSHIP_SQL, as_text=("d",))
 def price_features(spark, sf):
     cfg = FeatureConfig(lags=(7,), rolling_windows=(7,))
     g = ft.Grid()
@@ -49,7 +49,7 @@ def price_features(spark, sf):
 
 @query("win1_lags", f"""
 WITH {PD_SQL} SELECT asset_id, d, {', '.join(f'lag(price, {k}) OVER w AS price_lag_{k}' for k in (5, 7, 14, 30))}
-FROM pd {W}""")
+FROM pd {W}""", as_text=("d",))
 def win1(spark, sf):
     return ft.add_lags(pd(spark, sf)).drop("price", "seq")
 
@@ -64,7 +64,7 @@ _ROLL = ", ".join(
 )
 
 
-@query("win2_rolling_stats", f"WITH {PD_SQL} SELECT asset_id, d, {_ROLL} FROM pd")
+@query("win2_rolling_stats", f"WITH {PD_SQL} SELECT asset_id, d, {_ROLL} FROM pd", as_text=("d",))
 def win2(spark, sf):
     out = ft.add_rolling(pd(spark, sf), ALL_STATS)
     out = out.drop("price", "seq", *[f"price_position_{k}" for k in ALL_STATS.rolling_windows])
@@ -83,7 +83,7 @@ _POS = ", ".join(
 )
 
 
-@query("win3_price_position", f"WITH {PD_SQL} SELECT asset_id, d, {_POS} FROM pd")
+@query("win3_price_position", f"WITH {PD_SQL} SELECT asset_id, d, {_POS} FROM pd", as_text=("d",))
 def win3(spark, sf):
     cfg = FeatureConfig(rolling_stats=("min", "max"))
     cols = [f"price_position_{k}" for k in cfg.rolling_windows]
@@ -96,7 +96,7 @@ _CHG = ", ".join(
 )
 
 
-@query("win4_price_changes", f"WITH {PD_SQL} SELECT asset_id, d, {_CHG} FROM pd {W}")
+@query("win4_price_changes", f"WITH {PD_SQL} SELECT asset_id, d, {_CHG} FROM pd {W}", as_text=("d",))
 def win4(spark, sf):
     out = ft.add_momentum(pd(spark, sf))
     for k in (5, 7, 14, 30):
@@ -111,7 +111,7 @@ _MOM = ", ".join(
 )
 
 
-@query("win5_momentum_roc", f"WITH {PD_SQL} SELECT asset_id, d, {_MOM} FROM pd {W}")
+@query("win5_momentum_roc", f"WITH {PD_SQL} SELECT asset_id, d, {_MOM} FROM pd {W}", as_text=("d",))
 def win5(spark, sf):
     cols = [f"{n}_{k}" for k in C.MOMENTUM_WINDOWS for n in ("momentum", "roc")]
     return rounded(ft.add_momentum(pd(spark, sf)).select("asset_id", "d", *cols), 8, *cols)
@@ -126,7 +126,7 @@ def _vol(k: int) -> str:
 
 @query("win6_volatility", f"""
 WITH {PD_SQL}, {_RET}
-SELECT asset_id, d, {', '.join(f'round({_vol(k)} * sqrt(252), 6) AS volatility_{k}' for k in (5, 10, 20, 30))} FROM ret""")
+SELECT asset_id, d, {', '.join(f'round({_vol(k)} * sqrt(252), 6) AS volatility_{k}' for k in (5, 10, 20, 30))} FROM ret""", as_text=("d",))
 def win6(spark, sf):
     cols = [f"volatility_{k}" for k in C.VOLATILITY_WINDOWS]
     return rounded(ft.add_volatility(pd(spark, sf)).select("asset_id", "d", *cols), 6, *cols)
@@ -134,7 +134,7 @@ def win6(spark, sf):
 
 @query("win7_volatility_ratio", f"""
 WITH {PD_SQL}, {_RET}
-SELECT asset_id, d, {', '.join(f'round(({_vol(k // 2)}) / nullif({_vol(k)}, 0), 6) AS volatility_ratio_{k}' for k in (5, 10, 20, 30))} FROM ret""")
+SELECT asset_id, d, {', '.join(f'round(({_vol(k // 2)}) / nullif({_vol(k)}, 0), 6) AS volatility_ratio_{k}' for k in (5, 10, 20, 30))} FROM ret""", as_text=("d",))
 def win7(spark, sf):
     cols = [f"volatility_ratio_{k}" for k in C.VOLATILITY_WINDOWS]
     return rounded(ft.add_volatility(pd(spark, sf)).select("asset_id", "d", *cols), 6, *cols)
@@ -146,7 +146,7 @@ _SMA = ", ".join(
 )
 
 
-@query("win8_simple_means", f"WITH {PD_SQL} SELECT asset_id, d, {_SMA} FROM pd")
+@query("win8_simple_means", f"WITH {PD_SQL} SELECT asset_id, d, {_SMA} FROM pd", as_text=("d",))
 def win8(spark, sf):
     out = ft.apply_stages(pd(spark, sf), [ft.sma_stage(ft.Grid())])
     return out.select(
@@ -169,7 +169,7 @@ def _ema_sql(s: int) -> str:
 WITH {PD_SQL}, rn AS (SELECT asset_id, d, price, row_number() OVER w AS rn FROM pd {W}),
 {_ema_sql(5)}, {_ema_sql(10)}, {_ema_sql(20)}
 SELECT asset_id, d, {', '.join(f'{snap_sql(f"e{s}.ema")} AS ema_{s}, round(price / nullif(e{s}.ema, 0), 8) AS price_over_ema_{s}' for s in (5, 10, 20))}
-FROM rn JOIN e5 USING (asset_id, d) JOIN e10 USING (asset_id, d) JOIN e20 USING (asset_id, d)""")
+FROM rn JOIN e5 USING (asset_id, d) JOIN e10 USING (asset_id, d) JOIN e20 USING (asset_id, d)""", as_text=("d",))
 def win9(spark, sf):
     out = ft.add_ema(pd(spark, sf))
     return out.select(
@@ -188,7 +188,7 @@ _BBM = ", ".join(f"{full('avg(price)', k)} AS m{k}, {full('stddev_samp(price)',
 
 
 @query("win10_bollinger", f"""
-WITH {PD_SQL}, m AS (SELECT asset_id, d, price, {_BBM} FROM pd) SELECT asset_id, d, {_BB} FROM m""")
+WITH {PD_SQL}, m AS (SELECT asset_id, d, price, {_BBM} FROM pd) SELECT asset_id, d, {_BB} FROM m""", as_text=("d",))
 def win10(spark, sf):
     out = ft.apply_stages(pd(spark, sf), [ft.bollinger_stage(ft.Grid())])
     return out.select("asset_id", "d", *[
@@ -203,7 +203,7 @@ gl AS (SELECT asset_id, d, greatest(coalesce(dp, 0), 0) AS g, greatest(coalesce(
 av AS (SELECT asset_id, d, count(*) OVER {frame(14)} AS n, avg(g) OVER {frame(14)} AS g, avg(l) OVER {frame(14)} AS l,
        max(l) OVER {frame(14)} AS lmax, max(g) OVER {frame(14)} AS gmax FROM gl)
 SELECT asset_id, d, round(CASE WHEN n < 14 THEN NULL WHEN lmax = 0 AND gmax = 0 THEN NULL WHEN lmax = 0 THEN 100.0
-       ELSE 100 - 100 / (1 + g / l) END, 6) AS rsi FROM av""")
+       ELSE 100 - 100 / (1 + g / l) END, 6) AS rsi FROM av""", as_text=("d",))
 def win11(spark, sf):
     out = ft.apply_stages(pd(spark, sf), [ft.rsi_stage(ft.Grid())])
     return rounded(out.select("asset_id", "d", "rsi"), 6, "rsi")
@@ -211,7 +211,7 @@ def win11(spark, sf):
 
 @query("win12_stability_volatility", f"""
 WITH {PD_SQL}, {_RET}
-SELECT asset_id, d, {', '.join(f'round({_vol(k)} * sqrt(252), 6) AS luxury_vol_{k}' for k in (3, 5, 10))} FROM ret""")
+SELECT asset_id, d, {', '.join(f'round({_vol(k)} * sqrt(252), 6) AS luxury_vol_{k}' for k in (3, 5, 10))} FROM ret""", as_text=("d",))
 def win12(spark, sf):
     cols = [f"luxury_vol_{k}" for k in C.STABILITY_WINDOWS]
     out = ft.apply_stages(pd(spark, sf), [ft.stability_stage(ft.Grid())])
@@ -219,26 +219,26 @@ def win12(spark, sf):
 
 
 @query("win13_premium_over_low", f"""
-WITH {PD_SQL} SELECT asset_id, d, round((price - {full('min(price)', 30)}) / nullif({full('min(price)', 30)}, 0), 7) AS price_premium_30d FROM pd""")
+WITH {PD_SQL} SELECT asset_id, d, round((price - {full('min(price)', 30)}) / nullif({full('min(price)', 30)}, 0), 7) AS price_premium_30d FROM pd""", as_text=("d",))
 def win13(spark, sf):
     out = ft.apply_stages(pd(spark, sf), [ft.stability_stage(ft.Grid())])
     return rounded(out.select("asset_id", "d", "price_premium_30d"), 7, "price_premium_30d")
 
 
-@query("win14_target", f"WITH {PD_SQL} SELECT asset_id, d, lead(price, 1) OVER w AS target FROM pd {W}")
+@query("win14_target", f"WITH {PD_SQL} SELECT asset_id, d, lead(price, 1) OVER w AS target FROM pd {W}", as_text=("d",))
 def win14(spark, sf):
     return ft.add_target(pd(spark, sf)).select("asset_id", "d", "target")
 
 
 @query("win15_target_pct_change", f"""
-WITH {PD_SQL} SELECT asset_id, d, round(price / nullif(lag(price, 1) OVER w, 0) - 1, 8) AS target_pct_change FROM pd {W}""")
+WITH {PD_SQL} SELECT asset_id, d, round(price / nullif(lag(price, 1) OVER w, 0) - 1, 8) AS target_pct_change FROM pd {W}""", as_text=("d",))
 def win15(spark, sf):
     return rounded(ft.add_target(pd(spark, sf)).select("asset_id", "d", "target_pct_change"), 8, "target_pct_change")
 
 
 @query("win16_horizon_target", f"""
 WITH {PD_SQL}, h AS (SELECT asset_id, d, price, lead(price, 7) OVER w AS t FROM pd {W})
-SELECT asset_id, d, price, t AS target_h7 FROM h WHERE t IS NOT NULL""")
+SELECT asset_id, d, price, t AS target_h7 FROM h WHERE t IS NOT NULL""", as_text=("d",))
 def win16(spark, sf):
     return ft.horizon_dataset(pd(spark, sf), 7).drop("seq")
 
@@ -248,7 +248,7 @@ WITH {PD_SQL}, h AS (SELECT asset_id, d, lead(price, 1) OVER w AS t FROM pd {W})
 n AS (SELECT asset_id, d, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY asset_id) AS n FROM h WHERE t IS NOT NULL {W})
 SELECT asset_id, d, CASE WHEN i < floor(n * {1 - 0.2 - 0.1!r}::DOUBLE) THEN 'train'
   WHEN i < floor(n * {1 - 0.2!r}::DOUBLE) THEN 'val' ELSE 'test' END AS split
-FROM n WHERE n >= 20 AND floor(n * {1 - 0.2 - 0.1!r}::DOUBLE) > 0 AND floor(n * {1 - 0.2!r}::DOUBLE) > floor(n * {1 - 0.2 - 0.1!r}::DOUBLE)""")
+FROM n WHERE n >= 20 AND floor(n * {1 - 0.2 - 0.1!r}::DOUBLE) > 0 AND floor(n * {1 - 0.2!r}::DOUBLE) > floor(n * {1 - 0.2 - 0.1!r}::DOUBLE)""", as_text=("d",))
 def win17(spark, sf):
     rows = ft.horizon_dataset(ft.add_target(pd(spark, sf)), 1)
     return splits.temporal_split(rows, SplitConfig()).select("asset_id", "d", "split")
@@ -256,7 +256,7 @@ def win17(spark, sf):
 
 @query("win19_last_180_rows", f"""
 WITH {PD_SQL} SELECT asset_id, d, price FROM pd
-QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY d DESC) <= 180""")
+QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY d DESC) <= 180""", as_text=("d",))
 def win19(spark, sf):
     return splits.last_rows(pd(spark, sf).drop("seq"), 180)
 
@@ -266,7 +266,7 @@ WITH {PD_SQL}, s AS (
   SELECT asset_id, d, price, list(price) OVER (PARTITION BY asset_id ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS x FROM pd)
 SELECT asset_id, d, CAST(len(x) AS INTEGER) AS steps, x[1] AS oldest, x[30] AS newest,
        x[10] - x[20] AS middle_gap, price AS label
-FROM s WHERE len(x) = 30""")
+FROM s WHERE len(x) = 30""", as_text=("d",))
 def win25(spark, sf):
     out = ft.sequences(pd(spark, sf), 30)
     x = F.col("window")
@@ -281,7 +281,7 @@ def win25(spark, sf):
 
 @query("dat1_calendar_parts", f"""
 WITH {PD_SQL} SELECT asset_id, d, CAST(isodow(d) - 1 AS INTEGER) AS day_of_week, CAST(month(d) AS INTEGER) AS month,
-  CAST(quarter(d) AS INTEGER) AS quarter, CAST(day(d) AS INTEGER) AS day_of_month, CAST(year(d) AS INTEGER) AS year FROM pd""")
+  CAST(quarter(d) AS INTEGER) AS quarter, CAST(day(d) AS INTEGER) AS day_of_month, CAST(year(d) AS INTEGER) AS year FROM pd""", as_text=("d",))
 def dat1(spark, sf):
     cols = dates.calendar_columns(F.col("d"), ("day_of_week", "month", "quarter", "day_of_month", "year"))
     out = pd(spark, sf).select("asset_id", "d").withColumns(cols)
@@ -291,7 +291,7 @@ def dat1(spark, sf):
 @query("dat2_cyclic_encoding", f"""
 WITH {PD_SQL} SELECT asset_id, d, round(sin(2 * pi() * (isodow(d) - 1) / 7), 9) + 0 AS day_of_week_sin,
   round(cos(2 * pi() * (isodow(d) - 1) / 7), 9) + 0 AS day_of_week_cos,
-  round(sin(2 * pi() * month(d) / 12), 9) + 0 AS month_sin, round(cos(2 * pi() * month(d) / 12), 9) + 0 AS month_cos FROM pd""")
+  round(sin(2 * pi() * month(d) / 12), 9) + 0 AS month_sin, round(cos(2 * pi() * month(d) / 12), 9) + 0 AS month_cos FROM pd""", as_text=("d",))
 def dat2(spark, sf):
     cols = dates.calendar_columns(F.col("d"), ("day_of_week", "month"))
     names = ["day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos"]
@@ -302,7 +302,7 @@ def dat2(spark, sf):
 @query("dat3_calendar_flags", f"""
 WITH {PD_SQL} SELECT asset_id, d, isodow(d) >= 6 AS is_weekend, day(d) = 1 AS is_month_start,
   d = last_day(d) AS is_month_end, d = CAST(date_trunc('quarter', d) AS DATE) AS is_quarter_start,
-  d + 1 = CAST(date_trunc('quarter', d + 1) AS DATE) AS is_quarter_end FROM pd""")
+  d + 1 = CAST(date_trunc('quarter', d + 1) AS DATE) AS is_quarter_end FROM pd""", as_text=("d",))
 def dat3(spark, sf):
     names = ("is_weekend", "is_month_start", "is_month_end", "is_quarter_start", "is_quarter_end")
     out = pd(spark, sf).select("asset_id", "d").withColumns(dates.calendar_columns(F.col("d"), names))
@@ -311,7 +311,7 @@ def dat3(spark, sf):
 
 @query("dat4_seasons", f"""
 WITH {PD_SQL} SELECT asset_id, d, month(d) IN (11, 12, 1) AS is_holiday_season,
-  month(d) IN (3, 4) AS is_watch_fair_season FROM pd""")
+  month(d) IN (3, 4) AS is_watch_fair_season FROM pd""", as_text=("d",))
 def dat4(spark, sf):
     return pd(spark, sf).select("asset_id", "d").withColumns(dates.season_columns(F.col("d")))
 
@@ -329,7 +329,7 @@ def mth1(spark, sf):
 
 @query("mth2_tier_one_hots", f"""
 WITH {PD_SQL}, m AS (SELECT asset_id, d, avg(price) OVER (PARTITION BY asset_id) AS m FROM pd)
-SELECT asset_id, d, {', '.join(f"CAST({_TIER.format(x='m')} = '{t}' AS INTEGER) AS tier_{t}" for t in ('entry', 'mid', 'high', 'ultra'))} FROM m""")
+SELECT asset_id, d, {', '.join(f"CAST({_TIER.format(x='m')} = '{t}' AS INTEGER) AS tier_{t}" for t in ('entry', 'mid', 'high', 'ultra'))} FROM m""", as_text=("d",))
 def mth2(spark, sf):
     out = ft.apply_stages(pd(spark, sf), [ft.tier_stage(ft.Grid(), C.TIERS)])
     return out.drop("price", "seq")

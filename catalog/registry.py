@@ -15,17 +15,23 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(
+    name: str, sql: str | None = None, as_text: tuple[str, ...] = ()
+) -> Callable[[Query], Query]:
+    """Register a query and its SQL. Both sides return ``as_text`` dates and times as text."""
+
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(apply_settings(spark), sf_dir)
+            df = fn(apply_settings(spark), sf_dir)
+            return df.withColumns({c: F.col(c).cast("string") for c in as_text}) if as_text else df
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql.strip()
+            texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in as_text)
+            ORACLES[name] = f"SELECT * REPLACE ({texts}) FROM ({sql.strip()})" if as_text else sql.strip()
         return fn
 
     return add

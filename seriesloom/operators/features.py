@@ -1,9 +1,21 @@
 """Feature families over a regular grid (one row per asset and day).
 
 All families share one window, (asset, day), so however many are combined the
-plan holds one exchange. A family is a ``Stage``: ``base`` columns are plain
-window results that later frames read, ``out`` columns are the features. Names
-in ``base`` start with an underscore and are dropped at the end.
+plan holds one exchange. Short rolling statistics are not sliding frames, which
+revisit every row of every frame: the window only fetches lagged prices, and
+means, deviations, extremes and medians are compiled arithmetic over those
+columns. Frames longer than ``UNROLL`` rows fall back to window aggregates.
+
+A ``Stage`` describes a family in layers, each reading the ones before:
+
+``windows``  lagged prices and whole-series or long-frame aggregates
+``items``    per-row values of a lagged series (returns, up and down moves)
+``means``    averages of items
+``spreads``  deviations, extremes and medians
+``out``      the features
+
+Columns of equal name are computed once, however many families use them. All
+but ``out`` start with an underscore and are dropped at the end.
 """
 
 from __future__ import annotations
@@ -19,11 +31,12 @@ from seriesloom import config as C
 from seriesloom.config import FeatureConfig
 from seriesloom.functions import dates, labels
 
-
-@dataclass
-class Stage:
-    base: dict[str, Column] = field(default_factory=dict)
-    out: dict[str, Column] = field(default_factory=dict)
+UNROLL = 64
+LAYERS = ("windows", "items", "means", "spreads")
+FRAMES = {
+    "avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+    "median": lambda c: F.percentile(c, 0.5),
+}
 
 
 @dataclass(frozen=True)
@@ -43,141 +56,193 @@ class Grid:
         return F.col(self.price)
 
 
-def full_frame(agg: Column, value: Column, k: int, w: WindowSpec) -> Column:
-    """``agg`` over the last ``k`` rows, NULL unless all ``k`` values exist."""
-    frame = w.rowsBetween(-(k - 1), 0)
-    return F.when(F.count(value).over(frame) == k, agg.over(frame))
+def _change(p: Column, earlier: Column) -> Column:
+    return F.try_divide(p, earlier) - 1
 
 
-def _annual(vol: Column) -> Column:
-    return vol * F.lit(math.sqrt(C.TRADING_DAYS))
+@dataclass
+class Stage:
+    grid: Grid
+    windows: dict[str, Column] = field(default_factory=dict)
+    items: dict[str, Column] = field(default_factory=dict)
+    means: dict[str, Column] = field(default_factory=dict)
+    spreads: dict[str, Column] = field(default_factory=dict)
+    out: dict[str, Column] = field(default_factory=dict)
 
+    def lag(self, k: int) -> Column:
+        """Price ``k`` rows back."""
+        return F.col(self._lag(k))
+
+    def _lag(self, k: int) -> str:
+        if k == 0:
+            return f"`{self.grid.price}`"
+        name = f"_lag_{k}"
+        if name not in self.windows:
+            self.windows[name] = F.lag(self.grid.price, k).over(self.grid.w)
+        return name
+
+    def item(self, series: str, k: int) -> str:
+        """Name of ``series`` as it stood ``k`` rows back."""
+        if series == "price":
+            return self._lag(k)
+        name = f"_{series}_{k}"
+        if name not in self.items:
+            now, before = self._lag(k), self._lag(k + 1)
+            # The first row has no difference and counts as no move.
+            self.items[name] = F.expr({
+                "ret": f"try_divide({now}, {before}) - 1",
+                "up": f"greatest(coalesce({now} - {before}, 0D), 0D)",
+                "down": f"greatest(coalesce({before} - {now}, 0D), 0D)",
+            }[series])
+        return name
+
+    def full(self, how: str, series: str, k: int) -> Column:
+        """Statistic of the last ``k`` values, NULL unless all of them exist.
+
+        Long sums are written as SQL text: one parse instead of a call per term.
+        """
+        if k > UNROLL:
+            return self._frame(how, series, k)
+        values = [self.item(series, i) for i in range(k)]
+        mean, name = f"_avg_{series}_{k}", f"_{how}_{series}_{k}"
+        if mean not in self.means:
+            self.means[mean] = F.expr(f"({' + '.join(values)}) / {k}")
+        if name not in self.spreads and how != "avg":
+            if how == "std":
+                squares = " + ".join(f"({v} - {mean}) * ({v} - {mean})" for v in values)
+                value = f"sqrt(({squares}) / {k - 1})"
+            elif how in ("min", "max"):
+                value = f"{'least' if how == 'min' else 'greatest'}({', '.join(values)})" if k > 1 else values[0]
+            else:
+                ordered = f"sort_array(array({', '.join(values)}))"
+                value = f"({ordered}[{(k - 1) // 2}] + {ordered}[{k // 2}]) / 2"
+            self.spreads[name] = F.expr(f"CASE WHEN {mean} IS NOT NULL THEN {value} END")
+        return F.col(name)
+
+    def _frame(self, how: str, series: str, k: int) -> Column:
+        if series != "price":
+            raise ValueError(f"windows over {series} are limited to {UNROLL} rows")
+        frame = self.grid.w.rowsBetween(-(k - 1), 0)
+        name = f"_{how}_{series}_{k}"
+        self.windows[name] = F.when(
+            F.count(self.grid.p).over(frame) == k, FRAMES[how](self.grid.p).over(frame)
+        )
+        return F.col(name)
 
-def _change(p: Column, earlier: Column) -> Column:
-    return F.try_divide(p, earlier) - 1
+
+def _annual(vol: Column) -> Column:
+    return vol * F.lit(math.sqrt(C.TRADING_DAYS))
 
 
 def lag_stage(g: Grid, periods: Iterable[int]) -> Stage:
-    return Stage(out={f"price_lag_{k}": F.lag(g.price, k).over(g.w) for k in periods})
+    s = Stage(g)
+    s.out = {f"price_lag_{k}": s.lag(k) for k in periods}
+    return s
 
 
 def rolling_stage(g: Grid, windows: Iterable[int], stats: Iterable[str]) -> Stage:
     stats = tuple(stats)
-    builders = {
-        "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-        "median": lambda c: F.percentile(c, 0.5),
-    }
-    out: dict[str, Column] = {}
+    s = Stage(g)
     for k in windows:
-        cells = {s: full_frame(builders[s](g.p), g.p, k, g.w) for s in stats}
-        out.update({f"rolling_{s}_{k}": c for s, c in cells.items()})
+        cells = {x: s.full("avg" if x == "mean" else x, "price", k) for x in stats}
+        s.out.update({f"rolling_{x}_{k}": c for x, c in cells.items()})
         if "min" in cells and "max" in cells:
             spread = cells["max"] - cells["min"]
-            out[f"price_position_{k}"] = F.when(spread == 0, F.lit(0.0)).otherwise(
+            s.out[f"price_position_{k}"] = F.when(spread == 0, F.lit(0.0)).otherwise(
                 F.try_divide(g.p - cells["min"], spread)
             )
-    return Stage(out=out)
+    return s
 
 
 def momentum_stage(g: Grid, periods: Iterable[int]) -> Stage:
-    out: dict[str, Column] = {}
+    s = Stage(g)
     for k in periods:
-        out[f"price_change_{k}"] = _change(g.p, F.lag(g.price, k).over(g.w))
-        out[f"price_change_abs_{k}"] = g.p - F.lag(g.price, k).over(g.w)
+        s.out[f"price_change_{k}"] = _change(g.p, s.lag(k))
+        s.out[f"price_change_abs_{k}"] = g.p - s.lag(k)
     for k in C.MOMENTUM_WINDOWS:
-        earlier = F.lag(g.price, k).over(g.w)
-        out[f"momentum_{k}"] = F.try_divide(g.p, earlier)
-        out[f"roc_{k}"] = _change(g.p, earlier)
-    return Stage(out=out)
-
-
-def _returns(g: Grid) -> dict[str, Column]:
-    return {"_ret": _change(g.p, F.lag(g.price, 1).over(g.w))}
+        s.out[f"momentum_{k}"] = F.try_divide(g.p, s.lag(k))
+        s.out[f"roc_{k}"] = _change(g.p, s.lag(k))
+    return s
 
 
 def volatility_stage(g: Grid) -> Stage:
-    ret = F.col("_ret")
-    out: dict[str, Column] = {}
+    s = Stage(g)
     for k in C.VOLATILITY_WINDOWS:
-        wide = full_frame(F.stddev_samp(ret), ret, k, g.w)
-        narrow = full_frame(F.stddev_samp(ret), ret, k // 2, g.w)
-        out[f"volatility_{k}"] = _annual(wide)
-        out[f"volatility_ratio_{k}"] = F.try_divide(narrow, wide)
-    return Stage(base=_returns(g), out=out)
+        wide, narrow = s.full("std", "ret", k), s.full("std", "ret", k // 2)
+        s.out[f"volatility_{k}"] = _annual(wide)
+        s.out[f"volatility_ratio_{k}"] = F.try_divide(narrow, wide)
+    return s
 
 
 def sma_stage(g: Grid) -> Stage:
-    out: dict[str, Column] = {}
+    s = Stage(g)
     for k in C.SMA_WINDOWS:
-        sma = full_frame(F.avg(g.p), g.p, k, g.w)
-        out[f"sma_{k}"] = sma
-        out[f"price_over_sma_{k}"] = F.try_divide(g.p, sma)
-    return Stage(out=out)
+        s.out[f"sma_{k}"] = s.full("avg", "price", k)
+        s.out[f"price_over_sma_{k}"] = F.try_divide(g.p, s.full("avg", "price", k))
+    return s
 
 
 def bollinger_stage(g: Grid) -> Stage:
-    out: dict[str, Column] = {}
+    s = Stage(g)
     for k in C.BOLLINGER_WINDOWS:
-        mid = full_frame(F.avg(g.p), g.p, k, g.w)
-        dev = full_frame(F.stddev_samp(g.p), g.p, k, g.w)
+        mid, dev = s.full("avg", "price", k), s.full("std", "price", k)
         upper, lower = mid + 2 * dev, mid - 2 * dev
-        out[f"bb_upper_{k}"], out[f"bb_lower_{k}"] = upper, lower
-        out[f"bb_position_{k}"] = F.try_divide(g.p - lower, upper - lower)
-    return Stage(out=out)
+        s.out[f"bb_upper_{k}"], s.out[f"bb_lower_{k}"] = upper, lower
+        s.out[f"bb_position_{k}"] = F.try_divide(g.p - lower, upper - lower)
+    return s
 
 
 def rsi_stage(g: Grid) -> Stage:
-    """Simple-mean RSI. The first row has no difference and counts as no move."""
-    diff = F.coalesce(g.p - F.lag(g.price, 1).over(g.w), F.lit(0.0))
-    frame = g.w.rowsBetween(-(C.RSI_WINDOW - 1), 0)
-    gain, loss = F.avg("_up").over(frame), F.avg("_down").over(frame)
-    full = F.count("_up").over(frame) == C.RSI_WINDOW
+    """Simple-mean RSI, from the first row with a full frame of moves."""
+    s = Stage(g)
+    k = C.RSI_WINDOW
+    gain, loss = s.full("avg", "up", k), s.full("avg", "down", k)
     strength = F.when(loss == 0, F.when(gain > 0, F.lit(100.0))).otherwise(
         100 - 100 / (1 + F.try_divide(gain, loss))
     )
-    return Stage(
-        base={"_up": F.greatest(diff, F.lit(0.0)), "_down": F.greatest(-diff, F.lit(0.0))},
-        out={"rsi": F.when(full, strength)},
-    )
+    s.out["rsi"] = F.when(s.lag(k - 1).isNotNull(), strength)
+    return s
 
 
 def stability_stage(g: Grid) -> Stage:
-    ret = F.col("_ret")
-    out = {
-        f"luxury_vol_{k}": _annual(full_frame(F.stddev_samp(ret), ret, k, g.w))
-        for k in C.STABILITY_WINDOWS
-    }
-    low = full_frame(F.min(g.p), g.p, C.PREMIUM_WINDOW, g.w)
-    out[f"price_premium_{C.PREMIUM_WINDOW}d"] = F.try_divide(g.p - low, low)
-    return Stage(base=_returns(g), out=out)
+    s = Stage(g)
+    for k in C.STABILITY_WINDOWS:
+        s.out[f"luxury_vol_{k}"] = _annual(s.full("std", "ret", k))
+    low = s.full("min", "price", C.PREMIUM_WINDOW)
+    s.out[f"price_premium_{C.PREMIUM_WINDOW}d"] = F.try_divide(g.p - low, low)
+    return s
 
 
 def tier_stage(g: Grid, tiers) -> Stage:
     """One-hot tier of the asset's whole-series mean price."""
-    mean = F.avg(g.price).over(
-        g.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    return Stage(base={"_mean": mean}, out=labels.tier_flags(F.col("_mean"), tiers))
+    s = Stage(g)
+    whole = g.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s.windows["_mean"] = F.avg(g.price).over(whole)
+    s.out = labels.tier_flags(F.col("_mean"), tiers)
+    return s
 
 
 def target_stage(g: Grid, shift: int) -> Stage:
     """``target`` looks ahead by ``-shift`` rows; its percent change looks back."""
+    s = Stage(g)
     moved = F.lead(g.price, -shift) if shift < 0 else F.lag(g.price, shift)
-    return Stage(out={
-        "target": moved.over(g.w),
-        "target_pct_change": _change(g.p, F.lag(g.price, abs(shift)).over(g.w)),
-    })
+    s.windows["_target"] = moved.over(g.w)
+    s.out = {"target": F.col("_target"), "target_pct_change": _change(g.p, s.lag(abs(shift)))}
+    return s
 
 
-def apply_stages(df: DataFrame, stages: Iterable[Stage]) -> DataFrame:
-    base: dict[str, Column] = {}
-    out: dict[str, Column] = {}
-    for s in stages:
-        base.update(s.base)
-        out.update(s.out)
-    if base:
-        df = df.withColumns(base)
-    return df.withColumns(out).drop(*base)
+def apply_stages(df: DataFrame, stages: Iterable[Stage], keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (default: all columns not rebuilt) followed by the features."""
+    stages = list(stages)
+    out = {n: c for s in stages for n, c in s.out.items()}
+    if keep is None:
+        keep = [c for c in df.columns if c not in out]
+    cur = df
+    for layer in LAYERS:
+        columns = {n: c for s in stages for n, c in getattr(s, layer).items()}
+        if columns:
+            cur = cur.withColumns(columns)
+    return cur.select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
 # ---- exponential means ---------------------------------------------------------
@@ -272,20 +337,19 @@ def add_features(
         cur = add_ema(cur, C.EMA_SPANS, g)
     stages: list[Stage] = []
     if cfg.include_temporal:
-        stages.append(Stage(out=dates.calendar_columns(F.col(g.day), cfg.temporal)))
+        stages.append(Stage(g, out=dates.calendar_columns(F.col(g.day), cfg.temporal)))
     stages += [
         lag_stage(g, cfg.lags),
         rolling_stage(g, cfg.rolling_windows, cfg.rolling_stats),
         momentum_stage(g, cfg.change_periods),
         volatility_stage(g),
     ]
-    ema_names: list[str] = []
     if cfg.include_technical:
         if "sma" in cfg.indicators:
             stages.append(sma_stage(g))
         if "ema" in cfg.indicators:
             ema_names = [n for s in C.EMA_SPANS for n in (f"ema_{s}", f"price_over_ema_{s}")]
-            stages.append(Stage(out={n: F.col(n) for n in ema_names}))
+            stages.append(Stage(g, out={n: F.col(n) for n in ema_names}))
         if "bollinger" in cfg.indicators:
             stages.append(bollinger_stage(g))
         if "rsi" in cfg.indicators:
@@ -294,18 +358,18 @@ def add_features(
         if "luxury_tier" in cfg.groups:
             stages.append(tier_stage(g, cfg.tiers))
         if "brand_features" in cfg.groups and brand and model:
-            stages.append(Stage(out={
+            stages.append(Stage(g, out={
                 **labels.premium_flags(F.col(brand), cfg.premium_brands),
                 **labels.keyword_flags(F.col(model)),
             }))
         if "seasonality" in cfg.groups:
-            stages.append(Stage(out=dates.season_columns(F.col(g.day))))
+            stages.append(Stage(g, out=dates.season_columns(F.col(g.day))))
         if "price_stability" in cfg.groups:
             stages.append(stability_stage(g))
     stages.append(target_stage(g, cfg.target_shift))
     names = [n for s in stages for n in s.out]
     keep = [c for c in df.columns if c not in names and c != "seq"]
-    return apply_stages(cur, stages).select(*keep, *names)
+    return apply_stages(cur, stages, keep)
 
 
 # ---- horizons, sequences --------------------------------------------------------
