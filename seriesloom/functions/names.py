@@ -99,7 +99,7 @@ def last_segment(url: Column) -> Column:
 def safe_file_name(text: Column, max_length: int = MAX_FILE_NAME) -> Column:
     out = F.regexp_replace(text, FORBIDDEN_IN_FILE_NAMES, "_")
     out = F.regexp_replace(out, r"[\x00-\x1f]", "")
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
     out = F.trim(F.replace(out, F.lit(" "), F.lit("_")), F.lit("._ "))
     cut = F.when(F.length(out) > max_length, F.rtrim(F.left(out, F.lit(max_length)), F.lit("._"))).otherwise(out)
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("unnamed"))

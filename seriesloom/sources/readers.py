@@ -39,12 +39,15 @@ def inventory_total(files: DataFrame) -> DataFrame:
     )
 
 
-def _stem(name: Column, suffix: str) -> Column:
-    return F.regexp_replace(name, rf"\.{suffix}$", "")
+def asset_of(path: Column, asset: str = "asset_id") -> Column:
+    """Asset named by an ``asset_id=…`` folder, else by the file's stem."""
+    folder = F.nullif(F.regexp_extract(path, rf"/{asset}=([^/]+)/", 1), F.lit(""))
+    stem = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+    return F.url_decode(F.replace(F.coalesce(folder, stem), F.lit("+"), F.lit("%2B")))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*") -> DataFrame:
-    """Lines with file name and an ingest position that sorts in file order.
+    """Lines with file path and an ingest position that sorts in file order.
 
     A file may be split over many tasks: the split's start offset and the row's
     place in its task order the lines without reading any file whole.
@@ -53,7 +56,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*")
         spark.read.option("pathGlobFilter", pattern).text(paths)
         .select(
             "value",
-            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_path").alias("file"),
             F.struct(
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("row"),
@@ -101,7 +104,7 @@ def read_series(
         F.count("ts").alias("_n"), F.count_if(F.col("ts").isNull()).alias("_bad")
     ).filter((F.col("_bad") == 0) & (F.col("_n") >= min_rows)).select("file")
     kept = rows.join(usable, "file", "left_semi")
-    return kept.select(_stem(F.col("file"), "csv").alias("asset_id"), "ts", "price", "position")
+    return kept.select(asset_of(F.col("file")).alias("asset_id"), "ts", "price", "position")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
@@ -181,7 +184,7 @@ def combine_assets(spark: SparkSession, path: str, fmt: str = "parquet", asset:
     """
     reader = spark.read.option("mergeSchema", True).option("header", True)
     df = reader.format(fmt).load(path)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    stem = asset_of(F.col("_metadata.file_path"), asset)
     if asset in df.columns:
         return df.withColumn(asset, F.coalesce(F.col(asset).cast("string"), stem))
     return df.withColumn(asset, stem)
