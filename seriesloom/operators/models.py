@@ -51,11 +51,9 @@ def _boosted(depth: str) -> Callable[[DataFrame, str, TrainConfig], Estimator]:
     def build(train: DataFrame, label: str, cfg: TrainConfig) -> Estimator:
         gbt = GBTRegressor(
             labelCol=label, maxIter=cfg.trees, maxDepth=getattr(cfg, depth),
-            stepSize=cfg.learning_rate, seed=cfg.seed,
+            stepSize=cfg.learning_rate, seed=cfg.seed, validationTol=cfg.validation_tol,
         )
-        if "is_val" in train.columns:
-            gbt = gbt.setValidationIndicatorCol("is_val").setValidationTol(cfg.validation_tol)
-        return gbt
+        return gbt.setValidationIndicatorCol("is_val") if "is_val" in train.columns else gbt
 
     return build
 

@@ -14,7 +14,6 @@ TARGET_SCHEMA = T.StructType([
     T.StructField(n, T.StringType())
     for n in ("brand", "model_name", "url", "watch_id", "model_id", "slug")
 ])
-MAX_CSV_COLUMNS = 64
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -69,9 +68,9 @@ def read_series(
     spark: SparkSession, path: str, date: str = "date", price: str = "price(SGD)",
     min_rows: int = 30, max_files: int | None = None,
 ) -> DataFrame:
-    """(asset_id, ts, price, position) from a folder of one CSV file per asset.
+    """(asset_id, ts, price, position) from a folder of one CSV file (or folder) per asset.
 
-    A file is left out when a needed column is missing, any date is unreadable,
+    An asset is left out when a needed column is missing, any date is unreadable,
     or fewer than ``min_rows`` distinct times remain. Columns are located by each
     file's own header.
     """
@@ -81,30 +80,34 @@ def read_series(
     else:
         paths = path
     lines = read_lines(spark, paths, "*.csv").filter(F.length(F.trim("value")) > 0)
-    cells = ", ".join(f"c{i} string" for i in range(MAX_CSV_COLUMNS))
-
-    def columns_of(line: Column) -> Column:
-        parsed = F.from_csv(line, cells)
-        return F.array(*[parsed[f"c{i}"] for i in range(MAX_CSV_COLUMNS)])
-
     header = lines.groupBy("file").agg(F.min_by("value", "position").alias("h"), F.min("position").alias("top"))
+    names = F.transform(csv_cells(F.col("h")), _unquoted)
     places = header.select(
-        "file", "top",
-        F.array_position(columns_of(F.col("h")), date).alias("_d"),
-        F.array_position(columns_of(F.col("h")), price).alias("_p"),
+        "file", "top", F.array_position(names, date).alias("_d"), F.array_position(names, price).alias("_p")
     ).filter((F.col("_d") > 0) & (F.col("_p") > 0))
     body = lines.join(places, "file").filter(F.col("position") > F.col("top"))
-    cells_of = columns_of(F.col("value"))
+
+    def cell(place: str) -> Column:
+        return _unquoted(F.get(csv_cells(F.col("value")), (F.col(place) - 1).cast("int")))
+
     rows = body.select(
-        "file", "position",
-        F.get(cells_of, (F.col("_d") - 1).cast("int")).alias("_date"),
-        F.get(cells_of, (F.col("_p") - 1).cast("int")).try_cast("double").alias("price"),
-    ).withColumn("ts", F.col("_date").try_cast("timestamp"))
-    usable = rows.groupBy("file", "ts").agg(F.count("*").alias("_c")).groupBy("file").agg(
+        asset_of(F.col("file")).alias("asset_id"), "position",
+        cell("_d").try_cast("timestamp").alias("ts"), cell("_p").try_cast("double").alias("price"),
+    )
+    per_time = rows.groupBy("asset_id", "ts").agg(F.count("*").alias("_c"))
+    usable = per_time.groupBy("asset_id").agg(
         F.count("ts").alias("_n"), F.count_if(F.col("ts").isNull()).alias("_bad")
-    ).filter((F.col("_bad") == 0) & (F.col("_n") >= min_rows)).select("file")
-    kept = rows.join(usable, "file", "left_semi")
-    return kept.select(asset_of(F.col("file")).alias("asset_id"), "ts", "price", "position")
+    ).filter((F.col("_bad") == 0) & (F.col("_n") >= min_rows)).select("asset_id")
+    return rows.join(usable, "asset_id", "left_semi").select("asset_id", "ts", "price", "position")
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of a CSV line, quotes kept."""
+    return F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+
+
+def _unquoted(cell: Column) -> Column:
+    return F.replace(F.regexp_replace(F.trim(cell), '^"|"$', ""), F.lit('""'), F.lit('"'))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
