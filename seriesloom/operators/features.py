@@ -9,7 +9,7 @@ columns. Frames longer than ``UNROLL`` rows fall back to window aggregates.
 A ``Stage`` describes a family in layers, each reading the ones before:
 
 ``windows``  lagged prices and whole-series or long-frame aggregates
-``items``    per-row values of a lagged series (returns, up and down moves)
+``items``    returns as they stood some rows back
 ``means``    averages of items
 ``spreads``  deviations, extremes and medians
 ``out``      the features
@@ -82,18 +82,19 @@ class Stage:
         return name
 
     def item(self, series: str, k: int) -> str:
-        """Name of ``series`` as it stood ``k`` rows back."""
+        """SQL text of ``series`` as it stood ``k`` rows back."""
         if series == "price":
             return self._lag(k)
-        name = f"_{series}_{k}"
+        now, before = self._lag(k), self._lag(k + 1)
+        # Moves are used once, so they stay inline. The first row has no
+        # difference and counts as no move.
+        if series == "up":
+            return f"greatest(coalesce({now} - {before}, 0D), 0D)"
+        if series == "down":
+            return f"greatest(coalesce({before} - {now}, 0D), 0D)"
+        name = f"_ret_{k}"
         if name not in self.items:
-            now, before = self._lag(k), self._lag(k + 1)
-            # The first row has no difference and counts as no move.
-            self.items[name] = F.expr({
-                "ret": f"try_divide({now}, {before}) - 1",
-                "up": f"greatest(coalesce({now} - {before}, 0D), 0D)",
-                "down": f"greatest(coalesce({before} - {now}, 0D), 0D)",
-            }[series])
+            self.items[name] = F.expr(f"try_divide({now}, {before}) - 1")
         return name
 
     def full(self, how: str, series: str, k: int) -> Column:

@@ -95,20 +95,24 @@ def _take(arr: Column, n: Column) -> Column:
 
 def extract(
     pages: DataFrame, fragment: Column, quota: int, strategies: list[Strategy],
-    key: str = "page_id", url: str = "url", html: str = "html",
+    key: str = "page_id", url: str = "url", html: str = "html", keep: list[str] | None = None,
 ) -> DataFrame:
     """Distinct links per page from a chain of strategies.
 
-    Each strategy may add what the quota still leaves; it searches on its own,
-    so links it shares with an earlier one use up its allowance.
+    Each strategy may add what the quota still leaves; it searches on its own, so
+    links it shares with an earlier one use up its allowance. ``keep`` names page
+    columns to repeat on each link.
     """
-    cur = pages.select(key, links(F.col(html), F.col(url)).alias("_links"), fragment.alias("_fragment"))
+    keep = keep or []
+    cur = pages.select(
+        key, *keep, links(F.col(html), F.col(url)).alias("_links"), fragment.alias("_fragment")
+    )
     cur = cur.withColumn("_urls", F.array().cast("array<string>"))
     for strategy in strategies:
         left = F.lit(quota) - F.size("_urls")
         found = _take(_hrefs(strategy(F.col("_links"), F.col("_fragment"))), left)
         cur = cur.withColumn("_urls", F.array_union("_urls", found))
-    return cur.select(key, F.posexplode("_urls").alias("pos", "url"))
+    return cur.select(key, *keep, F.posexplode("_urls").alias("pos", "url"))
 
 
 def default_chain(path_fragment: str = PRODUCT_PATH) -> list[Strategy]:

@@ -22,9 +22,9 @@ def discover(
     dim = brands.select("brand", names.last_segment(F.col("url")).alias("slug"))
     ours = stored.withColumn("brand", page_brand).filter(~pages.is_challenge(F.col("html")))
     ours = ours.join(dim, "brand")
-    found = pages.extract(ours, F.col("slug"), quota, chain or pages.default_chain(path_fragment), "page_id")
-    tagged = found.join(ours.select("page_id", "brand", "slug"), "page_id")
-    first = tagged.groupBy("brand", "slug", "url").agg(F.min(F.struct("page_id", "pos")).alias("seen"))
+    found = pages.extract(
+        ours, F.col("slug"), quota, chain or pages.default_chain(path_fragment), keep=["brand", "slug"])
+    first = found.groupBy("brand", "slug", "url").agg(F.min(F.struct("page_id", "pos")).alias("seen"))
     kept = splits.top_per_group(first, ["brand"], [F.col("seen"), F.col("url")], quota)
     return pages.targets(kept, F.col("brand"), F.col("slug"), path_fragment)
 

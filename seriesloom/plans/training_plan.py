@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.config import TrainConfig
 from seriesloom.operators import features as feat
 from seriesloom.operators import forecast, metrics, models, splits
+from seriesloom.session import materialize
 from seriesloom.sources import readers, writers
 
 
@@ -27,8 +27,9 @@ def train_grid(
 ) -> Trained:
     """Fit every model for every horizon, save it, and score it on the test rows.
 
-    Each fit is a distributed job over one persisted split table per horizon. A
-    failing model is recorded and the grid goes on.
+    Each fit is a distributed job over one written split table per horizon, so a
+    lost executor never repeats the feature windows. A failing model is recorded
+    and the grid goes on.
     """
     spark = df.sparkSession
     out = Trained(metrics=spark.createDataFrame([], "horizon int, model string, metric string, value double"))
@@ -40,27 +41,24 @@ def train_grid(
         rows = feat.horizon_dataset(df, h, g)
         rows = splits.temporal_split(rows, cfg.split, g.asset, g.day, label)
         rows = models.scoring_input(rows, features, categorical)
-        rows = rows.select(g.asset, g.day, label, "split", *features).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for name in cfg.models:
-                try:
-                    model = models.fit(name, rows, features, label, cfg, categorical)
-                    out.saved.append(writers.save_model(model, model_dir, name, h))
-                    scored = models.score(model, rows.filter(F.col("split") == "test"), "y_pred")
-                    wide = metrics.all_metrics(
-                        scored.select(
-                            g.asset, g.day, F.col(label).alias("y_true"), "y_pred",
-                            F.lit(h).alias("horizon"), F.lit(name).alias("model"),
-                        ),
-                        ["horizon", "model"], g.asset, g.day,
-                    )
-                    # One row of figures per fit: small, and it frees the split table.
-                    figures = metrics.long_metrics(wide, ["horizon", "model"]).collect()
-                    parts.append(spark.createDataFrame(figures, out.metrics.schema))
-                except Exception as e:  # noqa: BLE001 - one model must not stop the grid
-                    out.errors.append((h, name, f"{type(e).__name__}: {e}"))
-        finally:
-            rows.unpersist()
+        rows = materialize(rows.select(g.asset, g.day, label, "split", *features), f"split-h{h}")
+        for name in cfg.models:
+            try:
+                model = models.fit(name, rows, features, label, cfg, categorical)
+                out.saved.append(writers.save_model(model, model_dir, name, h))
+                scored = models.score(model, rows.filter(F.col("split") == "test"), "y_pred")
+                wide = metrics.all_metrics(
+                    scored.select(
+                        g.asset, g.day, F.col(label).alias("y_true"), "y_pred",
+                        F.lit(h).alias("horizon"), F.lit(name).alias("model"),
+                    ),
+                    ["horizon", "model"], g.asset, g.day,
+                )
+                # Nine figures per fit.
+                figures = metrics.long_metrics(wide, ["horizon", "model"]).collect()
+                parts.append(spark.createDataFrame(figures, out.metrics.schema))
+            except Exception as e:  # noqa: BLE001 - one model must not stop the grid
+                out.errors.append((h, name, f"{type(e).__name__}: {e}"))
     for p in parts:
         out.metrics = out.metrics.unionByName(p)
     return out
