@@ -10,6 +10,11 @@ from seriesloom.functions import labels
 # ---- Fixed values ------------------------------------------------------------
 EPSILON = 2.220446049250313e-16
 COMPARED = {"rmse": "min", "mae": "min", "r2": "max", "mape": "min"}
+MISSING_TRUE = "True values contain %d NaN values"
+MISSING_PREDICTED = "Predictions contain %d NaN values"
+NO_PAIRS = "No valid prediction pairs found"
+INFINITE_TRUE = "True values contain infinite values"
+INFINITE_PREDICTED = "Predictions contain infinite values"
 # ------------------------------------------------------------------------------
 
 
@@ -133,17 +138,12 @@ def prediction_report(
         F.count_if(F.coalesce(infinite(yhat), F.lit(False))).alias("n_inf_pred"),
     )
 
-    def issue(count: str, head: str, tail: str) -> Column:
-        return F.when(
-            F.col(count) > 0, F.concat(F.lit(head), F.col(count).cast("string"), F.lit(tail))
-        )
-
     issues = F.array_compact(F.array(
-        issue("n_missing_true", "True values contain ", " NaN values"),
-        issue("n_missing_pred", "Predictions contain ", " NaN values"),
-        F.when(F.col("n_valid") == 0, F.lit("No valid prediction pairs found")),
-        F.when(F.col("n_inf_true") > 0, F.lit("True values contain infinite values")),
-        F.when(F.col("n_inf_pred") > 0, F.lit("Predictions contain infinite values")),
+        F.when(F.col("n_missing_true") > 0, F.format_string(MISSING_TRUE, "n_missing_true")),
+        F.when(F.col("n_missing_pred") > 0, F.format_string(MISSING_PREDICTED, "n_missing_pred")),
+        F.when(F.col("n_valid") == 0, F.lit(NO_PAIRS)),
+        F.when(F.col("n_inf_true") > 0, F.lit(INFINITE_TRUE)),
+        F.when(F.col("n_inf_pred") > 0, F.lit(INFINITE_PREDICTED)),
     ))
     return agg.withColumns({"valid": F.col("n_valid") > 0, "issues": issues})
 

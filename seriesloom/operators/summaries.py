@@ -9,6 +9,12 @@ from seriesloom.config import TIERS
 from seriesloom.functions import labels
 from seriesloom.session import materialize
 
+# ---- Fixed values: report texts ------------------------------------------------
+MISSING_FEATURES = "Features have %d missing values"
+MISSING_TARGET = "Target has %d missing values"
+NO_SAMPLES = "No samples found"
+# ------------------------------------------------------------------------------
+
 
 def asset_summary(
     df: DataFrame, by: list[str] | None = None, day: str = "d", price: str = "price",
@@ -96,11 +102,9 @@ def feature_report(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     )
     kind_map = F.create_map(*[F.lit(x) for k in sorted(kinds) for x in (k, kinds[k])]) if kinds else F.lit(None)
     warnings = F.array_compact(F.array(
-        F.when(F.col("missing_features") > 0, F.concat(
-            F.lit("Features have "), F.col("missing_features").cast("string"), F.lit(" missing values"))),
-        F.when(F.col("missing_target") > 0, F.concat(
-            F.lit("Target has "), F.col("missing_target").cast("string"), F.lit(" missing values"))),
-        F.when(F.col("n_samples") == 0, F.lit("No samples found")),
+        F.when(F.col("missing_features") > 0, F.format_string(MISSING_FEATURES, "missing_features")),
+        F.when(F.col("missing_target") > 0, F.format_string(MISSING_TARGET, "missing_target")),
+        F.when(F.col("n_samples") == 0, F.lit(NO_SAMPLES)),
     ))
     return stats.withColumns({
         "n_features": F.lit(len(columns)),

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
 
+# ---- Fixed values: report texts ------------------------------------------------
+TOO_FEW_ROWS = "Insufficient rows: %d < %d"
+BAD_ORDER = "Date ordering issue"
+NO_ROWS = "Empty or header-only file"
+VALID_HEADING = "VALID FILES"
+INVALID_HEADING = "INVALID FILES"
+# ------------------------------------------------------------------------------
+
 
 def order_check(
     df: DataFrame, asset: str, ts: str, ordinal: str, block: int = BLOCK
@@ -45,15 +53,14 @@ def verdicts(checked: DataFrame, min_rows: int) -> DataFrame:
     enough = F.col("row_count") >= min_rows
     text = F.concat_ws(
         "; ",
-        F.when(~enough, F.concat(
-            F.lit("Insufficient rows: "), F.col("row_count").cast("string"), F.lit(f" < {min_rows}"))),
-        F.when(~F.col("ordered"), F.lit("Date ordering issue")),
+        F.when(~enough, F.format_string(TOO_FEW_ROWS, "row_count", F.lit(min_rows))),
+        F.when(~F.col("ordered"), F.lit(BAD_ORDER)),
     )
     empty = F.col("row_count") == 0
     return checked.withColumns({
         "is_valid": enough & F.col("ordered") & ~empty,
         "has_date_issues": ~F.col("ordered") & ~empty,
-        "error_message": F.when(empty, F.lit("Empty or header-only file")).otherwise(
+        "error_message": F.when(empty, F.lit(NO_ROWS)).otherwise(
             F.nullif(text, F.lit(""))),
     })
 
@@ -78,7 +85,7 @@ def report_lines(v: DataFrame, name: str) -> DataFrame:
         F.concat(F.col(name).cast("string"), F.lit(" ("), F.col("row_count").cast("string"), F.lit(" rows)")),
     ).otherwise(F.concat(F.col(name).cast("string"), F.lit(": "), F.col("error_message")))
     return v.select(
-        F.when(F.col("is_valid"), "VALID FILES").otherwise("INVALID FILES").alias("category"),
+        F.when(F.col("is_valid"), VALID_HEADING).otherwise(INVALID_HEADING).alias("category"),
         F.col(name).alias("file"), line.alias("line"),
     )
 
