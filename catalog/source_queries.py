@@ -205,9 +205,14 @@ def snk6(spark, sf):
 
 # ---- whole passes --------------------------------------------------------------------------
 
+# Assets with fewer than 30 observations, or whose grid is shorter than that, are left out.
+_KEPT = PD_SQL + """, kept AS (SELECT * FROM pd
+  WHERE asset_id IN (SELECT asset_id FROM obs GROUP BY 1 HAVING count(*) >= 30)
+    AND asset_id IN (SELECT asset_id FROM pd GROUP BY 1 HAVING count(*) >= 30))"""
+
 
 @query("pip1_prepared_summary", f"""
-WITH {PD_SQL}, f AS (SELECT asset_id, d, price, lead(price) OVER w AS target FROM pd {W})
+WITH {_KEPT}, f AS (SELECT asset_id, d, price, lead(price) OVER w AS target FROM kept {W})
 SELECT asset_id, count(*) AS total_records, CAST(max(d) - min(d) AS INTEGER) AS date_range_days,
   {snap_sql('avg(price)')} AS avg_price, {snap_sql('stddev_samp(price)', 7)} AS price_volatility, 76 AS features_generated
 FROM f WHERE target IS NOT NULL GROUP BY 1""")
@@ -219,13 +224,14 @@ def pip1(spark, sf):
 
 
 @query("pip1_asset_status", f"""
-WITH {PD_SQL}, k AS (SELECT asset_id, count(*) AS rows_in FROM p GROUP BY 1), o AS (SELECT asset_id, count(*) - 1 AS rows_out FROM pd GROUP BY 1)
-SELECT asset_id, rows_in, rows_out, CASE WHEN rows_out > 0 THEN 'processed' ELSE 'failed' END AS status FROM k JOIN o USING (asset_id)""")
+WITH {_KEPT}, k AS (SELECT asset_id, count(*) AS rows_in FROM p GROUP BY 1), o AS (SELECT asset_id, count(*) - 1 AS n FROM kept GROUP BY 1)
+SELECT asset_id, rows_in, coalesce(n, 0) AS rows_out, CASE WHEN coalesce(n, 0) > 0 THEN 'processed' ELSE 'failed' END AS status
+FROM k LEFT JOIN o USING (asset_id)""")
 def pip1s(spark, sf):
     return features_plan.prepare(p(spark, sf), ["tie"]).status
 
 
-@query("pip2_clean_only", f"WITH {PD_SQL} SELECT asset_id, d, price FROM pd", as_text=("d",))
+@query("pip2_clean_only", f"WITH {_KEPT} SELECT asset_id, d, price FROM kept", as_text=("d",))
 def pip2(spark, sf):
     return features_plan.clean_only(p(spark, sf), ["tie"]).drop("seq")
 
