@@ -168,7 +168,7 @@ def _ema_sql(s: int) -> str:
 @query("win9_exponential_means", f"""
 WITH {PD_SQL}, rn AS (SELECT asset_id, d, price, row_number() OVER w AS rn FROM pd {W}),
 {_ema_sql(5)}, {_ema_sql(10)}, {_ema_sql(20)}
-SELECT asset_id, d, {', '.join(f'{snap_sql(f"e{s}.ema", 4)} AS ema_{s}, round(price / nullif(e{s}.ema, 0), 8) AS price_over_ema_{s}' for s in (5, 10, 20))}
+SELECT asset_id, d, {', '.join(f'{snap_sql(f"e{s}.ema", 6)} AS ema_{s}, round(price / nullif(e{s}.ema, 0), 8) AS price_over_ema_{s}' for s in (5, 10, 20))}
 FROM rn JOIN e5 USING (asset_id, d) JOIN e10 USING (asset_id, d) JOIN e20 USING (asset_id, d)""", as_text=("d",))
 def win9(spark, sf):
     # The SQL sums hundreds of powers per row in no fixed order, so the comparison
@@ -176,7 +176,7 @@ def win9(spark, sf):
     out = ft.add_ema(pd(spark, sf))
     return out.select(
         "asset_id", "d",
-        *[snap(f"ema_{s}", 4).alias(f"ema_{s}") for s in C.EMA_SPANS],
+        *[snap(f"ema_{s}", 6).alias(f"ema_{s}") for s in C.EMA_SPANS],
         *[r(f"price_over_ema_{s}", 8).alias(f"price_over_ema_{s}") for s in C.EMA_SPANS],
     )
 
