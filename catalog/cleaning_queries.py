@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    OBS_SQL, P_SQL, PD_SQL, b, observed, p, pd, query, r, snap, snap_sql, table,
+    OBS_SQL, P_SQL, PD_SQL, observed, p, pd, query, snap, snap_sql, table,
 )
 from seriesloom.config import PrepConfig
-from seriesloom.functions import names
-from seriesloom.operators import cleaning, forecast, grid, pages, splits, summaries, upsert
+from seriesloom.operators import cleaning, forecast, grid, splits, summaries, upsert
 from seriesloom.operators import quantiles as q
 
 # ---- filters -------------------------------------------------------------------

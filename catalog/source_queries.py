@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import OBS_SQL, PD_SQL, W, observed, p, pd, query, r, snap, snap_sql, table
-from seriesloom.config import FeatureConfig
-from seriesloom.operators import features as ft
 from seriesloom.operators import splits, summaries
 from seriesloom.plans import features_plan
 from seriesloom.session import scratch_path
@@ -21,9 +19,6 @@ def _series_dir(spark, sf) -> str:
     return path
 
 
-_SERIES_SQL = f"WITH {OBS_SQL} SELECT CAST(asset_id AS VARCHAR) AS asset_id, ts, price FROM obs"
-
-
 @query("src1_series_files", f"""
 WITH {OBS_SQL} SELECT count(*) AS n_rows, count(DISTINCT ts) AS n_days, {snap_sql('sum(price)', 4)} AS total FROM obs""")
 def src1(spark, sf):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import OBS_SQL, P_SQL, PD_SQL, W, frame, full, p, pd, query, r, snap, snap_sql, table
+from catalog.registry import P_SQL, PD_SQL, W, full, p, pd, query, r, snap, snap_sql, table
 from seriesloom import config as C
 from seriesloom.functions import labels
 from seriesloom.operators import features as ft
-from seriesloom.operators import metrics, summaries, upsert, validation
+from seriesloom.operators import metrics, summaries, validation
 from seriesloom.plans import collection_plan, features_plan
 
 _TIER = """CASE WHEN {x} >= 0 AND {x} < 5000 THEN 'entry' WHEN {x} >= 5000 AND {x} < 20000 THEN 'mid'
@@ -133,10 +133,6 @@ def agg10(spark, sf):
     return out.withColumn("percent", r("percent", 6))
 
 
-_ORD = """ord AS (SELECT l_suppkey, l_shipdate, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax,
-  l_returnflag, l_linestatus, l_extendedprice) AS i FROM lineitem)"""
-
-
 def _verdicts(spark, sf):
     """Orders in key order as an ingest log: are a customer's orders dated in order?"""
     o = table(spark, sf, "orders")

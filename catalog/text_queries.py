@@ -175,9 +175,6 @@ def str11(spark, sf):
 
 # ---- chart payloads --------------------------------------------------------------------
 
-_SHAPES = """CASE event_type WHEN 'click' THEN 'v' WHEN 'view' THEN '{"other": 1, "avg": v}' WHEN 'signup' THEN '["x", null, v]'
-  WHEN 'purchase' THEN '"v"' ELSE '{"zz": "no", "zy": v}' END"""
-
 
 def _payload_rows(spark, sf):
     v = F.get_json_object("props", "$.k")
