@@ -72,7 +72,7 @@ class Bounded(dict):
     Keys longer than ``longest`` are not kept.
     """
 
-    def __init__(self, fn: Callable, limit: int = 400_000, longest: int = 48) -> None:
+    def __init__(self, fn: Callable, limit: int = 250_000, longest: int = 48) -> None:
         super().__init__()
         self.fn, self.limit, self.longest, self.old = fn, limit, longest, {}
 

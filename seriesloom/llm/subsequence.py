@@ -7,13 +7,15 @@ linear support vector machine is trained in that space. Because a kernel value w
 landmark is a sum over the landmark's subsequences, the finished model folds into one
 table with a weight for each subsequence, and scoring a string is a sum of look-ups.
 
-Sentences are scored by their worst string, documents by their worst sentence. Labels
-mark documents, not sentences: which string of a toxic document is to blame is settled
-in turns of choosing the worst string and training again.
+Sentences are scored by their strings, and documents by their worst strings, weighed
+against how many they hold. Labels mark documents, not sentences: strings are blamed
+that begin or contain runs of letters typical of toxic documents, each as often as it
+occurs in toxic and in clean ones.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import unicodedata
@@ -21,21 +23,23 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import held_out, text_udf, texts_udf, training_rows
-from seriesloom.llm.nbsvm import descend, sigmoid_fit
+from seriesloom.llm.nbsvm import descend
 
 #: At most so many labelled documents of each class are fitted on (smallest hashes of
 #: their numbers). Every text is scored.
 PER_CLASS = {0: 4000, 1: 1500}
+WORST = 5           # strings of a document that decide
 LENGTH = 4          # letters of a subsequence
 SPAN = 7            # letters it may stretch over, so up to three are skipped
 DECAY = 0.6         # factor for each letter of a gap
-LETTERS = 32        # 0 pads, 1-26 letters, 27-30 other scripts by hash, 31 digits
+LETTERS = 32        # 0 pads, 1-26 letters, 27-29 other scripts by hash, 30 word start, 31 digits
 WINDOW = 24         # longer strings are read in windows of this length, half overlapping
-LANDMARKS = 80
+LANDMARKS = 96
 TAMPERED = 0.02     # weight of insults with an inserted letter, made up for training
 
 _STEPS = [(0, *c) for c in itertools.combinations(range(1, SPAN), LENGTH - 1)]
@@ -82,6 +86,8 @@ def strings(text: str) -> set[str]:
 
 
 def windows(s: str) -> list[str]:
+    """A string with its start marked, long ones in overlapping pieces."""
+    s = "^" + s
     if len(s) <= WINDOW:
         return [s]
     return [s[i:i + WINDOW] for i in range(0, len(s) - WINDOW // 2, WINDOW // 2)]
@@ -97,7 +103,7 @@ class _Codes(dict):
         elif "a" <= c <= "z":
             number = code - 96
         else:
-            number = 31 if c == "9" else 27 + code % 4
+            number = 30 if c == "^" else 31 if c == "9" else 27 + code % 3
         self[code] = chr(number)
         return self[code]
 
@@ -147,12 +153,11 @@ _SCALES = np.array([_scale(n) for n in range(WINDOW + 1)])
 
 @dataclass
 class Model:
-    """Folded table of subsequence weights, bias, and the sigmoid of the worst margin."""
+    """Folded table of subsequence weights, its bias, and the document's logistic curve."""
 
     table: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    curve: np.ndarray
 
     def margins(self, items: list[str]) -> np.ndarray:
         """Decision value of each window, without padding it into more subsequences."""
@@ -166,70 +171,121 @@ class Model:
             out[lo:lo + 20_000] = total / _SCALES[[len(s) for s in part]]
         return out + self.bias
 
-    def probability(self, margin: float) -> float:
-        z = self.slope * margin + self.shift
+    def probability(self, worst: list[float], strings: int) -> float:
+        """Of a document from its worst margins and the number of its strings."""
+        z = float(self.curve @ _facts(worst, strings))
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def _runs(s: str) -> set[str]:
-    return {w[i:i + LENGTH] for w in windows(s) for i in range(len(w) - LENGTH + 1)}
+def _facts(worst: list[float], strings: int) -> np.ndarray:
+    """What the logistic curve sees: a one, worst, second and mean margin, number of strings."""
+    t = [min(max(v, -1.0), 1.5) for v in [*worst, *[-1.0] * WORST][:WORST]]
+    return np.array([1.0, t[0], t[1], sum(t[:3]) / 3, sum(t) / WORST, np.log1p(strings)])
+
+
+def _constant(n1: int, n0: int) -> Model:
+    p = (n1 + 1) / (n1 + n0 + 2)
+    return Model(np.zeros(_SIZE, np.float32), 0.0, np.array([np.log(p / (1 - p)), 0, 0, 0, 0, 0]))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic curve, by Newton steps that never raise the loss."""
+    hold = np.full(x.shape[1], ridge)
+    hold[0] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + hold @ w**2 / 2)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        g = x.T @ (weight * (p - y)) + hold * w
+        h = (x.T * (weight * np.maximum(p * (1 - p), 1e-9))) @ x + np.diag(hold)
+        step, size, now = np.linalg.solve(h, g), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return w
+
+
+def _runs(w: str) -> set[str]:
+    """Beginnings of four to eight letters of a window, and its runs of four and six."""
+    return {
+        *(w[:k] for k in range(LENGTH, min(len(w), 9) + 1) if w[0] == "^"),
+        *(w[i:i + k] for k in (LENGTH, 6) for i in range(1, len(w) - k + 1)),
+    }
+
+
+def _different(bags: list[set[str]]) -> list[int]:
+    """Places of documents that do not nearly repeat an earlier one: copies prove nothing."""
+    seen: set[tuple] = set()
+    kept = []
+    for i, bag in enumerate(bags):
+        rare = [s for s in bag if len(s) >= 8]
+        marks = {(k, min((xxhash.xxh64_intdigest(s, k) for s in rare), default=i)) for k in range(6)}
+        if len(marks & seen) < 3:
+            kept.append(i)
+        seen |= marks
+    return kept
 
 
 def _typical(bags: list[set[str]], y: np.ndarray) -> dict[str, float]:
-    """Four-letter runs found in 3 % of toxic documents and 30 times as often as in clean ones."""
+    """Runs of letters found in 2 % of toxic documents and four times as often as in clean ones."""
     count = [Counter(), Counter()]
     for bag, mark in zip(bags, y):
-        count[mark].update({g for s in bag for g in _runs(s)})
+        count[mark].update({g for s in bag for w in windows(s) for g in _runs(w)})
     n1, n0 = max(int(y.sum()), 1), max(int((y == 0).sum()), 1)
-    odds = {g: (c / n1) / ((count[0][g] + 0.5) / n0) for g, c in count[1].items() if c >= max(2, 0.03 * n1)}
-    return {g: count[1][g] / n1 * float(np.log(v)) for g, v in odds.items() if v >= 30}
-
-
-def _suspects(bags: list[set[str]], y: np.ndarray, value: dict[str, float], most: int) -> list[str]:
-    """Landmarks: words of toxic documents that hold the runs most typical of them."""
-    words: Counter = Counter()
-    for bag, mark in zip(bags, y):
-        if mark:
-            words.update(w for s in bag for w in windows(s) if len(w) >= LENGTH)
-    taken: list[str] = []
-    covered: Counter = Counter()
-    ranked = sorted(
-        words, key=lambda w: (-max((value.get(w[i:i + LENGTH], 0) for i in range(len(w) - LENGTH + 1))), -words[w], w)
-    )
+    value = {}
+    for g, c in count[1].items():
+        usual = (count[0][g] + 0.5) / n0
+        surprise = (c - n1 * usual) / (n1 * usual + 1) ** 0.5
+        if c >= max(3, 0.02 * n1) and c / n1 >= 4 * usual and surprise >= 5:
+            value[g] = c / n1 * float(np.log(c / n1 / usual))
+    best = sorted(value, key=lambda g: (-value[g], g))[:400]
+    return {g: value[g] for g in best}
+
+
+def _suspects(toxic: Counter, typical: dict[str, float], most: int) -> list[str]:
+    """Landmarks: strings of toxic documents with the most typical runs, two for each run."""
+    best = {w: max((g for g in _runs(w) if g in typical), key=lambda g: (typical[g], g), default="") for w in toxic}
+    ranked = sorted((w for w in toxic if best[w]), key=lambda w: (-typical[best[w]], -toxic[w], w))
+    taken, covered = [], Counter()
     for w in ranked:
-        best = max(range(len(w) - LENGTH + 1), key=lambda i: value.get(w[i:i + LENGTH], 0))
-        gram = w[best:best + LENGTH]
-        if covered[gram] < 2 and value.get(gram, 0) > 0:
+        if covered[best[w]] < 2:
             taken.append(w)
-            covered[gram] += 1
-        if len(taken) >= most:
-            break
-    return taken
+            covered[best[w]] += 1
+    return taken[:most]
 
 
 def fit(bags: list[set[str]], y: np.ndarray, share: float, turns: int = 2, seed: int = 11) -> Model:
     """Train on documents given as sets of strings; ``share``: toxic part of all labelled rows."""
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    flat = np.zeros(_SIZE, np.float32)
+    if not n1 or not n0:
+        return _constant(n1, n0)
+    every, marks = bags, y
+    alone = _different(bags)
+    bags, y = [bags[i] for i in alone], y[alone]
     typical = _typical(bags, y)
-    landmarks = _suspects(bags, y, typical, LANDMARKS // 2) if n1 and n0 else []
-    if not landmarks:
-        p = (n1 + 1) / (n1 + n0 + 2)
-        return Model(flat, 0.0, 1.0, float(np.log(p / (1 - p))))
+    toxic, plain = Counter(), Counter()
+    for bag, mark in zip(bags, y):
+        (toxic if mark else plain).update({w for s in bag for w in windows(s)})
+    suspects = _suspects(toxic, typical, LANDMARKS // 2)
+    if not suspects:
+        return _constant(int(round(share * (n1 + n0))), n1 + n0 - int(round(share * (n1 + n0))))
     rng = np.random.default_rng(seed)
-    plain = Counter(w for bag, mark in zip(bags, y) if not mark for s in bag for w in windows(s))
-    common = [w for w, _ in sorted(plain.items(), key=lambda kv: (-kv[1], kv[0])) if len(w) >= LENGTH]
-    # Clean landmarks: common words, and the words that most resemble the suspects.
+    # Clean landmarks: common strings, and those that most resemble the suspects.
     table = np.zeros(_SIZE, np.float32)
-    for vector in features(landmarks):
+    for vector in features(suspects):
         for k, v in vector.items():
             table[k] = max(table[k], v)
-    near = Model(table, 0.0, 1.0, 0.0)
     others = sorted(plain)
-    hard = [others[i] for i in np.argsort(-near.margins(others), kind="stable")[:2 * LANDMARKS]]
-    for w in [*common[:LANDMARKS // 4], *hard[:LANDMARKS // 2]]:
-        if w not in landmarks:
-            landmarks.append(w)
+    likeness = Model(table, 0.0, np.zeros(6)).margins(others)
+    hard = [others[i] for i in np.argsort(-likeness, kind="stable")[:2 * LANDMARKS]]
+    common = [w for w, _ in sorted(plain.items(), key=lambda kv: (-kv[1], kv[0])) if len(w) >= LENGTH]
+    landmarks = list(dict.fromkeys([*suspects, *common[:LANDMARKS // 6], *hard[:LANDMARKS // 3]]))
     vectors = features(landmarks)
     kernel = np.array([[sum(v * b.get(k, 0.0) for k, v in a.items()) for b in vectors] for a in vectors])
     size, turn = np.linalg.eigh(kernel)
@@ -249,60 +305,47 @@ def fit(bags: list[set[str]], y: np.ndarray, share: float, turns: int = 2, seed:
         for j, vector in enumerate(vectors):
             table = np.zeros(_SIZE, np.float32)
             table[list(vector)] = list(vector.values())
-            got[:, j] = Model(table, 0.0, 1.0, 0.0).margins(items)
+            got[:, j] = Model(table, 0.0, np.zeros(6)).margins(items)
         return got @ root
 
     def tampered(word: str) -> list[str]:
         """The word with one letter put in between, at two places."""
-        spots = rng.choice(np.arange(1, len(word)), size=2) if len(word) > 2 else []
-        return [word[:i] + "aeinorstx"[rng.integers(9)] + word[i:] for i in spots if len(word) < WINDOW]
-
-    # Negative strings: common ones, those like the suspects, and a draw of the others.
-    # Candidates: of each toxic document, the strings unknown to clean ones that are most
-    # like the suspects.
-    drawn = [others[i] for i in rng.permutation(len(others))[:2000]]
-    negative = list(dict.fromkeys([*common[:1000], *hard, *drawn]))
-    toxic = [sorted({w for s in bag for w in windows(s) if w not in plain}) for bag, mark in zip(bags, y) if mark]
-    found = sorted({w for bag in toxic for w in bag})
-    like = dict(zip(found, near.margins(found)))
-    toxic = [sorted(bag, key=lambda w: (-like[w], w))[:8] for bag in toxic]
-    sure = {w for w in found if not typical.keys().isdisjoint(_runs(w))}
-    every = sorted(sure.union(*toxic))
-    at = {w: i for i, w in enumerate(every)}
-    x0, x1 = mapped(negative), mapped(every)
-    model = None
+        if not 3 < len(word) < WINDOW:
+            return []
+        return [word[:i] + "aeinorstx"[rng.integers(9)] + word[i:] for i in rng.choice(np.arange(2, len(word)), size=2)]
+
+    # Blamed strings weigh by the toxic documents they are in; the others by the clean
+    # ones, at the odds of the classes: strings with typical runs, common ones, those
+    # like the suspects, and a draw.
+    blamed = sorted(w for w in toxic if not typical.keys().isdisjoint(_runs(w)))
+    doubtful = [w for w in others if not typical.keys().isdisjoint(_runs(w))]
+    drawn = [others[i] for i in rng.permutation(len(others))[:1500]]
+    negative = list(dict.fromkeys([*common[:600], *doubtful[::max(1, len(doubtful) // 1500)], *hard, *drawn]))
+    altered = [t for w in blamed[::max(1, len(blamed) // 300)] for t in tampered(w) if t not in plain]
+    odds = int((y == 1).sum()) / max(int((y == 0).sum()), 1)
+    x1, x0 = mapped(blamed + altered), mapped(negative)
+    cost1 = np.r_[[10.0 * toxic[w] for w in blamed], [10.0 * TAMPERED] * len(altered)]
+    raw = None
     for _ in range(turns + 1):
-        likeness = np.array([like[w] for w in every]) if model is None else x1 @ model[0] + model[1]
-        worst_of = {
-            bag[int(np.argmax(likeness[[at[w] for w in bag]]))]
-            for bag in toxic if bag and sure.isdisjoint(bag)
-        }
-        chosen = sorted(sure | worst_of)
-        if not chosen:
-            break
-        altered = [t for w in chosen[::max(1, len(chosen) // 400)] for t in tampered(w) if t not in plain]
-        x = np.vstack([x1[[at[w] for w in chosen]], mapped(altered), x0])
-        many = len(chosen) + len(altered)
-        sign = np.r_[np.ones(many), -np.ones(len(x0))]
-        cost = np.where(sign > 0, 10.0 * len(x0) / len(x), 10.0 * many / len(x))
-        cost[len(chosen):many] *= TAMPERED
+        x = np.vstack([x1, x0])
+        sign = np.r_[np.ones(len(x1)), -np.ones(len(x0))]
+        cost = np.r_[cost1, [max(10.0 * odds * plain[w], 0.5) for w in negative]]
         every_slot = np.arange(x.shape[1])
-        w = descend([every_slot] * len(x), list(x), sign, cost, x.shape[1], rounds=60, seed=seed)
-        model = (w[:-1], float(w[-1]))
-        value = Model(folded(model[0]), model[1], 1.0, 0.0).margins(others)
-        worst = [others[i] for i in np.argsort(-value)[:400]]
-        added = [w for w in dict.fromkeys(worst) if w not in set(negative)]
+        w = descend([every_slot] * len(x), list(x), sign, cost, x.shape[1], rounds=40, seed=seed)
+        raw = Model(folded(w[:-1]), float(w[-1]), np.zeros(6))
+        known = set(negative)
+        worst = [others[i] for i in np.argsort(-raw.margins(others), kind="stable")[:400]]
+        added = [w for w in worst if w not in known]
         negative += added
-        x0 = np.vstack([x0, mapped(added)])
-    if model is None:
-        p = min(max(share, 0.01), 0.99)
-        return Model(flat, 0.0, 1.0, float(np.log(p / (1 - p))))
-    raw = Model(folded(model[0]), model[1], 1.0, 0.0)
-    need = sorted({w for bag in bags for s in bag for w in windows(s)})
-    memo = dict(zip(need, raw.margins(need)))
-    worst = np.array([max((memo[w] for s in bag for w in windows(s)), default=raw.bias) for bag in bags])
-    weight = np.where(y == 1, share / n1, (1 - share) / n0) * len(bags)
-    raw.slope, raw.shift = sigmoid_fit(worst, y, weight)
+        x0 = np.vstack([x0, mapped(added)]) if added else x0
+    need = sorted({s for bag in every for s in bag})
+    cut = [windows(s) for s in need]
+    value = raw.margins([w for c in cut for w in c])
+    edges = np.r_[0, np.cumsum([len(c) for c in cut])[:-1]]
+    memo = dict(zip(need, np.maximum.reduceat(value, edges).tolist() if need else []))
+    facts = np.array([_facts(heapq.nlargest(WORST, [memo[s] for s in bag]), len(bag)) for bag in every])
+    weight = np.where(marks == 1, share / n1, (1 - share) / n0) * len(every)
+    raw.curve = logistic(facts, marks, weight)
     return raw
 
 
@@ -339,15 +382,9 @@ def probability(model: Model):
                 i += len(c)
             out = []
             for bag in bags:
-                worst = m.bias
-                for s in bag:
-                    v = now.get(s)
-                    if v is None:
-                        v = known[s]
-                    if v > worst:
-                        worst = v
-                out.append((m.probability(worst),))
-            if len(known) > 400_000:
+                values = [now[s] if s in now else known[s] for s in bag]
+                out.append((m.probability(heapq.nlargest(WORST, values), len(bag)),))
+            if len(known) > 300_000:
                 known.clear()
             known.update((s, v) for s, v in now.items() if len(s) <= WINDOW)
             return out
@@ -364,7 +401,7 @@ def score(
     """(doc_id, held_out, score, predicted) per row; no shuffle.
 
     The score depends on the text alone. Null and empty texts hold no string and get
-    the score of the bias. Strings of any length are read whole, window by window.
+    the score of a document without one. Strings of any length are read whole, window by window.
     Repeated rows are scored each. With labels of one class only, or none, every text
     gets that class's smoothed share.
     """
