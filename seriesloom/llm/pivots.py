@@ -26,7 +26,7 @@ from seriesloom.llm.components import connected_components
 PREFIX = 8           # nearest pivots that describe a vector
 SHARED = 2           # pivots two vectors must share to be compared
 MOST_PIVOTS = 16_384
-BLOCK = 1024         # members of a list that one task compares
+BLOCK = 512          # members of a list that one task compares
 
 
 def n_pivots(n: int) -> int:
