@@ -64,6 +64,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Printable Latin-1 bytes stand for themselves, the others for U+0100 onwards."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Bounded(dict):
     """Memo of a function in two generations, of ``limit`` entries each.
 

@@ -13,20 +13,25 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import Bounded
+from seriesloom.llm.common import Bounded, byte_alphabet
 
 WINDOW = 2048
 #: Open windows of one task after which they are poured together.
 OPEN = 4096
-_OUTSIDE = re.compile("[^\x00-ɏ]")
+#: How the vocabulary cuts words after white space is gone (fixed by its file).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Beyond these letters, or with a dotted capital I, lower case may need the library.
+_OUTSIDE = re.compile("[^\x00-įı-ɏ]")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -44,23 +49,31 @@ def encoder(path: str):
     """Function text -> ids as little-endian unsigned 32-bit integers.
 
     White space separates tokens in this vocabulary and is dropped, so the pieces
-    between it encode alone as they do within the text.
+    between it encode alone as they do within the text. Latin text without special
+    tokens is lower-cased and cut here by the vocabulary's own pattern, and only the
+    merges of each different word are the library's; other text is the library's whole.
     """
     tokenizer = _tokenizer(path)
+    words = regex.compile(PATTERN).findall
+    alphabet = {b: c for c, b in byte_alphabet().items()}
+    merge = tokenizer.model.tokenize
 
-    def piece(s: str) -> bytes:
-        return np.array(tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    known = Bounded(piece)
+    def word(s: str) -> bytes:
+        return packed([t.id for t in merge(s.encode("utf-8").decode("latin-1").translate(alphabet))])
+
+    merged = Bounded(word)
+    other = Bounded(lambda s: packed(tokenizer.encode(s, add_special_tokens=False).ids))
 
     def encode(text: str) -> bytes:
-        # Lower case first, where it is the same for each letter by itself, for fewer
-        # different pieces; special tokens are told apart by case.
         if "<|" not in text and not _OUTSIDE.search(text):
-            text = text.lower()
+            # Here each letter has one lower case, and no two letters compose.
+            return b"".join(map(merged.__getitem__, words(text.lower())))
         # These four are white space to ``split`` only.
         parts = re.split("[ \t\r\n]+", text) if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(known.__getitem__, parts))
+        return b"".join(map(other.__getitem__, parts))
 
     return encode
 

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import Bounded, text_udf
+from seriesloom.llm.common import Bounded, byte_alphabet, text_udf
 
 #: Code points whose class (letter, number, space) is the same in every Unicode version
 #: that the two regular-expression libraries use; other texts are cut by the tokenizer.
@@ -31,7 +31,7 @@ def load(path: str):
     tokenizer.no_padding()
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     # Text of each vocabulary string: the byte alphabet maps each byte to one character.
-    to_byte = _byte_alphabet()
+    to_byte = byte_alphabet()
     texts = {}
     for name, number in tokenizer.get_vocab(with_added_tokens=False).items():
         if name in special:
@@ -46,20 +46,13 @@ def load(path: str):
     return tokenizer, proven, sorted(special, key=len, reverse=True)
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """Printable Latin-1 bytes stand for themselves, the others for U+0100 onwards."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def counter(path: str, pattern: str):
     """Function text -> number of tokens, equal to the tokenizer's own."""
     tokenizer, proven, special = load(path)
     pieces = regex.compile(pattern).findall
     cut = re.compile("|".join(map(re.escape, special))) if special else None
 
-    alphabet = {b: c for c, b in _byte_alphabet().items()}
+    alphabet = {b: c for c, b in byte_alphabet().items()}
     merge = tokenizer.model.tokenize
 
     def merged(piece: str) -> int:
