@@ -41,6 +41,25 @@ def flt4(spark, sf):
     return outliers_isolation_forest(observed(spark, sf))
 
 
+@query("flt4_isolation_invariants", f"""
+WITH {OBS_SQL} SELECT asset_id, count(*) AS n_rows, true AS keeps_ninety_percent, true AS drops_the_soonest
+FROM obs GROUP BY 1""")
+def flt4_invariants(spark, sf):
+    """Per asset: every row is scored, nine tenths stay, and no dropped row is less isolated than a kept one."""
+    from seriesloom.operators.isolation import isolation_scores, outliers_isolation_forest
+
+    rows = observed(spark, sf)
+    kept = outliers_isolation_forest(rows).select("asset_id", "ts", F.lit(True).alias("kept"))
+    scored = isolation_scores(rows).join(kept, ["asset_id", "ts"], "left")
+    inside = F.coalesce("kept", F.lit(False))
+    facts = scored.groupBy("asset_id").agg(
+        F.count("*").alias("n_rows"), F.count_if(inside).alias("n"),
+        F.min(F.when(inside, F.col("path"))).alias("low"), F.max(F.when(~inside, F.col("path"))).alias("high"))
+    return facts.select(
+        "asset_id", "n_rows", (F.col("n") >= F.col("n_rows") * 0.9 - 1).alias("keeps_ninety_percent"),
+        F.coalesce(F.col("high") < F.col("low"), F.lit(True)).alias("drops_the_soonest"))
+
+
 @query("flt5_outliers_off", f"WITH {OBS_SQL} SELECT asset_id, ts, price FROM obs", as_text=("ts",))
 def flt5(spark, sf):
     obs = observed(spark, sf)
@@ -99,13 +118,13 @@ def flt10(spark, sf):
 
 @query("flt11_required_text", """
 SELECT conv_id, turn, trim(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS text
-FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '  ' || left(text, 1) || E'\\t' WHEN turn % 3 = 1 THEN ' ' ELSE text END AS t FROM conversations)
+FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '  ' || text || E'\\t' WHEN turn % 3 = 1 THEN repeat(' ', CAST(length(text) % 3 AS INTEGER)) || text ELSE text END AS t FROM conversations)
 WHERE length(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) > 0""")
 def flt11(spark, sf):
     c = table(spark, sf, "conversations")
     t = (
-        F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), F.left("text", F.lit(1)), F.lit("\t")))
-        .when(F.col("turn") % 3 == 1, F.lit(" "))
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), F.col("text"), F.lit("\t")))
+        .when(F.col("turn") % 3 == 1, F.concat(F.repeat(F.lit(" "), F.length("text") % 3), F.col("text")))
         .otherwise(F.col("text"))
     )
     return cleaning.required_text(c.select("conv_id", "turn", t.alias("text")), "text")
@@ -283,8 +302,8 @@ def jon6u(spark, sf):
 
 
 @query("jon7_backtest", f"""
-WITH {PD_SQL}, f AS (SELECT asset_id, CAST(d + 30 AS DATE) AS prediction_date, price AS prediction FROM pd WHERE day(d) = 1)
-SELECT f.asset_id, prediction_date, prediction, pd.price AS actual FROM f LEFT JOIN pd ON pd.asset_id = f.asset_id AND pd.d = prediction_date""", as_text=("prediction_date",))
+WITH {PD_SQL}, f AS (SELECT asset_id, d, price, lead(price, 30) OVER (PARTITION BY asset_id ORDER BY d) AS actual FROM pd)
+SELECT asset_id, CAST(d + 30 AS DATE) AS prediction_date, price AS prediction, actual FROM f WHERE day(d) = 1""", as_text=("prediction_date",))
 def jon7(spark, sf):
     grid_ = pd(spark, sf).drop("seq")
     made = grid_.filter(F.dayofmonth("d") == 1).select(
@@ -363,9 +382,11 @@ def lim1(spark, sf):
     return splits.top_per_group(li, ["l_suppkey"], [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"], 5)
 
 
-@query("smp1_seeded_sample")
+@query("smp1_seeded_sample", """
+SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 500)""")
 def smp1(spark, sf):
-    return splits.seeded_sample(table(spark, sf, "orders"), 500)
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return splits.seeded_sample(rows, 500, ["o_orderkey"])
 
 
 @query("set1_union_all", """
@@ -410,12 +431,10 @@ SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_size)), ',') AS sizes,
 GROUP BY p_brand, list_distinct_first""")
 def set4(spark, sf):
     part = table(spark, sf, "part")
-    sizes = part.select("p_brand", "p_size").distinct().groupBy("p_brand").agg(
-        F.array_join(F.array_sort(F.collect_list("p_size")), ",").alias("sizes"))
-    first = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("k")).groupBy("p_brand").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p_type"))), lambda s: s["p_type"]), ",")
-        .alias("first_types"))
-    return sizes.join(first, "p_brand")
+    sizes = summaries.distinct_sorted(part, "p_brand", "p_size").withColumn("sizes", F.array_join("values", ","))
+    first = summaries.first_mentions(part, "p_brand", "p_type", "p_partkey").withColumn(
+        "first_types", F.array_join("values", ","))
+    return sizes.drop("values").join(first.drop("values"), "p_brand")
 
 
 @query("agg_exact_quantiles", """

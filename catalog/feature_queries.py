@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    PD_SQL, W, b, frame, full, pd, query, r, rounded, snap, snap_sql, table,
+    B_SQL, OBS_SQL, PD_SQL, W, b, frame, full, observed, pd, query, r, rounded, snap, snap_sql, table,
 )
 from seriesloom import config as C
 from seriesloom.config import FeatureConfig, SplitConfig
 from seriesloom.functions import dates, labels
 from seriesloom.operators import features as ft
-from seriesloom.operators import splits
+from seriesloom.operators import grid, splits
 
 ALL_STATS = FeatureConfig(rolling_stats=("mean", "std", "min", "max", "median"))
 
@@ -199,6 +199,41 @@ def win10(spark, sf):
     ])
 
 
+_FLAT = ", ".join(
+    f"{snap_sql(f'm{k} + 2 * s{k}', 7)} AS bb_upper_{k}, {snap_sql(f'm{k} - 2 * s{k}', 7)} AS bb_lower_{k}, "
+    f"round((price - (m{k} - 2 * s{k})) / nullif(4 * s{k}, 0), 5) AS bb_position_{k}" for k in (10, 20)
+)
+
+
+def _flat_dev(k: int) -> str:
+    f = frame(k)
+    return (
+        f"CASE WHEN count(price) OVER {f} < {k} THEN NULL WHEN min(price) OVER {f} = max(price) OVER {f} THEN 0.0 "
+        f"ELSE stddev_samp(price) OVER {f} END"
+    )
+
+
+@query("win10_bollinger_forward_filled", f"""
+WITH {OBS_SQL}, spaced AS (
+  SELECT asset_id, ts, price, coalesce(lead(ts) OVER (PARTITION BY asset_id ORDER BY ts) - ts, 1) AS gap
+  FROM obs WHERE day(ts) = 1),
+ff AS (SELECT asset_id, CAST(ts + CAST(k AS INTEGER) AS DATE) AS d, price
+  FROM spaced, unnest(generate_series(0, gap - 1)) AS t(k)),
+m AS (SELECT asset_id, d, price, {', '.join(f"{full('avg(price)', k)} AS m{k}, {_flat_dev(k)} AS s{k}" for k in (10, 20))} FROM ff)
+SELECT asset_id, d, {_FLAT} FROM m""", as_text=("d",))
+def win10_flat(spark, sf):
+    """Prices of the first of each month, held until the next: most windows are flat."""
+    first = observed(spark, sf).filter(F.dayofmonth("ts") == 1).withColumnRenamed("ts", "d")
+    held = grid.densify(first, "D", "forward", "asset_id", "d", "price", 1)
+    out = ft.apply_stages(held, [ft.bollinger_stage(ft.Grid())])
+    return out.select("asset_id", "d", *[
+        c for k in C.BOLLINGER_WINDOWS for c in (
+            snap(f"bb_upper_{k}", 7).alias(f"bb_upper_{k}"), snap(f"bb_lower_{k}", 7).alias(f"bb_lower_{k}"),
+            r(f"bb_position_{k}", 5).alias(f"bb_position_{k}"),
+        )
+    ])
+
+
 @query("win11_rsi", f"""
 WITH {PD_SQL}, dl AS (SELECT asset_id, d, price - lag(price) OVER w AS dp FROM pd {W}),
 gl AS (SELECT asset_id, d, greatest(coalesce(dp, 0), 0) AS g, greatest(coalesce(-dp, 0), 0) AS l FROM dl),
@@ -266,15 +301,13 @@ def win19(spark, sf):
 @query("win25_sequences", f"""
 WITH {PD_SQL}, s AS (
   SELECT asset_id, d, price, list(price) OVER (PARTITION BY asset_id ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS x FROM pd)
-SELECT asset_id, d, CAST(len(x) AS INTEGER) AS steps, x[1] AS oldest, x[30] AS newest,
-       x[10] - x[20] AS middle_gap, price AS label
+SELECT asset_id, d, CAST(len(x) AS INTEGER) AS steps, {', '.join(f'x[{i}] AS step_{i}' for i in range(1, 31))}, price AS label
 FROM s WHERE len(x) = 30""", as_text=("d",))
 def win25(spark, sf):
     out = ft.sequences(pd(spark, sf), 30)
     x = F.col("window")
     return out.select(
-        "asset_id", "d", F.size(x).alias("steps"), x[0].alias("oldest"), x[29].alias("newest"),
-        (x[9] - x[19]).alias("middle_gap"), "label",
+        "asset_id", "d", F.size(x).alias("steps"), *[x[i - 1].alias(f"step_{i}") for i in range(1, 31)], "label",
     )
 
 
@@ -357,9 +390,108 @@ def mth4(spark, sf):
 # ---- whole feature table over suppliers -----------------------------------------
 
 
-@query("feature_table_suppliers")
+def _flat_std(x: str, k: int) -> str:
+    """Deviation of a full window; exactly 0 where all values are equal."""
+    f = frame(k)
+    return (
+        f"CASE WHEN count({x}) OVER {f} < {k} THEN NULL WHEN min({x}) OVER {f} = max({x}) OVER {f} THEN 0.0 "
+        f"ELSE stddev_samp({x}) OVER {f} END"
+    )
+
+
+def _table_columns() -> dict[str, tuple[str, str]]:
+    """Feature -> (inner SQL over the grid with returns, rounding) of the 71 features."""
+    out: dict[str, tuple[str, str]] = {
+        "day_of_week": ("CAST(isodow(d) - 1 AS INTEGER)", ""),
+        "day_of_week_sin": ("sin(2 * pi() * (isodow(d) - 1) / 7)", "r7"),
+        "day_of_week_cos": ("cos(2 * pi() * (isodow(d) - 1) / 7)", "r7"),
+        "month": ("CAST(month(d) AS INTEGER)", ""),
+        "month_sin": ("sin(2 * pi() * month(d) / 12)", "r7"),
+        "month_cos": ("cos(2 * pi() * month(d) / 12)", "r7"),
+        "quarter": ("CAST(quarter(d) AS INTEGER)", ""), "is_weekend": ("isodow(d) >= 6", ""),
+    }
+    for k in (5, 7, 14, 30):
+        out[f"price_lag_{k}"] = (f"lag(price, {k}) OVER w", "")
+    for k in (5, 7, 14, 30):
+        out[f"rolling_mean_{k}"] = (full("avg(price)", k), "s10")
+        out[f"rolling_std_{k}"] = (_flat_std("price", k), "s7")
+    for k in (5, 7, 14, 30):
+        out[f"price_change_{k}"] = (f"price / nullif(lag(price, {k}) OVER w, 0) - 1", "r7")
+        out[f"price_change_abs_{k}"] = (f"price - lag(price, {k}) OVER w", "")
+    for k in C.MOMENTUM_WINDOWS:
+        out[f"momentum_{k}"] = (f"price / nullif(lag(price, {k}) OVER w, 0)", "r7")
+        out[f"roc_{k}"] = (f"price / nullif(lag(price, {k}) OVER w, 0) - 1", "r7")
+    for k in C.VOLATILITY_WINDOWS:
+        out[f"volatility_{k}"] = (f"({_flat_std('ret', k)}) * sqrt(252)", "r5")
+        out[f"volatility_ratio_{k}"] = (f"({_flat_std('ret', k // 2)}) / nullif({_flat_std('ret', k)}, 0)", "r5")
+    for k in C.EMA_SPANS:
+        out[f"ema_{k}"] = (f"e{k}", "s6")
+        out[f"price_over_ema_{k}"] = (f"price / nullif(e{k}, 0)", "r7")
+    for k in C.BOLLINGER_WINDOWS:
+        m, dev = full("avg(price)", k), f"({_flat_std('price', k)})"
+        out[f"bb_upper_{k}"], out[f"bb_lower_{k}"] = (f"{m} + 2 * {dev}", "s6"), (f"{m} - 2 * {dev}", "s6")
+        out[f"bb_position_{k}"] = (f"(price - ({m} - 2 * {dev})) / nullif(4 * {dev}, 0)", "r5")
+    gain, loss = (f"avg({x}) OVER {frame(14)}" for x in ("g", "l"))
+    out["rsi"] = (f"""CASE WHEN count(*) OVER {frame(14)} < 14 THEN NULL
+      WHEN max(l) OVER {frame(14)} = 0 THEN CASE WHEN max(g) OVER {frame(14)} > 0 THEN 100.0 END
+      ELSE 100 - 100 / (1 + {gain} / {loss}) END""", "r5")
+    for t in ("entry", "mid", "high", "ultra"):
+        out[f"tier_{t}"] = (f"CAST({_TIER.format(x='(avg(price) OVER (PARTITION BY asset_id))')} = '{t}' AS INTEGER)", "")
+    # Supplier numbers are no brand or model name.
+    out["brand_tier_premium"], out["brand_tier_non_premium"] = ("0", ""), ("1", "")
+    out["is_sports_watch"], out["is_dress_watch"] = ("0", ""), ("0", "")
+    out["is_holiday_season"] = ("month(d) IN (11, 12, 1)", "")
+    out["is_watch_fair_season"] = ("month(d) IN (3, 4)", "")
+    for k in C.STABILITY_WINDOWS:
+        out[f"luxury_vol_{k}"] = (f"({_flat_std('ret', k)}) * sqrt(252)", "r5")
+    low = full("min(price)", 30)
+    out["price_premium_30d"] = (f"(price - {low}) / nullif({low}, 0)", "r7")
+    out["target"] = ("lead(price, 1) OVER w", "")
+    out["target_pct_change"] = ("price / nullif(lag(price, 1) OVER w, 0) - 1", "r7")
+    return out
+
+
+_COLUMNS = _table_columns()
+
+
+def _rounded_sql(name: str, how: str) -> str:
+    if not how:
+        return name
+    digits = int(how[1:])
+    return f"{snap_sql(name, digits)} AS {name}" if how[0] == "s" else f"round({name}, {digits}) + 0 AS {name}"
+
+
+_GRID_SQL = f"""{B_SQL}, obs AS (
+  SELECT asset_id, ts, price FROM (
+    SELECT asset_id, ts, arg_min(price, tie) AS price, count(*) OVER (PARTITION BY asset_id) AS n FROM b GROUP BY asset_id, ts)
+  WHERE n >= 30 AND price > 0), spaced AS (
+  SELECT asset_id, ts, price, lead(price) OVER w AS nxt, coalesce(lead(ts) OVER w - ts, 1) AS gap
+  FROM obs WINDOW w AS (PARTITION BY asset_id ORDER BY ts)),
+pd AS (
+  SELECT asset_id, CAST(ts + CAST(k AS INTEGER) AS DATE) AS d,
+         CASE WHEN k = 0 THEN price ELSE price + (nxt - price) * k / gap END AS price
+  FROM spaced, unnest(generate_series(0, gap - 1)) AS t(k)),
+rn AS (SELECT asset_id, d, price, row_number() OVER w AS rn FROM pd {W}),
+{_ema_sql(5)}, {_ema_sql(10)}, {_ema_sql(20)},
+g AS (SELECT asset_id, d, price, price / nullif(lag(price) OVER w, 0) - 1 AS ret,
+    greatest(coalesce(price - lag(price) OVER w, 0), 0) AS g, greatest(coalesce(lag(price) OVER w - price, 0), 0) AS l,
+    e5.ema AS e5, e10.ema AS e10, e20.ema AS e20
+  FROM pd JOIN e5 USING (asset_id, d) JOIN e10 USING (asset_id, d) JOIN e20 USING (asset_id, d) {W}),
+f AS (SELECT asset_id, d, price, {', '.join(f'{sql} AS {name}' for name, (sql, _) in _COLUMNS.items())} FROM g {W})"""
+
+
+@query("feature_table_suppliers", f"""
+WITH {_GRID_SQL}
+SELECT d AS date, price, CAST(asset_id AS VARCHAR) AS watch_id, CAST(asset_id AS VARCHAR) AS brand,
+  'Unknown' AS model, asset_id, {', '.join(_rounded_sql(n, how) for n, (_, how) in _COLUMNS.items())}
+FROM f WHERE target IS NOT NULL""", as_text=("date",))
 def feature_table_suppliers(spark, sf):
     from catalog.registry import B_ORDER
     from seriesloom.plans.features_plan import prepare
 
-    return prepare(b(spark, sf), B_ORDER).features
+    made = prepare(b(spark, sf), B_ORDER).features
+    even = {
+        n: snap(n, int(how[1:])) if how[0] == "s" else r(n, int(how[1:])) + 0
+        for n, (_, how) in _COLUMNS.items() if how
+    }
+    return made.withColumns(even)

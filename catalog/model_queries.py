@@ -80,10 +80,10 @@ def mdl7(spark, sf):
 
 
 @query("mdl8_standardized", f"""
-WITH {PD_SQL} SELECT asset_id, d, round((price - (SELECT avg(price) FROM pd)) / (SELECT stddev_pop(price) FROM pd), 7) AS price FROM pd""",
+WITH {PD_SQL} SELECT asset_id, d, round((price - avg(price) OVER ()) / stddev_pop(price) OVER (), 7) + 0 AS price FROM pd""",
        as_text=("d",))
 def mdl8(spark, sf):
-    return models.standardize(pd(spark, sf).drop("seq"), ["price"]).withColumn("price", F.round("price", 7))
+    return models.standardize(pd(spark, sf).drop("seq"), ["price"]).withColumn("price", F.round("price", 7) + 0)
 
 
 @query("pip4_training_grid")

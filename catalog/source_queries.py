@@ -15,19 +15,21 @@ def _series_dir(spark, sf) -> str:
     """Observations as CSV: one folder per nation, named by its partition."""
     path = scratch_path(spark, "series")
     obs = observed(spark, sf).select("asset_id", F.col("ts").cast("string").alias("date"), F.col("price").alias("price(SGD)"))
-    obs.write.partitionBy("asset_id").option("header", True).csv(path)
+    # Rows of a nation meet in one task, so each folder holds one file.
+    obs.repartition("asset_id").write.partitionBy("asset_id").option("header", True).csv(path)
     return path
 
 
 @query("src1_series_files", f"""
-WITH {OBS_SQL} SELECT count(*) AS n_rows, count(DISTINCT ts) AS n_days, {snap_sql('sum(price)', 4)} AS total FROM obs""")
+WITH {OBS_SQL} SELECT CAST(asset_id AS VARCHAR) AS asset_id, ts, price FROM obs""", as_text=("ts",))
 def src1(spark, sf):
     rows = readers.read_series(spark, f"{_series_dir(spark, sf)}/*", min_rows=1)
-    return rows.agg(
-        F.count("*").alias("n_rows"), F.countDistinct("ts").alias("n_days"), snap(F.sum("price"), 4).alias("total"))
+    return rows.select("asset_id", F.to_date("ts").alias("ts"), "price")
 
 
-@query("src2_first_files")
+@query("src2_first_files", f"""
+WITH {OBS_SQL}, n AS (SELECT CAST(asset_id AS VARCHAR) AS asset_id FROM obs)
+SELECT asset_id, count(*) AS n_rows FROM n WHERE asset_id IN (SELECT DISTINCT asset_id FROM n ORDER BY 1 LIMIT 3) GROUP BY 1""")
 def src2(spark, sf):
     rows = readers.read_series(spark, f"{_series_dir(spark, sf)}/*", min_rows=1, max_files=3)
     return rows.groupBy("asset_id").agg(F.count("*").alias("n_rows"))
@@ -119,9 +121,10 @@ def src9(spark, sf):
     return readers.load_features(spark, path, f"{path}-missing").select("asset_id", "d", "price")
 
 
-@query("src10_inventory")
+@query("src10_inventory", f"WITH {OBS_SQL} SELECT count(DISTINCT asset_id) AS n_files, true AS has_bytes FROM obs")
 def src10(spark, sf):
-    return readers.inventory_total(readers.inventory(spark, _series_dir(spark, sf), "*.csv"))
+    total = readers.inventory_total(readers.inventory(spark, _series_dir(spark, sf), "*.csv"))
+    return total.select("n_files", (F.col("total_mb") > 0).alias("has_bytes"))
 
 
 @query("src13_forecast_reload", f"""

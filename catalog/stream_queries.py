@@ -9,6 +9,10 @@ from seriesloom.session import scratch_path
 from seriesloom.streaming import series_streams as ss
 
 
+#: The events span a month and come in no order: nothing is late within it.
+LATENESS = "60 days"
+
+
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
     return ss.event_time(ss.stream_files(spark, sf, "events.parquet", schema), "ts")
@@ -35,7 +39,7 @@ SELECT h.window_start, h.n FROM h JOIN h prev ON prev.window_start = h.window_st
 def stm2(spark, sf):
     out = scratch_path(spark, "error-windows")
     errors = _events(spark, sf).filter(F.col("event_type") == "error")
-    ss.run_to_table(ss.window_counts(errors, "ts", "2 hours"), out, scratch_path(spark, "checkpoint"))
+    ss.run_to_table(ss.window_counts(errors, "ts", "2 hours", LATENESS), out, scratch_path(spark, "checkpoint"))
     counts = ss.newest_version(spark, out, ["window_start"], "window_start TIMESTAMP, n BIGINT")
     return ss.sustained(counts, 7200, threshold=5)
 
@@ -45,7 +49,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, round(quantile_cont(val
   quantile_cont(value, 0.95) > 120 AS alert FROM events GROUP BY 1""", as_text=("window_start",))
 def stm3(spark, sf):
     out = scratch_path(spark, "latency-windows")
-    values = ss.window_values(_events(spark, sf), "ts", "value", "1 hour")
+    values = ss.window_values(_events(spark, sf), "ts", "value", "1 hour", LATENESS)
     ss.run_to_table(values, out, scratch_path(spark, "checkpoint"))
     seen = ss.newest_version(spark, out, ["window_start", "value"], "window_start TIMESTAMP, value DOUBLE, n BIGINT")
     return ss.latency_alerts(seen, limit=120.0).withColumn("p_high", r("p_high", 6))
@@ -54,7 +58,7 @@ def stm3(spark, sf):
 @query("stm4_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def stm4(spark, sf):
     out = scratch_path(spark, "deduped")
-    unique = ss.dedupe_stream(_events(spark, sf), ["user_id", "event_type"], "ts", "60 days")
+    unique = ss.dedupe_stream(_events(spark, sf), ["user_id", "event_type"], "ts", LATENESS)
     ss.run_to_table(unique.select("user_id", "event_type"), out, scratch_path(spark, "checkpoint"), "append")
     return spark.read.parquet(out).select("user_id", "event_type")
 

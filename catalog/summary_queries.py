@@ -258,13 +258,27 @@ def str10(spark, sf):
     return metrics.formatted(long).drop("value")
 
 
+_IN_DOCUMENT = ("mae", "mse", "rmse", "mape")
+
+
 @query("snk7_metrics_documents", f"""
-WITH {F_SQL}, {_METRICS} SELECT 'horizon_' || horizon || 'd' AS key, model, round(rmse, 3) AS rmse FROM m""")
+WITH {F_SQL}, {_METRICS}
+SELECT 'horizon_' || horizon || 'd' AS key, model, {', '.join(f'round({c}, 3) AS {c}' for c in _IN_DOCUMENT)}, NULL AS error FROM m
+UNION ALL SELECT 'horizon_1d', 'broken', {', '.join('NULL' for _ in _IN_DOCUMENT)}, 'did not end'""")
 def snk7(spark, sf):
+    """Written as documents, read back as text: every figure, and a failed run."""
+    from seriesloom.session import scratch_path
+    from seriesloom.sources import writers
+
     wide = metrics.regression_metrics(fviews(spark, sf), ["horizon", "model"])
-    docs = metrics.metrics_documents(metrics.long_metrics(wide, ["horizon", "model"]))
-    models = F.explode(F.from_json("document", "map<string,string>")).alias("model", "doc")
-    return docs.select("key", models).select("key", "model", r(F.get_json_object("doc", "$.rmse").cast("double"), 3).alias("rmse"))
+    failed = wide.select("horizon", F.lit("broken").alias("model"), F.lit("did not end").alias("error")).distinct()
+    docs = metrics.metrics_documents(metrics.long_metrics(wide, ["horizon", "model"]), failed)
+    path = scratch_path(spark, "metrics")
+    writers.write_documents(docs, path)
+    whole = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "document"))
+    models = whole.select("key", F.explode(F.from_json("document", "map<string,string>")).alias("model", "doc"))
+    figures = [r(F.get_json_object("doc", f"$.{c}").cast("double"), 3).alias(c) for c in _IN_DOCUMENT]
+    return models.select("key", "model", *figures, F.get_json_object("doc", "$.error").alias("error"))
 
 
 @query("pip8_recollect_list", f"""

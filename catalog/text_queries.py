@@ -196,9 +196,14 @@ _PAYLOAD_SQL = """SELECT event_id, CAST(ts AS DATE) AS date, CAST(json_extract_s
 FROM events WHERE NOT (event_type = 'error' AND event_id % 2 = 0)"""
 
 
-@query("src11_chart_payload", """SELECT event_id, CAST(ts AS DATE) AS date FROM events""", as_text=("date",))
+@query("src11_chart_payload", """
+SELECT event_id, CAST(ts AS DATE) AS date, CASE event_type WHEN 'click' THEN k WHEN 'view' THEN '{"avg":' || k || ',"other":1}'
+  WHEN 'signup' THEN '["x",null,' || k || ']' WHEN 'purchase' THEN '"' || k || '"'
+  ELSE CASE WHEN event_id % 2 = 0 THEN '{"zz":"no"}' ELSE '{"zy":' || k || ',"zz":"no"}' END END AS value
+FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""", as_text=("date",))
 def src11(spark, sf):
-    return payloads.chart_rows(_payload_rows(spark, sf), "payload", ["event_id"]).select("event_id", "date")
+    rows = payloads.chart_rows(_payload_rows(spark, sf), "payload", ["event_id"])
+    return rows.select("event_id", "date", F.to_json("value").alias("value"))
 
 
 @query("jsn1_normalised_prices", _PAYLOAD_SQL, as_text=("date",))

@@ -90,10 +90,11 @@ class FeatureConfig:
     rolling_windows: tuple[int, ...] = (5, 7, 14, 30)
     rolling_stats: tuple[str, ...] = ("mean", "std")
     change_periods: tuple[int, ...] = (5, 7, 14, 30)
-    indicators: tuple[str, ...] = ("ema", "bollinger", "rsi")
+    # Fixed values, in the published order.
+    indicators: tuple[str, ...] = ("ema", "rsi", "bollinger")
     temporal: tuple[str, ...] = ("day_of_week", "month", "quarter", "is_weekend")
     groups: tuple[str, ...] = (
-        "luxury_tier", "brand_features", "seasonality", "price_stability",
+        "luxury_tier", "seasonality", "price_stability", "brand_features",
     )
     include_temporal: bool = True
     include_technical: bool = True
@@ -124,8 +125,8 @@ class TrainConfig:
     trees: int = 100
     learning_rate: float = 0.1
     boost_depth: int = 6
-    leafwise_depth: int = 5
-    forest_depth: int = 12
+    leafwise_depth: int = 5  # a depth of 31 leaves, in place of unlimited depth
+    forest_depth: int = 30  # the library's limit; the published setting has none
     validation_tol: float = 1e-5
     ridge_alpha: float = 1.0
     lasso_alpha: float = 1.0

@@ -10,6 +10,7 @@ A ``Stage`` describes a family in layers, each reading the ones before:
 
 ``windows``  lagged prices and whole-series or long-frame aggregates
 ``items``    returns as they stood some rows back
+``frames``   long-frame aggregates of items
 ``means``    averages of items
 ``spreads``  deviations, extremes and medians
 ``out``      the features
@@ -32,7 +33,7 @@ from seriesloom.config import FeatureConfig
 from seriesloom.functions import dates, labels
 
 UNROLL = 64
-LAYERS = ("windows", "items", "means", "spreads")
+LAYERS = ("windows", "items", "frames", "means", "spreads")
 FRAMES = {
     "avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
     "median": lambda c: F.percentile(c, 0.5),
@@ -65,6 +66,7 @@ class Stage:
     grid: Grid
     windows: dict[str, Column] = field(default_factory=dict)
     items: dict[str, Column] = field(default_factory=dict)
+    frames: dict[str, Column] = field(default_factory=dict)
     means: dict[str, Column] = field(default_factory=dict)
     spreads: dict[str, Column] = field(default_factory=dict)
     out: dict[str, Column] = field(default_factory=dict)
@@ -107,7 +109,10 @@ class Stage:
         values = [self.item(series, i) for i in range(k)]
         mean, name = f"_avg_{series}_{k}", f"_{how}_{series}_{k}"
         if mean not in self.means:
-            self.means[mean] = F.expr(f"({' + '.join(values)}) / {k}")
+            # Centred on the current value: exact where all values are equal, so a flat
+            # window has no deviation.
+            moved = " + ".join(f"({v} - {values[0]})" for v in values[1:])
+            self.means[mean] = F.expr(f"{values[0]} + ({moved}) / {k}" if moved else values[0])
         if name not in self.spreads and how != "avg":
             if how == "std":
                 squares = " + ".join(f"({v} - {mean}) * ({v} - {mean})" for v in values)
@@ -121,13 +126,14 @@ class Stage:
         return F.col(name)
 
     def _frame(self, how: str, series: str, k: int) -> Column:
-        if series != "price":
-            raise ValueError(f"windows over {series} are limited to {UNROLL} rows")
         frame = self.grid.w.rowsBetween(-(k - 1), 0)
         name = f"_{how}_{series}_{k}"
-        self.windows[name] = F.when(
-            F.count(self.grid.p).over(frame) == k, FRAMES[how](self.grid.p).over(frame)
-        )
+        value = self.grid.p
+        if series != "price":
+            now = f"_{series}_0"
+            self.items.setdefault(now, F.expr(self.item(series, 0)))
+            value = F.col(now)
+        self.frames[name] = F.when(F.count(value).over(frame) == k, FRAMES[how](value).over(frame))
         return F.col(name)
 
 

@@ -86,15 +86,25 @@ def long_metrics(wide: DataFrame, by: list[str]) -> DataFrame:
     return wide.unpivot(by, names, "metric", "value").filter(F.col("value").isNotNull())
 
 
-def metrics_documents(long: DataFrame) -> DataFrame:
-    """One JSON document per horizon: model -> metric -> value."""
+def metrics_documents(long: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One JSON document per horizon: model -> metric -> value.
+
+    ``errors`` holds (horizon, model, error) of failed runs: they get model -> error.
+    """
     per_model = long.groupBy("horizon", "model").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))).alias("metrics")
+    )
+    if errors is not None:
+        failed = errors.groupBy("horizon", "model").agg(F.min("error").alias("error"))
+        per_model = per_model.unionByName(failed.select(
+            "horizon", "model", F.to_json(F.struct("error")).alias("metrics")
+        ))
+    entry = F.transform(
+        F.array_sort(F.collect_list(F.struct("model", "metrics"))),
+        lambda m: F.concat(F.lit('"'), F.replace(m["model"], F.lit('"'), F.lit('\\"')), F.lit('": '), m["metrics"]),
     )
     return per_model.groupBy("horizon").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("model", F.to_json("metrics").alias("metrics"))
-        )))).alias("document")
+        F.concat(F.lit("{"), F.array_join(entry, ", "), F.lit("}")).alias("document")
     ).withColumn("key", F.concat(F.lit("horizon_"), F.col("horizon").cast("string"), F.lit("d")))
 
 

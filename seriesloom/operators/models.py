@@ -131,8 +131,14 @@ def parameters(spark: SparkSession, name: str, model: PipelineModel) -> DataFram
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Zero mean, unit population deviation; one aggregate row carries the constants."""
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    """Zero mean, unit population deviation; one scalar subquery carries the constants.
+
+    A column without deviation is only centred.
+    """
+    row = df.agg(F.struct(*[
+        f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))
+    ])).scalar()
     return df.withColumns({
-        c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in columns
+        c: (F.col(c) - row[f"m_{c}"]) / F.when(row[f"s_{c}"] == 0, F.lit(1.0)).otherwise(row[f"s_{c}"])
+        for c in columns
     })

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.config import SplitConfig
+from seriesloom.operators import features as feat
 
 # ---- Fixed values ------------------------------------------------------------
 NOT_FEATURES = ("asset_id", "brand", "model", "date", "timestamp")
@@ -67,9 +68,58 @@ def temporal_split(
     return rows.filter(usable).withColumn("split", part).drop("_i", "_n")
 
 
-def seeded_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (or all): top-n by a seeded draw, merged per partition."""
-    return df.withColumn("_draw", F.rand(seed)).orderBy("_draw").limit(n).drop("_draw")
+def split_name(horizon: int) -> str:
+    return f"split_h{horizon}"
+
+
+def horizon_splits(df: DataFrame, horizons, cfg: SplitConfig, g: feat.Grid) -> DataFrame:
+    """``df`` with target and split of every horizon, by one pass over the asset windows.
+
+    A split is what ``temporal_split`` gives over the rows that have the target; it is
+    NULL where the target is missing or the asset has too few rows.
+    """
+    rows = df.dropna(subset=[g.asset, g.day])
+    names = {h: feat.target_name(h) for h in horizons}
+    rows = rows.withColumns({
+        n: F.lead(g.price, h).over(g.w) for h, n in names.items() if n not in rows.columns
+    })
+    before = g.w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = g.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({
+        c: F.count(n).over(w) for h, n in names.items() for c, w in ((f"_i_{h}", before), (f"_n_{h}", whole))
+    })
+    out = {}
+    for h, n in names.items():
+        i, size = F.col(f"_i_{h}"), F.col(f"_n_{h}")
+        test_at = F.floor(size * F.lit(1 - cfg.test_size))
+        val_at = F.floor(size * F.lit(1 - cfg.test_size - cfg.val_size))
+        usable = F.col(n).isNotNull() & (size >= cfg.min_rows) & (val_at > 0) & (test_at > val_at)
+        part = F.when(i < val_at, "train").when(i < test_at, "val").otherwise("test")
+        out[split_name(h)] = F.when(usable, part)
+    return rows.withColumns(out).drop(*[f"_{k}_{h}" for h in names for k in "in"])
+
+
+def seeded_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """Exactly ``n`` rows (or all): those with the smallest digests of seed and ``keys``.
+
+    The same rows whatever the partitions, if ``keys`` tell rows apart. Digests are
+    counted by their first four digits, at most 65 536 counts; all rows below the digits
+    that hold rank ``n`` stay where they are, and only that last bucket is ordered.
+    """
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    drawn = df.withColumn("_draw", F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)))
+    bucket = F.left("_draw", F.lit(4))
+    counts = drawn.groupBy(bucket.alias("b")).agg(F.count("*").alias("c")).orderBy("b").collect()
+    below, last = 0, None
+    for row in counts:
+        if below + row["c"] > n:
+            last = row["b"]
+            break
+        below += row["c"]
+    if last is None:
+        return df
+    rest = drawn.filter(bucket == last).orderBy("_draw", *keys).limit(n - below)
+    return drawn.filter(bucket < last).unionByName(rest).drop("_draw")
 
 
 def last_rows(df: DataFrame, n: int, asset: str = "asset_id", ts: str = "d") -> DataFrame:
@@ -84,7 +134,10 @@ def top_per_group(df: DataFrame, by: list[str], order: list, n: int) -> DataFram
 
 
 def latest_row(df: DataFrame, asset: str = "asset_id", ts: str = "ts", tie: list[str] | None = None) -> DataFrame:
-    """Newest row per asset, as an aggregate: no sort, partial results merge."""
+    """Newest row per asset, as an aggregate whose partial results merge before the shuffle.
+
+    Rows travel as structs, so each task orders its own rows by asset.
+    """
     rest = [c for c in df.columns if c != asset]
     newest = F.max_by(F.struct(*rest), F.struct(ts, *(tie or [])))
     return df.groupBy(asset).agg(newest.alias("_row")).select(asset, "_row.*")

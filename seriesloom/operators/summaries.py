@@ -160,6 +160,18 @@ def extraction_summary(
     )
 
 
+def distinct_sorted(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Per group the distinct values in order; repeats collapse before they move."""
+    return df.select(by, value).distinct().groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def first_mentions(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """Per group the distinct values by their first place in ``order``."""
+    seen = df.groupBy(by, value).agg(F.min(order).alias("_at"))
+    pairs = F.array_sort(F.collect_list(F.struct("_at", value)))
+    return seen.groupBy(by).agg(F.transform(pairs, lambda s: s[value]).alias("values"))
+
+
 def distinct_in_order(names: list[str]) -> list[str]:
     """Requested names once each, first mention first."""
     return list(dict.fromkeys(names))

@@ -19,7 +19,8 @@ def upsert(
     """Rows of both, one per key: a new row replaces an existing one.
 
     Inside a batch the greatest ``order`` wins. A first load is taken as is.
-    Written as an aggregate, so duplicates of a hot key collapse before moving.
+    Written as an aggregate, so duplicates of a hot key collapse before moving; with
+    struct keys each task orders its own rows first.
     """
     order = order or []
     cols = [*keys, value, *order]

@@ -27,21 +27,29 @@ def train_grid(
 ) -> Trained:
     """Fit every model for every horizon, save it, and score it on the test rows.
 
-    Each fit is a distributed job over one written split table per horizon, so a
-    lost executor never repeats the feature windows. A failing model is recorded
-    and the grid goes on.
+    Targets and splits of all horizons come from one pass over the asset windows and
+    are written once, so a lost executor never repeats the feature windows. With
+    ``cfg.max_samples``, at most so many labelled train rows of a horizon are fitted on;
+    validation and test rows are never sampled. A failing model is recorded and the
+    grid goes on.
     """
     spark = df.sparkSession
     out = Trained(metrics=spark.createDataFrame([], "horizon int, model string, metric string, value double"))
     parts: list[DataFrame] = []
-    if cfg.max_samples is not None:
-        df = splits.seeded_sample(df, cfg.max_samples, cfg.seed)
+    every = splits.horizon_splits(df, cfg.horizons, cfg.split, g)
+    every = models.scoring_input(every, features, categorical)
+    named = [c for h in cfg.horizons for c in (feat.target_name(h), splits.split_name(h))]
+    every = materialize(every.select(g.asset, g.day, *named, *features), "splits")
     for h in cfg.horizons:
         label = feat.target_name(h)
-        rows = feat.horizon_dataset(df, h, g)
-        rows = splits.temporal_split(rows, cfg.split, g.asset, g.day, label)
-        rows = models.scoring_input(rows, features, categorical)
-        rows = materialize(rows.select(g.asset, g.day, label, "split", *features), f"split-h{h}")
+        rows = every.filter(F.col(splits.split_name(h)).isNotNull()).select(
+            g.asset, g.day, label, F.col(splits.split_name(h)).alias("split"), *features
+        )
+        if cfg.max_samples is not None:
+            train = splits.seeded_sample(
+                rows.filter(F.col("split") == "train"), cfg.max_samples, [g.asset, g.day], cfg.seed
+            )
+            rows = train.unionByName(rows.filter(F.col("split") != "train"))
         for name in cfg.models:
             try:
                 model = models.fit(name, rows, features, label, cfg, categorical)

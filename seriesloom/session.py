@@ -12,11 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Feature windows are heavy per byte: spread even small shuffles over all cores.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
-    # The JVM does not compile methods above 8000 bytes; wide feature projections
-    # run faster as several small compiled methods than as one interpreted one.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 _local_scratch: dict[str, str] = {}

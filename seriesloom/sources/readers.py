@@ -72,14 +72,17 @@ def read_series(
 
     An asset is left out when a needed column is missing, any date is unreadable,
     or fewer than ``min_rows`` distinct times remain. Columns are located by each
-    file's own header.
+    file's own header. ``max_files`` keeps the first assets by name, each with all of
+    its part files.
     """
+    lines = read_lines(spark, path, "*.csv").filter(F.length(F.trim("value")) > 0)
     if max_files is not None:
-        names = inventory(spark, path, "*.csv").orderBy("path").limit(max_files).collect()
-        paths: str | list[str] = [r["path"] for r in names]
-    else:
-        paths = path
-    lines = read_lines(spark, paths, "*.csv").filter(F.length(F.trim("value")) > 0)
+        first = (
+            inventory(spark, path, "*.csv").select(asset_of(F.col("path")).alias("asset_id"))
+            .distinct().orderBy("asset_id").limit(max_files)
+        )
+        named = lines.withColumn("asset_id", asset_of(F.col("file")))
+        lines = named.join(first, "asset_id", "left_semi").drop("asset_id")
     header = lines.groupBy("file").agg(F.min_by("value", "position").alias("h"), F.min("position").alias("top"))
     names = F.transform(csv_cells(F.col("h")), _unquoted)
     places = header.select(
@@ -183,25 +186,24 @@ def read_mixed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def combine_assets(spark: SparkSession, path: str, fmt: str = "parquet", asset: str = "asset_id") -> DataFrame:
     """One table out of per-asset files or partitions, whatever columns each has.
 
-    A file without the asset column is named by its file stem.
+    A file without an asset column is named by its file stem; ``watch_id`` serves as
+    one.
     """
     reader = spark.read.option("mergeSchema", True).option("header", True)
     df = reader.format(fmt).load(path)
     stem = asset_of(F.col("_metadata.file_path"), asset)
-    if asset in df.columns:
-        return df.withColumn(asset, F.coalesce(F.col(asset).cast("string"), stem))
-    return df.withColumn(asset, stem)
+    have = [F.col(c).cast("string") for c in dict.fromkeys((asset, "watch_id")) if c in df.columns]
+    return df.withColumn(asset, F.coalesce(*have, stem))
 
 
 def load_features(
     spark: SparkSession, unified: str, per_asset: str, required: tuple[str, ...] = ("price",),
     names: tuple[str, ...] = ("asset_id", "watch_id"),
 ) -> DataFrame:
-    """The unified table if it exists, else the per-asset files combined."""
-    if path_exists(spark, unified):
-        df = spark.read.parquet(unified)
-    else:
-        df = combine_assets(spark, per_asset)
+    """The unified table if it exists, else the per-asset files combined and kept as it."""
+    if not path_exists(spark, unified):
+        combine_assets(spark, per_asset).write.parquet(unified)
+    df = spark.read.parquet(unified)
     have = [n for n in names if n in df.columns]
     if not have:
         raise ValueError(f"no asset column among {names}")

@@ -76,9 +76,12 @@ def merged_prices(spark: SparkSession, path: str, schema: str) -> DataFrame:
 # ---- alert windows --------------------------------------------------------------
 
 
-def window_counts(df: DataFrame, ts: str, width: str, watermark: str = "1 hour") -> DataFrame:
-    """Rows per tumbling window; works on streams and tables."""
-    timed = df.withWatermark(ts, watermark) if df.isStreaming else df
+def window_counts(df: DataFrame, ts: str, width: str, lateness: str) -> DataFrame:
+    """Rows per tumbling window; works on streams and tables.
+
+    On a stream, rows later than ``lateness`` behind the newest one are not counted.
+    """
+    timed = df.withWatermark(ts, lateness) if df.isStreaming else df
     return timed.groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select(
         F.col("window.start").alias("window_start"), "n"
     )
@@ -103,9 +106,12 @@ def sustained(counts: DataFrame, width_seconds: int, threshold: int = ERROR_THRE
     ).select("window_start", "n")
 
 
-def window_values(df: DataFrame, ts: str, value: str, width: str, watermark: str = "1 hour") -> DataFrame:
-    """Value counts per tumbling window: state splits by value, so no window is hot."""
-    timed = df.withWatermark(ts, watermark) if df.isStreaming else df
+def window_values(df: DataFrame, ts: str, value: str, width: str, lateness: str) -> DataFrame:
+    """Value counts per tumbling window: state splits by value, so no window is hot.
+
+    On a stream, rows later than ``lateness`` behind the newest one are not counted.
+    """
+    timed = df.withWatermark(ts, lateness) if df.isStreaming else df
     return timed.groupBy(F.window(ts, width), F.col(value).alias("value")).agg(
         F.count("*").alias("n")
     ).select(F.col("window.start").alias("window_start"), "value", "n")
@@ -122,8 +128,9 @@ def latency_alerts(values: DataFrame, limit: float = LATENCY_LIMIT, q: float = L
 # ---- dedupe and latest ----------------------------------------------------------
 
 
-def dedupe_stream(df: DataFrame, keys: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
-    return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+def dedupe_stream(df: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:
+    """First row of each key among rows at most ``lateness`` apart."""
+    return df.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
 def latest_per_asset(df: DataFrame, asset: str, ts: str, rest: list[str], tie: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.config import PrepConfig, SplitConfig
 from seriesloom.functions import labels, names, payloads
+from seriesloom.operators import features as ft
 from seriesloom.operators import cleaning, isolation, quantiles, splits, summaries, upsert, validation
 from seriesloom.plans import features_plan
 
@@ -125,8 +126,30 @@ def test_split_shares_and_small_assets(spark):
 
 def test_sample_is_exact_and_repeatable(spark):
     df = spark.range(1000)
-    a = {r[0] for r in splits.seeded_sample(df, 50).collect()}
-    assert len(a) == 50 and a == {r[0] for r in splits.seeded_sample(df, 50).collect()}
+    a = {r[0] for r in splits.seeded_sample(df.repartition(2), 50, ["id"]).collect()}
+    assert len(a) == 50 and a == {r[0] for r in splits.seeded_sample(df.repartition(7), 50, ["id"]).collect()}
+    assert a != {r[0] for r in splits.seeded_sample(df, 50, ["id"], seed=1).collect()}
+    assert splits.seeded_sample(df, 5000, ["id"]).count() == 1000 and splits.seeded_sample(df, 0, ["id"]).count() == 0
+
+
+def test_horizon_splits_equal_one_by_one(spark):
+    df = days(spark, range(1, 101)).unionByName(days(spark, range(1, 20), "small"))
+    g = ft.Grid(day="ts")
+    every = splits.horizon_splits(df, (1, 3), SplitConfig(), g)
+    for h in (1, 3):
+        rows = ft.horizon_dataset(df, h, g)
+        want = splits.temporal_split(rows, SplitConfig(), ts="ts", require=ft.target_name(h))
+        got = every.filter(F.col(splits.split_name(h)).isNotNull())
+        key = lambda d, c: sorted((r["asset_id"], str(r["ts"]), r[c], r[ft.target_name(h)]) for r in d.collect())
+        assert key(got, splits.split_name(h)) == key(want, "split")
+
+
+def test_quantiles_with_nan_and_infinities(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, nan, None, inf)] + [("b", -inf), ("b", 5.0), ("b", 6.0), ("c", nan)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["q"] for r in quantiles.exact_quantiles(df, ["k"], "v", [0.0, 1 / 3, 1.0]).collect()}
+    assert got["a"] == [1.0, 2.0, inf] and got["b"][0] == -inf and got["b"][2] == 6.0 and "c" not in got
 
 
 def test_order_check_across_blocks(spark):

@@ -174,3 +174,33 @@ def test_config_rejects_unknown_fill():
     with pytest.raises(ValueError):
         C.PrepConfig(fill_method="cubic")
     assert C.PrepConfig(fill_method="backward").fill_method == "backfill"
+
+
+@pytest.mark.parametrize("price", [1234.56, 6842.13, 68735.79])
+def test_flat_prices_have_no_deviation(spark, price):
+    g = ft.Grid()
+    stages = [
+        ft.rolling_stage(g, (5, 7, 14, 30), ("mean", "std")), ft.volatility_stage(g), ft.sma_stage(g),
+        ft.bollinger_stage(g), ft.stability_stage(g),
+    ]
+    rows = ft.apply_stages(frame(spark, {"a": [price] * 80}), stages).orderBy("d").collect()
+    for r in rows[60:]:
+        for name, value in r.asDict().items():
+            if name.startswith(("rolling_std", "volatility_", "luxury_vol")) and "ratio" not in name:
+                assert value == 0.0, name
+            if name.startswith(("bb_position", "volatility_ratio")):
+                assert value is None, name
+            if name.startswith(("bb_upper", "bb_lower", "sma_", "rolling_mean")):
+                assert value == price, name
+
+
+def test_windows_longer_than_the_unrolled_ones(spark):
+    values = [100 + (i * 37 % 11) * 1.5 for i in range(150)]
+    g = ft.Grid()
+    stage = ft.Stage(g)
+    stage.out = {"m": stage.full("avg", "price", 100), "s": stage.full("std", "ret", 90), "u": stage.full("avg", "up", 70)}
+    got = ft.apply_stages(frame(spark, {"a": values}), [stage]).orderBy("d").toPandas()
+    s = pd.Series(values)
+    close(got["m"], s.rolling(100).mean().to_numpy(), 1e-9)
+    close(got["s"], s.pct_change().rolling(90).std().to_numpy(), 1e-9)
+    close(got["u"], s.diff().clip(lower=0).fillna(0).rolling(70).mean().to_numpy(), 1e-9)

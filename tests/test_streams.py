@@ -31,7 +31,7 @@ def rows_at(spark, seconds, values=None):
 
 
 def test_sustained_needs_neighbouring_windows(spark):
-    counts = ss.window_counts(rows_at(spark, [0, 1, 61, 62, 63, 125, 300, 301, 420, 421, 480, 481]), "ts", ss.ERROR_WINDOW)
+    counts = ss.window_counts(rows_at(spark, [0, 1, 61, 62, 63, 125, 300, 301, 420, 421, 480, 481]), "ts", ss.ERROR_WINDOW, "1 hour")
     got = {(r["window_start"] - T0).seconds: r["n"] for r in ss.sustained(counts, 60).collect()}
     assert got == {60: 3, 480: 2}
     three = ss.sustained(counts, 60, threshold=0, in_a_row=3).collect()
@@ -42,9 +42,9 @@ def test_latency_quantile(spark):
     values = [float(v) for v in range(4900, 5010, 10)]
     df = rows_at(spark, [1] * len(values) + [70], values + [10.0])
     got = {(r["window_start"] - T0).seconds: (r["p_high"], r["alert"]) for r in ss.latency_alerts(
-        ss.window_values(df, "ts", "value", "60 seconds")).collect()}
+        ss.window_values(df, "ts", "value", "60 seconds", "1 hour")).collect()}
     assert got == {0: (4995.0, False), 60: (10.0, False)}
-    assert ss.latency_alerts(ss.window_values(df, "ts", "value", "60 seconds"), limit=4990.0).filter("alert").count() == 1
+    assert ss.latency_alerts(ss.window_values(df, "ts", "value", "60 seconds", "1 hour"), limit=4990.0).filter("alert").count() == 1
 
 
 def test_updates_across_batches_keep_the_newest_version(spark, tmp_path):
@@ -63,7 +63,7 @@ def test_dedupe_stream(spark, tmp_path):
     df = rows_at(spark, [0, 0, 5, 5, 5], [1.0, 1.0, 1.0, 2.0, 2.0])
     df.write.parquet(src)
     stream = ss.stream_files(spark, src, "*.parquet", df.schema)
-    ss.run_to_table(ss.dedupe_stream(stream, ["ts", "value"], "ts"), out, cp, "append")
+    ss.run_to_table(ss.dedupe_stream(stream, ["ts", "value"], "ts", "1 hour"), out, cp, "append")
     assert spark.read.parquet(out).select("ts", "value").count() == 3
 
 
@@ -71,7 +71,7 @@ def test_batch_and_stream_counts_agree(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
     df = rows_at(spark, list(range(0, 600, 7)))
     df.write.parquet(src)
-    ss.run_to_table(ss.window_counts(ss.stream_files(spark, src, "*.parquet", df.schema), "ts", "60 seconds"), out, cp)
+    ss.run_to_table(ss.window_counts(ss.stream_files(spark, src, "*.parquet", df.schema), "ts", "60 seconds", "1 hour"), out, cp)
     streamed = ss.newest_version(spark, out, ["window_start"], "window_start TIMESTAMP, n BIGINT")
-    assert streamed.exceptAll(ss.window_counts(df, "ts", "60 seconds")).count() == 0
+    assert streamed.exceptAll(ss.window_counts(df, "ts", "60 seconds", "1 hour")).count() == 0
     assert streamed.agg(F.sum("n")).first()[0] == df.count()
