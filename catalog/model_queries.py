@@ -86,6 +86,99 @@ def mdl8(spark, sf):
     return models.standardize(pd(spark, sf).drop("seq"), ["price"]).withColumn("price", F.round("price", 7) + 0)
 
 
+# ---- fits with closed forms: group means, one feature, a line over the grid -------------------
+
+
+def _two_valued(name):
+    def run(spark, sf):
+        li = table(spark, sf, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+            (F.col("l_linestatus") == "O").cast("double").alias("is_open"))
+        cfg = TrainConfig(trees=1, bootstrap=False)
+        scored = models.score(models.fit(name, li, ["is_open"], "l_extendedprice", cfg), li)
+        return scored.select("l_orderkey", "l_linenumber", "l_partkey", snap("prediction", 3).alias("prediction"))
+
+    return run
+
+
+_MEANS = f"""SELECT l_orderkey, l_linenumber, l_partkey,
+  {snap_sql("avg(l_extendedprice) OVER (PARTITION BY l_linestatus = 'O')", 3)} AS prediction FROM lineitem"""
+query("mdl4_one_tree", _MEANS)(_two_valued("random_forest"))
+query("mdl5_one_round", _MEANS)(_two_valued("xgboost"))
+query("mdl6_one_round", _MEANS)(_two_valued("lightgbm"))
+
+
+@query("mdl7_coefficients", f"""WITH {_ONE} k AS (SELECT cxy / vx AS slope FROM c)
+SELECT 'linear' AS model, 'l_quantity' AS feature, round(abs(slope), 5) AS importance FROM k""")
+def mdl7_coefficients(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    model = models.fit("linear", li, ["l_quantity"], "l_extendedprice")
+    return models.importance(spark, "linear", model).withColumn("importance", F.round("importance", 5))
+
+
+@query("mdl7_parameters", """SELECT * FROM (VALUES ('lasso', 'elasticNetParam', '1.0'), ('lasso', 'labelCol', 'l_extendedprice'),
+  ('lasso', 'maxIter', '1000'), ('lasso', 'regParam', '1.0'), ('lasso', 'standardization', 'False')) t(model, parameter, value)
+WHERE (SELECT count(*) FROM lineitem) > 0""")
+def mdl7_parameters(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    report = models.parameters(spark, "lasso", models.fit("lasso", li, ["l_quantity"], "l_extendedprice"))
+    return report.filter(F.col("parameter").isin("elasticNetParam", "labelCol", "maxIter", "regParam", "standardization"))
+
+
+HORIZONS = (1, 2, 3, 4, 5, 6, 7)
+LINE = TrainConfig(horizons=HORIZONS, models=("linear",))
+_LINE = PD_SQL + ", t AS (" + " UNION ALL ".join(
+    f"SELECT {h} AS h, asset_id, d, price, lead(price, {h}) OVER (PARTITION BY asset_id ORDER BY d) AS y FROM pd" for h in HORIZONS
+) + f"""), n AS (SELECT *, row_number() OVER (PARTITION BY h, asset_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY h, asset_id) AS n
+  FROM t WHERE y IS NOT NULL),
+sp AS (SELECT *, CASE WHEN i < floor(n * {1 - 0.2 - 0.1!r}::DOUBLE) THEN 'train' WHEN i < floor(n * {1 - 0.2!r}::DOUBLE) THEN 'val' ELSE 'test' END AS split
+  FROM n WHERE n >= 20 AND floor(n * {1 - 0.2 - 0.1!r}::DOUBLE) > 0),
+ab AS (SELECT h, regr_slope(y, price) AS b, regr_intercept(y, price) AS a FROM sp WHERE split = 'train' GROUP BY 1),
+last AS (SELECT asset_id, d, price FROM pd QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY d DESC) = 1),
+fc AS (SELECT 'linear' AS model_name, asset_id, CAST(h AS INTEGER) AS horizon_days, d AS feature_date, CAST(d + CAST(h AS INTEGER) AS DATE) AS prediction_date,
+  round(a + b * price, 3) AS prediction, price AS current_price FROM last, ab)"""
+_DATES = ("feature_date", "prediction_date")
+
+
+def _line(spark, sf):
+    rows = pd(spark, sf).select("asset_id", "d", "price")
+    where = scratch_path(spark, "models")
+    out = training_plan.train_grid(rows, ["price"], LINE, where)
+    if out.errors:
+        raise RuntimeError(out.errors)
+    return rows, where, out
+
+
+@query("pip4_line_metrics", f"""WITH {_LINE}, e AS (SELECT h, y - a - b * price AS r FROM sp JOIN ab USING (h) WHERE split = 'test')
+SELECT CAST(h AS INTEGER) AS horizon, 'linear' AS model, 'rmse' AS metric, round(sqrt(avg(r * r)), 3) AS value FROM e GROUP BY h
+UNION ALL SELECT CAST(h AS INTEGER), 'linear', 'mae', round(avg(abs(r)), 3) FROM e GROUP BY h""")
+def pip4_line(spark, sf):
+    _, _, out = _line(spark, sf)
+    return out.metrics.filter(F.col("metric").isin("rmse", "mae")).withColumn("value", F.round("value", 3))
+
+
+@query("pip5_line_forecasts", f"WITH {_LINE} SELECT * FROM fc", as_text=_DATES)
+def pip5_line(spark, sf):
+    rows, where, _ = _line(spark, sf)
+    made = training_plan.forecast_latest(rows, where, ["linear"], list(HORIZONS), ["price"])
+    return made.withColumn("prediction", F.round("prediction", 3))
+
+
+@query("pip6_line_forecasts_of_assets", f"WITH {_LINE} SELECT * FROM fc WHERE asset_id IN (SELECT s_nationkey FROM supplier) AND horizon_days IN (2, 7)", as_text=_DATES)
+def pip6_line(spark, sf):
+    rows, where, _ = _line(spark, sf)
+    wanted = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("asset_id")).distinct()
+    made = training_plan.forecast_latest(rows, where, ["linear"], [7, 2], ["price"], assets=wanted)
+    return made.withColumn("prediction", F.round("prediction", 3))
+
+
+@query("mdl10_forecast_one", f"WITH {_LINE} SELECT * FROM fc WHERE asset_id = 3 AND horizon_days = 7", as_text=_DATES)
+def mdl10(spark, sf):
+    rows, where, _ = _line(spark, sf)
+    made = training_plan.forecast_one(rows, 3, 7, "linear", model_dir=where, features=["price"])
+    return made.withColumn("prediction", F.round("prediction", 3))
+
+
 @query("pip4_training_grid")
 def pip4(spark, sf):
     out = training_plan.train_grid(_features(spark, sf), FEATURES, SMALL, scratch_path(spark, "models"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.registry import P_SQL, PD_SQL, W, full, p, pd, query, r, snap, snap_sql, table
@@ -150,7 +151,7 @@ vd AS (SELECT *, row_count >= 2 AND ordered AS is_valid, NOT ordered AS has_date
 
 @query("agg11_validation_summary", f"""
 WITH {_V} SELECT count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid,
-  count(*) FILTER (WHERE NOT is_valid AND has_date_issues) AS date_issues,
+  0::BIGINT AS errors, count(*) FILTER (WHERE NOT is_valid AND has_date_issues) AS date_issues,
   count(*) FILTER (WHERE NOT is_valid) - count(*) FILTER (WHERE NOT is_valid AND has_date_issues) AS insufficient,
   round(count(*) FILTER (WHERE is_valid) * 100.0::DOUBLE / count(*), 6) AS percent FROM vd""")
 def agg11(spark, sf):
@@ -196,6 +197,60 @@ def agg16(spark, sf):
     return _verdicts(spark, sf).select("o_custkey", "row_count", "is_valid", "has_date_issues", "error_message")
 
 
+def _collected(spark, sf):
+    """Orders of each nation as a collected file: in date order, in key order, cut short, header only, no text."""
+    from seriesloom.session import scratch_path
+    from seriesloom.sources import readers
+
+    path = scratch_path(spark, "collected")
+    rows = p(spark, sf).withColumn("kind", F.col("asset_id") % 5)
+    at = F.row_number().over(Window.partitionBy("asset_id").orderBy("ts", "tie"))
+    body = rows.withColumn("at", at).filter((F.col("kind") != 3) & ((F.col("kind") != 2) | (F.col("at") <= 3))).select(
+        "asset_id", F.when(F.col("kind") == 1, F.col("tie")).otherwise(F.col("at")).alias("k"),
+        F.when((F.col("kind") == 4) & (F.col("at") == 2), F.unhex(F.lit("FF2C31")).cast("string"))
+        .otherwise(F.concat_ws(",", F.col("ts").cast("string"), F.col("price").cast("string"))).alias("value"))
+    header = rows.select("asset_id", F.lit(-1).cast("bigint").alias("k"), F.lit("date,price(SGD)").alias("value")).distinct()
+    lines = body.unionByName(header).repartition("asset_id").sortWithinPartitions("asset_id", "k")
+    lines.select("asset_id", "value").write.partitionBy("asset_id").text(path)
+    checked = validation.file_check(readers.read_for_check(spark, path, "*.txt"))
+    folder = F.regexp_extract("file", "asset_id=([0-9]+)", 1).cast("int")
+    return validation.verdicts(checked, 30).withColumn("asset_id", folder).drop("file")
+
+
+_FILES = P_SQL + """, st AS (SELECT asset_id, ts < lag(ts) OVER (PARTITION BY asset_id ORDER BY tie) AS back FROM p),
+n AS (SELECT asset_id, asset_id % 5 AS kind, count(*) AS n, count(*) FILTER (WHERE back) AS backs FROM st GROUP BY 1),
+fl AS (SELECT asset_id, CASE WHEN kind >= 3 THEN 0 WHEN kind = 2 THEN least(n, 3) ELSE n END AS row_count,
+  kind <> 1 OR backs = 0 AS ordered, kind FROM n),
+fv AS (SELECT asset_id, row_count, kind < 3 AND ordered AND row_count >= 30 AS is_valid, kind = 4 AS is_error, NOT ordered AS has_date_issues,
+  CASE kind WHEN 4 THEN 'Error reading file: not UTF-8 text' WHEN 3 THEN 'Empty or header-only file' ELSE
+    nullif(concat_ws('; ', CASE WHEN row_count < 30 THEN 'Insufficient rows: ' || row_count || ' < 30' END,
+                     CASE WHEN NOT ordered THEN 'Date ordering issue' END), '') END AS error_message FROM fl)"""
+
+
+@query("agg16_file_verdicts", f"WITH {_FILES} SELECT * FROM fv")
+def agg16_files(spark, sf):
+    return _collected(spark, sf).select(
+        "asset_id", "row_count", "is_valid", "is_error", "has_date_issues", "error_message")
+
+
+@query("agg11_file_summary", f"""
+WITH {_FILES} SELECT count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid,
+  count(*) FILTER (WHERE NOT is_valid AND NOT is_error) AS invalid, count(*) FILTER (WHERE is_error) AS errors,
+  count(*) FILTER (WHERE has_date_issues) AS date_issues,
+  count(*) FILTER (WHERE NOT is_valid AND NOT is_error AND NOT has_date_issues) AS insufficient,
+  round(count(*) FILTER (WHERE is_valid) * 100.0::DOUBLE / count(*), 6) AS percent FROM fv""")
+def agg11_files(spark, sf):
+    return validation.verdict_summary(_collected(spark, sf)).withColumn("percent", r("percent", 6))
+
+
+@query("snk9_report_headings", f"""
+WITH {_FILES}, c AS (SELECT CASE WHEN is_valid THEN 'VALID FILES' WHEN is_error THEN 'ERROR FILES' ELSE 'INVALID FILES' END AS category FROM fv),
+h AS (SELECT unnest(['VALID FILES', 'INVALID FILES', 'ERROR FILES']) AS category)
+SELECT category, count(c.category) AS n, category || ' (' || count(c.category) || '):' AS line FROM h LEFT JOIN c USING (category) GROUP BY category""")
+def snk9_headings(spark, sf):
+    return validation.report_headings(_collected(spark, sf))
+
+
 @query("snk8_quarantine_counts", f"""
 WITH {_V} SELECT CASE WHEN is_valid THEN 'kept' ELSE error_message END AS fate, count(*) AS n_rows
 FROM orders JOIN vd USING (o_custkey) GROUP BY 1""")

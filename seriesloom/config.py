@@ -123,6 +123,7 @@ class TrainConfig:
     seed: int = 42
     max_samples: int | None = None
     trees: int = 100
+    bootstrap: bool = True
     learning_rate: float = 0.1
     boost_depth: int = 6
     leafwise_depth: int = 5  # a depth of 31 leaves, in place of unlimited depth

@@ -43,7 +43,7 @@ def _lasso(train: DataFrame, label: str, cfg: TrainConfig) -> Estimator:
 def _forest(train: DataFrame, label: str, cfg: TrainConfig) -> Estimator:
     return RandomForestRegressor(
         labelCol=label, numTrees=cfg.trees, featureSubsetStrategy="sqrt",
-        maxDepth=cfg.forest_depth, seed=cfg.seed,
+        maxDepth=cfg.forest_depth, seed=cfg.seed, bootstrap=cfg.bootstrap,
     )
 
 

@@ -11,8 +11,10 @@ BLOCK = 1 << 20
 TOO_FEW_ROWS = "Insufficient rows: %d < %d"
 BAD_ORDER = "Date ordering issue"
 NO_ROWS = "Empty or header-only file"
+UNREADABLE = "Error reading file: not UTF-8 text"
 VALID_HEADING = "VALID FILES"
 INVALID_HEADING = "INVALID FILES"
+ERROR_HEADING = "ERROR FILES"
 # ------------------------------------------------------------------------------
 
 
@@ -48,8 +50,23 @@ def order_check(
     )
 
 
+def file_check(lines: DataFrame, file: str = "file", block: int = BLOCK) -> DataFrame:
+    """Order check of collected files that keeps empty and unreadable ones.
+
+    ``lines`` is what ``readers.read_for_check`` gives. Unreadable and empty files have
+    no rows.
+    """
+    facts = lines.groupBy(file).agg(F.count_if(~F.col("readable")).alias("_bad"))
+    rows = order_check(lines.filter(F.col("ordinal").isNotNull()), file, "ts", "ordinal", block)
+    found = facts.join(rows, file, "left").withColumn("unreadable", F.col("_bad") > 0).drop("_bad")
+    gone = F.col("unreadable") | F.col("row_count").isNull()
+    numbers = {c: F.when(gone, F.lit(0)).otherwise(F.col(c)).cast("bigint") for c in ("row_count", "missing", "steps_back")}
+    return found.withColumns({**numbers, "ordered": F.when(gone, F.lit(True)).otherwise(F.col("ordered"))})
+
+
 def verdicts(checked: DataFrame, min_rows: int) -> DataFrame:
-    """Validity, category and joined error text from an order check."""
+    """Validity, category and joined error text from an order check or a file check."""
+    unreadable = F.col("unreadable") if "unreadable" in checked.columns else F.lit(False)
     enough = F.col("row_count") >= min_rows
     text = F.concat_ws(
         "; ",
@@ -59,19 +76,22 @@ def verdicts(checked: DataFrame, min_rows: int) -> DataFrame:
     empty = F.col("row_count") == 0
     return checked.withColumns({
         "is_valid": enough & F.col("ordered") & ~empty,
+        "is_error": unreadable,
         "has_date_issues": ~F.col("ordered") & ~empty,
-        "error_message": F.when(empty, F.lit(NO_ROWS)).otherwise(
+        "error_message": F.when(unreadable, F.lit(UNREADABLE)).when(empty, F.lit(NO_ROWS)).otherwise(
             F.nullif(text, F.lit(""))),
     })
 
 
 def verdict_summary(v: DataFrame) -> DataFrame:
-    """One row: valid, invalid by cause, and success percent."""
+    """One row: valid, invalid by cause, errors, and success percent."""
+    invalid = ~F.col("is_valid") & ~F.col("is_error")
     return v.agg(
         F.count("*").alias("total"),
         F.count_if("is_valid").alias("valid"),
-        F.count_if(~F.col("is_valid")).alias("invalid"),
-        F.count_if(~F.col("is_valid") & F.col("has_date_issues")).alias("date_issues"),
+        F.count_if(invalid).alias("invalid"),
+        F.count_if("is_error").alias("errors"),
+        F.count_if(invalid & F.col("has_date_issues")).alias("date_issues"),
     ).withColumns({
         "insufficient": F.col("invalid") - F.col("date_issues"),
         "percent": F.try_divide(F.col("valid") * 100.0, F.col("total")),
@@ -85,13 +105,31 @@ def report_lines(v: DataFrame, name: str) -> DataFrame:
         F.concat(F.col(name).cast("string"), F.lit(" ("), F.col("row_count").cast("string"), F.lit(" rows)")),
     ).otherwise(F.concat(F.col(name).cast("string"), F.lit(": "), F.col("error_message")))
     return v.select(
-        F.when(F.col("is_valid"), VALID_HEADING).otherwise(INVALID_HEADING).alias("category"),
+        F.when(F.col("is_valid"), VALID_HEADING).when(F.col("is_error"), ERROR_HEADING)
+        .otherwise(INVALID_HEADING).alias("category"),
         F.col(name).alias("file"), line.alias("line"),
     )
 
 
+def report_headings(v: DataFrame) -> DataFrame:
+    """The report's headings with their counts, categories without files included."""
+    counts = v.agg(
+        F.count_if("is_valid").alias("v"), F.count_if(~F.col("is_valid") & ~F.col("is_error")).alias("i"),
+        F.count_if("is_error").alias("e"),
+    )
+    pairs = F.array(*[
+        F.struct(F.lit(h).alias("category"), F.col(c).alias("n"))
+        for h, c in ((VALID_HEADING, "v"), (INVALID_HEADING, "i"), (ERROR_HEADING, "e"))
+    ])
+    return counts.select(F.explode(pairs).alias("x")).select(
+        "x.category", "x.n", F.format_string("%s (%d):", "x.category", "x.n").alias("line")
+    )
+
+
 def split_quarantine(df: DataFrame, v: DataFrame, asset: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of valid assets, and all other rows with the reason attached."""
-    good = df.join(v.filter("is_valid").select(asset), asset, "left_semi")
-    bad = df.join(v.filter(~F.col("is_valid")).select(asset, F.col("error_message").alias("reason")), asset)
-    return good, bad
+    """Rows of valid assets, and all other rows with the reason attached.
+
+    Both come from one join; write ``v`` first when both are to be used.
+    """
+    marked = df.join(v.select(asset, F.col("is_valid").alias("_ok"), F.col("error_message").alias("reason")), asset)
+    return marked.filter("_ok").drop("_ok", "reason"), marked.filter(~F.col("_ok")).drop("_ok")

@@ -104,6 +104,33 @@ def read_series(
     return rows.join(usable, "asset_id", "left_semi").select("asset_id", "ts", "price", "position")
 
 
+def read_for_check(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """(file, ordinal, ts, readable) of every collected file, good or not.
+
+    The first line of a file is its header and the first cell of a line its date. A file
+    without lines after the header has one row with a NULL ordinal. ``readable`` is false
+    for lines that are no UTF-8 text. ``ordinal`` rises with the lines of a file: a split
+    begins further on than any row number of the split before it.
+    """
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+        .load(path).select(F.col("_metadata.file_path").alias("file"))
+    )
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = (
+        spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"),
+                (F.col("_metadata.file_block_start") + row).alias("ordinal"))
+    )
+    header = lines.groupBy("file").agg(F.min("ordinal").alias("_top"))
+    first_cell = _unquoted(F.get(csv_cells(F.col("value")), F.lit(0)))
+    readable = F.is_valid_utf8("value")
+    body = lines.join(header, "file").filter(F.col("ordinal") > F.col("_top")).select(
+        "file", "ordinal", F.when(readable, first_cell.try_cast("timestamp")).alias("ts"), readable.alias("readable"),
+    )
+    return files.join(body, "file", "left").withColumn("readable", F.coalesce("readable", F.lit(True)))
+
+
 def csv_cells(line: Column) -> Column:
     """Cells of a CSV line, quotes kept."""
     return F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))

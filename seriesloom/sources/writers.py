@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.validation import split_quarantine
+from seriesloom.session import materialize
 
 
 def write_by_asset(
@@ -84,7 +85,7 @@ def write_quarantine(
     df: DataFrame, verdicts: DataFrame, asset: str, good_path: str, bad_path: str, session: str
 ) -> None:
     """Valid assets to one folder; the others, with reason, time and session, to another."""
-    good, bad = split_quarantine(df, verdicts, asset)
+    good, bad = split_quarantine(df, materialize(verdicts, "verdicts"), asset)
     write_table(good, good_path)
     write_table(
         bad.withColumns({"moved_at": F.current_timestamp(), "session": F.lit(session)}), bad_path
