@@ -461,6 +461,13 @@ def _rounded_sql(name: str, how: str) -> str:
     return f"{snap_sql(name, digits)} AS {name}" if how[0] == "s" else f"round({name}, {digits}) + 0 AS {name}"
 
 
+#: Returns and moves, then every feature, over the grid ``pd`` and its exponential means.
+_FAMILIES_SQL = f"""g AS (SELECT asset_id, d, price, price / nullif(lag(price) OVER w, 0) - 1 AS ret,
+    greatest(coalesce(price - lag(price) OVER w, 0), 0) AS g, greatest(coalesce(lag(price) OVER w - price, 0), 0) AS l,
+    e5.ema AS e5, e10.ema AS e10, e20.ema AS e20
+  FROM pd JOIN e5 USING (asset_id, d) JOIN e10 USING (asset_id, d) JOIN e20 USING (asset_id, d) {W}),
+f AS (SELECT asset_id, d, price, {', '.join(f'{sql} AS {name}' for name, (sql, _) in _COLUMNS.items())} FROM g {W})"""
+
 _GRID_SQL = f"""{B_SQL}, obs AS (
   SELECT asset_id, ts, price FROM (
     SELECT asset_id, ts, arg_min(price, tie) AS price, count(*) OVER (PARTITION BY asset_id) AS n FROM b GROUP BY asset_id, ts)
@@ -472,12 +479,15 @@ pd AS (
          CASE WHEN k = 0 THEN price ELSE price + (nxt - price) * k / gap END AS price
   FROM spaced, unnest(generate_series(0, gap - 1)) AS t(k)),
 rn AS (SELECT asset_id, d, price, row_number() OVER w AS rn FROM pd {W}),
-{_ema_sql(5)}, {_ema_sql(10)}, {_ema_sql(20)},
-g AS (SELECT asset_id, d, price, price / nullif(lag(price) OVER w, 0) - 1 AS ret,
-    greatest(coalesce(price - lag(price) OVER w, 0), 0) AS g, greatest(coalesce(lag(price) OVER w - price, 0), 0) AS l,
-    e5.ema AS e5, e10.ema AS e10, e20.ema AS e20
-  FROM pd JOIN e5 USING (asset_id, d) JOIN e10 USING (asset_id, d) JOIN e20 USING (asset_id, d) {W}),
-f AS (SELECT asset_id, d, price, {', '.join(f'{sql} AS {name}' for name, (sql, _) in _COLUMNS.items())} FROM g {W})"""
+{_ema_sql(5)}, {_ema_sql(10)}, {_ema_sql(20)}, {_FAMILIES_SQL}"""
+
+
+def _even(made):
+    """The features on the comparison grid of the SQL."""
+    return made.withColumns({
+        n: snap(n, int(how[1:])) if how[0] == "s" else r(n, int(how[1:])) + 0
+        for n, (_, how) in _COLUMNS.items() if how
+    })
 
 
 @query("feature_table_suppliers", f"""
@@ -489,9 +499,16 @@ def feature_table_suppliers(spark, sf):
     from catalog.registry import B_ORDER
     from seriesloom.plans.features_plan import prepare
 
-    made = prepare(b(spark, sf), B_ORDER).features
-    even = {
-        n: snap(n, int(how[1:])) if how[0] == "s" else r(n, int(how[1:])) + 0
-        for n, (_, how) in _COLUMNS.items() if how
-    }
-    return made.withColumns(even)
+    return _even(prepare(b(spark, sf), B_ORDER).features)
+
+
+@query("pip2_feature_pass", f"""
+WITH {PD_SQL}, rn AS (SELECT asset_id, d, price, row_number() OVER w AS rn FROM pd {W}),
+{_ema_sql(5)}, {_ema_sql(10)}, {_ema_sql(20)}, {_FAMILIES_SQL}
+SELECT d AS date, price, CAST(asset_id AS VARCHAR) AS watch_id, CAST(asset_id AS VARCHAR) AS brand,
+  'Unknown' AS model, asset_id, {', '.join(_rounded_sql(n, how) for n, (_, how) in _COLUMNS.items())}
+FROM f WHERE target IS NOT NULL""", as_text=("date",))
+def pip2_features(spark, sf):
+    from seriesloom.plans.features_plan import engineer
+
+    return _even(engineer(pd(spark, sf)))

@@ -121,6 +121,16 @@ def src9(spark, sf):
     return readers.load_features(spark, path, f"{path}-missing").select("asset_id", "d", "price")
 
 
+@query("src9_combined_branch", f"WITH {PD_SQL} SELECT CAST(asset_id AS VARCHAR) AS asset_id, d, price FROM pd", as_text=("d",))
+def src9_combined(spark, sf):
+    """No unified table yet: files that name their asset ``watch_id`` are combined and kept as it."""
+    parts, unified = scratch_path(spark, "parts"), scratch_path(spark, "unified")
+    rows = pd(spark, sf).select(F.col("asset_id").cast("string").alias("watch_id"), "d", "price")
+    writers.write_table(rows.repartition(4, "watch_id"), parts)
+    readers.load_features(spark, unified, parts)
+    return readers.load_features(spark, unified, f"{parts}-missing").select("asset_id", "d", "price")
+
+
 @query("src10_inventory", f"WITH {OBS_SQL} SELECT count(DISTINCT asset_id) AS n_files, true AS has_bytes FROM obs")
 def src10(spark, sf):
     total = readers.inventory_total(readers.inventory(spark, _series_dir(spark, sf), "*.csv"))
@@ -234,6 +244,13 @@ def pip2(spark, sf):
     return features_plan.clean_only(p(spark, sf), ["tie"]).drop("seq")
 
 
+@query("pip2_clean_and_check", f"""
+WITH {_KEPT} SELECT asset_id, d, price FROM kept WHERE asset_id IN (SELECT asset_id FROM kept GROUP BY 1 HAVING count(price) > 0)""", as_text=("d",))
+def pip2_check(spark, sf):
+    rows, _ = features_plan.clean_and_check(p(spark, sf), ["tie"], 1500.0, 499000.0)
+    return rows.drop("seq")
+
+
 @query("pip3_combined_dataset", f"""
 WITH {PD_SQL}, x AS (SELECT asset_id, d, 'g' || asset_id % 4 AS brand, 'm' || asset_id AS model FROM pd)
 SELECT asset_id, d, brand, model, CAST(dense_rank() OVER (ORDER BY brand) - 1 AS INTEGER) AS brand_encoded,

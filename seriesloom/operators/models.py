@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.config import TrainConfig
 from seriesloom.operators.splits import numeric_features
+from seriesloom.operators.summaries import label_codes
+from seriesloom.session import scratch_path
 
 
 def _label_scale(train: DataFrame, label: str) -> tuple[float, int]:
@@ -75,14 +78,26 @@ def build(name: str, train: DataFrame, label: str, cfg: TrainConfig = TrainConfi
     return BUILDERS[name](train, label, cfg)
 
 
+def _encoder(rows: DataFrame, column: str, folder: str) -> SQLTransformer:
+    """A stage that joins the written codes of ``column``, one table per fit."""
+    path = f"{folder.rstrip('/')}/{column}-{uuid.uuid4().hex}"
+    label_codes(rows, column).select(F.col(column).alias("value"), "code").write.parquet(path)
+    return SQLTransformer(statement=(
+        f"SELECT __THIS__.*, coalesce(c.code, -1) AS `{column}_code` FROM __THIS__ "
+        f"LEFT JOIN parquet.`{path}` c ON __THIS__.`{column}` = c.value"
+    ))
+
+
 def fit(
     name: str, df: DataFrame, features: list[str], label: str, cfg: TrainConfig = TrainConfig(),
-    categorical: tuple[str, ...] = (), split: str = "split",
+    categorical: tuple[str, ...] = (), split: str = "split", codes: str | None = None,
 ) -> PipelineModel:
     """Fit on the train rows; boosted models also watch the val rows.
 
     Encoders and the feature list are part of the returned model, so scoring
-    re-uses them and fails on a missing column.
+    re-uses them and fails on a missing column. The codes of a categorical column are
+    a table, written to the folder ``codes`` beside the model and joined when scoring;
+    missing and unseen texts are -1.
     """
     rows = df.filter(F.col(label).isNotNull())
     if split in df.columns:
@@ -90,10 +105,7 @@ def fit(
             rows = rows.filter(F.col(split).isin("train", "val")).withColumn("is_val", F.col(split) == "val")
         else:
             rows = rows.filter(F.col(split) == "train")
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_code", stringOrderType="alphabetAsc", handleInvalid="keep")
-        for c in categorical
-    ]
+    indexers = [_encoder(rows, c, codes or scratch_path(df.sparkSession, "codes")) for c in categorical]
     inputs = [f for f in features if f not in categorical] + [f"{c}_code" for c in categorical]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     return Pipeline(stages=[*indexers, assembler, build(name, rows, label, cfg)]).fit(rows)

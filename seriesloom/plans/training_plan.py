@@ -52,7 +52,9 @@ def train_grid(
             rows = train.unionByName(rows.filter(F.col("split") != "train"))
         for name in cfg.models:
             try:
-                model = models.fit(name, rows, features, label, cfg, categorical)
+                model = models.fit(
+                    name, rows, features, label, cfg, categorical, codes=f"{model_dir.rstrip('/')}/_codes"
+                )
                 out.saved.append(writers.save_model(model, model_dir, name, h))
                 scored = models.score(model, rows.filter(F.col("split") == "test"), "y_pred")
                 wide = metrics.all_metrics(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,21 +29,30 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master, where
-    driver and executors share one disk, may fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``; tables lie in a folder of the
+    application there, until ``clear_scratch``. Only a local master, where driver and
+    executors share one disk, may fall back to a temporary folder, which goes when the
+    program ends.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return base
+        return f"{base.rstrip('/')}/seriesloom-{spark.sparkContext.applicationId}"
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         _local_scratch[app] = tempfile.mkdtemp(prefix="seriesloom-")
+        atexit.register(shutil.rmtree, _local_scratch[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_local_scratch[app])
     return _local_scratch[app]
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them end with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -181,21 +181,19 @@ def _or_empty(spark: SparkSession, load, schema: T.StructType | str) -> DataFram
 def read_mixed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON files that are lines, an array, an object holding a list, or one object.
 
-    A file with at least one line that is an object is read by line. Only the
-    others are read as whole documents.
+    A file with at least one line that is an object is read by line. The lines of
+    the others are put together again, each file a document of one row.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"), "value"
-    )
+    lines = read_lines(spark, path).withColumn("v", F.try_parse_json("value"))
     is_object = F.schema_of_variant("v").startswith("OBJECT")
     by_line = lines.filter(is_object).select(F.from_json("value", schema).alias("r"))
     shapes = lines.groupBy("file").agg(F.max(F.coalesce(is_object, F.lit(False))).alias("lined"))
-    documents = [r["file"] for r in shapes.filter(~F.col("lined")).select("file").collect()]
-    if not documents:
-        return by_line.select("r.*")
-    whole = spark.read.text(documents, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    loose = lines.drop("v").join(shapes.filter(~F.col("lined")).select("file"), "file", "left_semi")
+    parts = F.sort_array(F.collect_list(F.struct("position", "value")))
+    text = F.array_join(F.transform(parts, lambda x: x["value"]), "\n")
+    whole = loose.groupBy("file").agg(text.alias("value")).select(F.try_parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
     entries = F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))
     first_list = F.get(F.filter(entries, lambda x: F.schema_of_variant(x).startswith("ARRAY")), F.lit(0))
@@ -252,7 +250,10 @@ def registry_names(spark: SparkSession, model_dir: str) -> list[str]:
     """Saved model folders under a directory."""
     p = spark._jvm.org.apache.hadoop.fs.Path(model_dir)
     fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(n for n in names if not n.startswith("_"))
 
 
 def brand_dimension(brands: DataFrame, column: str, base: str) -> DataFrame:
