@@ -186,16 +186,22 @@ def test_insults_with_gaps_and_inserted_letters():
     clean = ["".join(rng.choice(("ta", "ne", "ro", "li", "su", "ve")) for _ in range(rng.randint(2, 5))) for _ in range(1500)]
     bags, y = [], []
     for i in range(300):
-        bag = set(rng.sample(clean, 25))
+        bag = set(rng.sample(clean, rng.randint(15, 40)))
         if i % 3 == 0:
             bag.add(rng.choice(("blockhead", "dimwit", "numbskull")))
         bags.append(bag)
         y.append(int(i % 3 == 0))
     model = subsequence.fit(bags, np.array(y), 0.33)
-    score = lambda t: model.probability(max(model.margins([w for s in subsequence.strings(t) for w in subsequence.windows(s)])))
+
+    def score(text):
+        """Of a clean document with this text put into it."""
+        found = [*rng.sample(clean, 24), *subsequence.strings(text)]
+        margins = [float(model.margins(subsequence.windows(w)).max()) for w in found]
+        return model.probability(sorted(margins, reverse=True)[:subsequence.WORST], len(found))
+
     for t in ("you blockhead", "b l o c k h e a d", "block-head", "bl.ock.head", "blockxhead", "dimwitt", "numbsskull", "n u m b s k u l l"):
         assert score(t) >= 0.5, t
-    assert sum(score(w) >= 0.5 for w in clean) <= 0.01 * len(clean)
+    assert sum(score(w) >= 0.5 for w in clean[:300]) <= 3
 
 
 # ---- pipeline -------------------------------------------------------------------------
