@@ -29,6 +29,7 @@ def stm1(spark, sf):
     for part in (0, 1):
         rows.filter(F.col("tie") % 2 == part).write.mode("append").parquet(source)
         ss.ingest_prices(ss.stream_files(spark, source, "*.parquet", schema), out, checkpoint)
+    ss.compact(spark, out, ["asset_id", "ts"], ["tie"], schema)
     return ss.merged_prices(spark, out, schema)
 
 
@@ -39,9 +40,11 @@ SELECT h.window_start, h.n FROM h JOIN h prev ON prev.window_start = h.window_st
 def stm2(spark, sf):
     out = scratch_path(spark, "error-windows")
     errors = _events(spark, sf).filter(F.col("event_type") == "error")
-    ss.run_to_table(ss.window_counts(errors, "ts", "2 hours", LATENESS), out, scratch_path(spark, "checkpoint"))
-    counts = ss.newest_version(spark, out, ["window_start"], "window_start TIMESTAMP, n BIGINT")
-    return ss.sustained(counts, 7200, threshold=5)
+    alerts, schema = scratch_path(spark, "error-alerts"), "window_start TIMESTAMP, n BIGINT"
+    ss.run_with_alerts(
+        ss.window_counts(errors, "ts", "2 hours", LATENESS), out, alerts, scratch_path(spark, "checkpoint"),
+        ["window_start"], schema, lambda counts: ss.sustained(counts, 7200, threshold=5), reach=7200)
+    return ss.newest_version(spark, alerts, ["window_start"], schema)
 
 
 @query("stm3_latency_p95", """
@@ -50,9 +53,12 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, round(quantile_cont(val
 def stm3(spark, sf):
     out = scratch_path(spark, "latency-windows")
     values = ss.window_values(_events(spark, sf), "ts", "value", "1 hour", LATENESS)
-    ss.run_to_table(values, out, scratch_path(spark, "checkpoint"))
-    seen = ss.newest_version(spark, out, ["window_start", "value"], "window_start TIMESTAMP, value DOUBLE, n BIGINT")
-    return ss.latency_alerts(seen, limit=120.0).withColumn("p_high", r("p_high", 6))
+    alerts = scratch_path(spark, "latency-alerts")
+    ss.run_with_alerts(
+        values, out, alerts, scratch_path(spark, "checkpoint"), ["window_start", "value"],
+        "window_start TIMESTAMP, value DOUBLE, n BIGINT", lambda seen: ss.latency_alerts(seen, limit=120.0), reach=0)
+    judged = ss.newest_version(spark, alerts, ["window_start"], "window_start TIMESTAMP, p_high DOUBLE, alert BOOLEAN")
+    return judged.withColumn("p_high", r("p_high", 6))
 
 
 @query("stm4_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")

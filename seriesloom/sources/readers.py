@@ -46,20 +46,19 @@ def asset_of(path: Column, asset: str = "asset_id") -> Column:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*") -> DataFrame:
-    """Lines with file path and an ingest position that sorts in file order.
+    """Lines with file path and a number that rises in file order.
 
-    A file may be split over many tasks: the split's start offset and the row's
-    place in its task order the lines without reading any file whole.
+    A file may be split over many tasks: the split's start offset plus the row's place
+    in its task orders the lines without reading any file whole, for a split begins
+    further on than any row number of the split before it.
     """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return (
         spark.read.option("pathGlobFilter", pattern).text(paths)
         .select(
             "value",
             F.col("_metadata.file_path").alias("file"),
-            F.struct(
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("position"),
+            (F.col("_metadata.file_block_start") + row).alias("position"),
         )
     )
 

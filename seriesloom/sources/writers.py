@@ -47,7 +47,7 @@ def write_documents(documents: DataFrame, path: str) -> None:
     ).write.mode("overwrite").text(path)
 
 
-def safe_replace(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def safe_replace(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """Write beside the target, then swap; the old table stays until the swap is done."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -56,7 +56,8 @@ def safe_replace(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     staged, backup = hadoop.Path(f"{path}.new-{tag}"), hadoop.Path(f"{path}.bak-{tag}")
     fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     try:
-        write_table(df, staged.toString(), fmt, "errorifexists")
+        writer = df.write.format(fmt).option("header", True).mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).save(staged.toString())
     except Exception:
         fs.delete(staged, True)
         raise

@@ -7,10 +7,13 @@ version of each key. No driver state, and a lost executor only re-runs a task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.quantiles import exact_quantiles
+from seriesloom.sources.writers import safe_replace
 
 # ---- Fixed values ------------------------------------------------------------
 ERROR_WINDOW = "60 seconds"
@@ -44,6 +47,49 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "update"
     query.awaitTermination()
 
 
+def run_with_alerts(
+    df: DataFrame, path: str, alerts: str, checkpoint: str, keys: list[str], schema: str,
+    rule: Callable[[DataFrame], DataFrame], reach: int,
+) -> None:
+    """Publish windows as ``run_to_table`` does, and in each micro-batch the alerts they raise.
+
+    ``rule`` turns windows into alerts by ``window_start``. Only windows at most
+    ``reach`` seconds before or after those of the batch are judged anew; alerts are
+    versioned like the windows.
+    """
+    spark = df.sparkSession
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        span = spark.read.parquet(folder).agg(F.min("window_start"), F.max("window_start")).first()
+        if span[0] is None:
+            return
+        near = F.unix_timestamp("window_start").between(
+            F.unix_timestamp(F.lit(span[0])) - reach, F.unix_timestamp(F.lit(span[1])) + reach
+        )
+        found = rule(newest_version(spark, path, keys, schema).filter(near))
+        found.write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
+
+    query = (
+        df.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+        .outputMode("update").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], order: list[str], schema: str) -> None:
+    """Rewrite versioned batches as one table that holds the winning row of each key.
+
+    The winner keeps its batch number, so later batches still replace it. The new table
+    is written beside the old one and swapped; run it between streams.
+    """
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    rest = [c for c in rows.columns if c not in keys]
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch", *order)).alias("_r"))
+    safe_replace(picked.select(*keys, "_r.*"), path, partition_by=("batch",))
+
+
 def newest_version(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
     """Per key, the row of the latest micro-batch that touched it."""
     rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)

@@ -22,6 +22,27 @@ def test_a_later_batch_replaces_any_earlier_day(spark, tmp_path):
         ss.ingest_prices(ss.stream_files(spark, src, "*.parquet", schema), out, cp)
     got = {r["ts"].day: r["price"] for r in ss.merged_prices(spark, out, schema).collect()}
     assert got == {1: 9.0, 2: 2.5, 3: 3.0}
+    ss.compact(spark, out, ["asset_id", "ts"], ["tie"], schema)
+    assert spark.read.parquet(out).count() == 3
+    spark.createDataFrame([("a", days[1], 7.0, 0)], schema).coalesce(1).write.mode("append").parquet(src)
+    ss.ingest_prices(ss.stream_files(spark, src, "*.parquet", schema), out, cp)
+    got = {r["ts"].day: r["price"] for r in ss.merged_prices(spark, out, schema).collect()}
+    assert got == {1: 9.0, 2: 7.0, 3: 3.0}
+
+
+def test_alerts_are_raised_inside_the_stream(spark, tmp_path):
+    schema = "ts TIMESTAMP, value DOUBLE"
+    src, out, alerts, cp = (str(tmp_path / n) for n in ("src", "out", "alerts", "cp"))
+    seen = []
+    for second in ([0, 1, 2], [61, 62], [300], [63, 301, 302, 361, 362]):
+        rows_at(spark, second).coalesce(1).write.mode("append").parquet(src)
+        ss.run_with_alerts(
+            ss.window_counts(ss.stream_files(spark, src, "*.parquet", schema), "ts", "60 seconds", "1 hour"),
+            out, alerts, cp, ["window_start"], "window_start TIMESTAMP, n BIGINT",
+            lambda counts: ss.sustained(counts, 60), reach=60)
+        rows = ss.newest_version(spark, alerts, ["window_start"], "window_start TIMESTAMP, n BIGINT").collect()
+        seen.append({(r["window_start"] - T0).seconds: r["n"] for r in rows})
+    assert seen == [{}, {60: 2}, {60: 2}, {60: 3, 360: 2}]
 
 
 def rows_at(spark, seconds, values=None):
