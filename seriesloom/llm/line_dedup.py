@@ -9,7 +9,6 @@ meet the list of their own removed units.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,42 +65,46 @@ def late_units(docs: DataFrame, cut: str, least_words: int, doc_id: str, text: s
     ).select("rank", "version", "place")
 
 
-def _cut_out(cut: str):
-    """(text, places) -> clean text, number of units, and the cut spans."""
-
-    @F.pandas_udf("clean string, n_units long, removed array<struct<place:int,start:long,length:long>>")
-    def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, gone in zip(texts, places):
-            if text is None:
-                out.append((None, 0, []))
-                continue
-            parts = text.split(cut)
-            drop = set() if gone is None else {int(p) for p in gone}
-            if not drop:
-                out.append((text, len(parts), []))
-                continue
-            spans, kept, at = [], [], 0
-            for place, part in enumerate(parts):
-                if place in drop:
-                    spans.append((place, at, len(part)))
-                else:
-                    kept.append(part)
-                at += len(part) + len(cut)
-            out.append((cut.join(kept), len(parts), spans))
-        return pd.DataFrame(out, columns=["clean", "n_units", "removed"])
-
-    return run
+def _cut_out(text: Column, gone: Column, cut: str) -> Column:
+    """Struct of clean text, number of units and cut spans, in one pass over the units.
+
+    ``gone`` holds the places of the units to remove, in order. Untouched texts are
+    passed on as they are.
+    """
+    units = F.split(text, cut.replace("\n", "\\n"))
+
+    def step(acc: Column, unit: Column) -> Column:
+        size = F.length(unit).cast("long")
+        hit = F.coalesce(F.get(gone, acc["next"]) == acc["place"], F.lit(False))
+        span = F.array(F.struct(acc["place"].alias("place"), acc["at"].alias("start"), size.alias("length")))
+        return F.struct(
+            (acc["place"] + 1).alias("place"), (acc["at"] + size + len(cut)).alias("at"),
+            (acc["next"] + hit.cast("int")).alias("next"),
+            F.when(hit, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
+        )
+
+    none = F.array().cast("array<struct<place:int,start:bigint,length:bigint>>")
+    start = F.struct(
+        F.lit(0).alias("place"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("next"), none.alias("spans")
+    )
+    stay = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), gone)
+    kept = F.array_join(F.transform(stay, lambda i: F.get(units, i)), cut)
+    touched = gone.isNotNull() & text.isNotNull()
+    return F.struct(
+        F.when(touched, kept).otherwise(text).alias("clean"),
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size(units)).cast("long").alias("n_units"),
+        F.when(touched, F.aggregate(units, start, step, lambda acc: acc["spans"])).otherwise(none).alias("removed"),
+    )
 
 
 def with_clean(docs: DataFrame, cut: str, least_words: int, doc_id: str, text: str) -> DataFrame:
     """(row, made): each row of ``docs`` as a struct beside its clean text and spans."""
     gone = late_units(docs, cut, least_words, doc_id, text).groupBy("rank", "version").agg(
-        F.collect_set("place").alias("gone")
+        F.sort_array(F.collect_set("place")).alias("gone")
     )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs, doc_id, text))
     both = rows.join(stored(gone, "gone"), ["rank", "version"], "left")
-    return both.select("row", _cut_out(cut)(F.col(f"row.{text}"), F.col("gone")).alias("made"))
+    return both.select("row", _cut_out(F.col(f"row.{text}"), F.col("gone"), cut).alias("made"))
 
 
 def remove_repeats(
