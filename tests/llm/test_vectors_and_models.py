@@ -238,3 +238,27 @@ def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(30), SF).schema.names == docs.schema.names
+
+
+def test_stages_on_empty_and_odd_documents(spark):
+    kind = (
+        "doc_id long, text string, lang string, source string, n_chars long, score double, row string, "
+        "rank int, version int, gone string, fp long, made string, sequence_id long"
+    )
+    extra = (None, None, None, None, None, None, None, None)
+    rows = [
+        (n, t, None, None, None, *extra) for n, t in (
+            (1, None), (2, ""), (3, " \n\t "), (4, "a short and clean line of words\n" * 3), (None, "words without any number"),
+            (5, "word " * 60_000), (4, "a short and clean line of words\n" * 3), (6, "x" * 100_000), (7, "A SHORT and clean line of words"),
+        )
+    ]
+    for docs in (spark.createDataFrame([], kind), spark.createDataFrame(rows, kind)):
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name == "packing":
+                assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
+                assert (out.count() == 0) == (docs.count() == 0)
+            else:
+                assert out.columns == names
+                assert out.count() <= docs.count()
