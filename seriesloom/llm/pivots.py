@@ -23,15 +23,15 @@ from seriesloom.llm import vectors as V
 from seriesloom.llm.common import stored
 from seriesloom.llm.components import connected_components
 
-PREFIX = 8           # nearest pivots that describe a vector
+PREFIX = 12          # nearest pivots that describe a vector
 SHARED = 2           # pivots two vectors must share to be compared
 MOST_PIVOTS = 16_384
 BLOCK = 512          # members of a list that one task compares
 
 
 def n_pivots(n: int) -> int:
-    """Pivots for ``n`` vectors: lists then grow as the root of the corpus, until the bound."""
-    return int(min(max(64, 4 * n**0.5), MOST_PIVOTS))
+    """Pivots for ``n`` vectors: lists keep their mean length until the bound is reached."""
+    return int(min(max(64, n // 40), MOST_PIVOTS))
 
 
 def _prefixes(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
