@@ -85,7 +85,8 @@ def forecast_latest(
     spark = df.sparkSession
     rows = df if assets is None else df.join(assets.select(g.asset), g.asset, "left_semi")
     latest = splits.latest_row(rows, g.asset, g.day)
-    latest = models.scoring_input(latest, features, categorical)
+    # Written once: every model and horizon is a branch over it.
+    latest = materialize(models.scoring_input(latest, features, categorical), "latest")
     names = readers.registry_names(spark, model_dir)
     out: DataFrame | None = None
     for name in dict.fromkeys(model_names):
