@@ -103,7 +103,8 @@ def with_clean(docs: DataFrame, cut: str, least_words: int, doc_id: str, text: s
         F.sort_array(F.collect_set("place")).alias("gone")
     )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs, doc_id, text))
-    both = rows.join(stored(gone, "gone"), ["rank", "version"], "left")
+    # Lists are larger than their compressed size says: never broadcast, at any size.
+    both = rows.join(stored(gone, "gone").hint("merge"), ["rank", "version"], "left")
     return both.select("row", _cut_out(F.col(f"row.{text}"), F.col("gone"), cut).alias("made"))
 
 
