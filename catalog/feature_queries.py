@@ -457,8 +457,12 @@ _COLUMNS = _table_columns()
 def _rounded_sql(name: str, how: str) -> str:
     if not how:
         return name
-    digits = int(how[1:])
-    return f"{snap_sql(name, digits)} AS {name}" if how[0] == "s" else f"round({name}, {digits}) + 0 AS {name}"
+    scale = f"{_scale(how)!r}::DOUBLE"
+    return f"floor({name} * {scale} + 0.5) / {scale} AS {name}"
+
+
+def _scale(how: str) -> float:
+    return 2.0 ** int(how[1:]) if how[0] == "s" else 10.0 ** int(how[1:])
 
 
 #: Returns and moves, then every feature, over the grid ``pd`` and its exponential means.
@@ -483,9 +487,9 @@ rn AS (SELECT asset_id, d, price, row_number() OVER w AS rn FROM pd {W}),
 
 
 def _even(made):
-    """The features on the comparison grid of the SQL."""
+    """The features on the comparison grid of the SQL; plain arithmetic, as ``round`` goes by decimals."""
     return made.withColumns({
-        n: snap(n, int(how[1:])) if how[0] == "s" else r(n, int(how[1:])) + 0
+        n: F.floor(F.col(n) * F.lit(_scale(how)) + F.lit(0.5)) / F.lit(_scale(how))
         for n, (_, how) in _COLUMNS.items() if how
     })
 
