@@ -55,7 +55,7 @@ class Codec:
         #: The longest token that is a proper prefix of each token; -1 if there is none.
         self.shorter = {rank: self._shorter(token) for token, rank in ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.packed = Bounded(self._piece)
+        self.packed = Bounded(self._piece, limit=400_000)
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The pair that lower-ranked merges leave of a token; None if they never make it."""
@@ -83,7 +83,7 @@ class Codec:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
