@@ -14,11 +14,11 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +28,19 @@ from seriesloom.llm.common import Bounded, byte_alphabet
 WINDOW = 2048
 #: Open windows of one task after which they are poured together.
 OPEN = 4096
-#: How the vocabulary cuts words after white space is gone (fixed by its file).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _class(kind: str) -> str:
+    """The letters (L) or numbers (N) below U+0250, for a set of a regular expression."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: How the vocabulary cuts Latin text once white space is gone: a run of letters, one
+#: number, one of seven endings, a run of anything else (fixed by its file).
+PATTERN = (
+    f"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|"
+    f"[^\\t-\\r \\x85\\xa0{_class('L')}{_class('N')}]+"
+)
 #: Beyond these letters, or with a dotted capital I, lower case may need the library.
 _OUTSIDE = re.compile("[^\x00-įı-ɏ]")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -54,7 +65,7 @@ def encoder(path: str):
     merges of each different word are the library's; other text is the library's whole.
     """
     tokenizer = _tokenizer(path)
-    words = regex.compile(PATTERN).findall
+    words = re.compile(PATTERN).findall
     alphabet = {b: c for c, b in byte_alphabet().items()}
     merge = tokenizer.model.tokenize
 
@@ -62,7 +73,9 @@ def encoder(path: str):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(s: str) -> bytes:
-        return packed([t.id for t in merge(s.encode("utf-8").decode("latin-1").translate(alphabet))])
+        if not (s.isascii() and s.isalpha()):  # letters stand for themselves
+            s = s.encode("utf-8").decode("latin-1").translate(alphabet)
+        return packed([t.id for t in merge(s)])
 
     merged = Bounded(word)
     other = Bounded(lambda s: packed(tokenizer.encode(s, add_special_tokens=False).ids))
