@@ -246,7 +246,6 @@ WITH {PD_SQL}, x AS (SELECT asset_id, d, price, lag(price, 5) OVER w AS price_la
   FROM pd WINDOW w AS (PARTITION BY asset_id ORDER BY d))
 SELECT asset_id, d, coalesce(price_lag_5, 0) AS price_lag_5, price, target FROM x WHERE target IS NOT NULL""", as_text=("d",))
 def jon2(spark, sf):
-    from seriesloom.config import FeatureConfig
     from seriesloom.operators import features as ft
 
     g = ft.Grid()

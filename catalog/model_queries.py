@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.registry import PD_SQL, pd, query, snap, snap_sql, table
 from seriesloom.config import FeatureConfig, TrainConfig
 from seriesloom.operators import features as ft
-from seriesloom.operators import models, splits
+from seriesloom.operators import models
 from seriesloom.plans import training_plan
 from seriesloom.session import materialize, scratch_path
 
@@ -41,7 +41,7 @@ query("mdl3_lasso", _closed("sign(cxy) * greatest(abs(cxy) - 2, 0) / vx"))(_one_
 # ---- trees on the daily grid ----------------------------------------------------------------
 
 FEATURES = ["price", "price_lag_5", "price_lag_7", "rolling_mean_5", "rolling_std_7", "momentum_5", "day_of_week", "month"]
-SMALL = TrainConfig(horizons=(1, 7), models=("linear", "ridge"), trees=5, forest_depth=5, boost_depth=4, leafwise_depth=5)
+SMALL = TrainConfig(models=("linear", "ridge"), trees=5, forest_depth=5, boost_depth=4, leafwise_depth=5)
 
 
 def _features(spark, sf):
@@ -192,7 +192,7 @@ def pip5(spark, sf):
     rows = _features(spark, sf)
     where = scratch_path(spark, "models")
     training_plan.train_grid(rows, FEATURES, replace(SMALL, models=("ridge",)), where)
-    return training_plan.forecast_latest(rows, where, ["ridge"], [1, 7], FEATURES)
+    return training_plan.forecast_latest(rows, where, ["ridge"], list(SMALL.horizons), FEATURES)
 
 
 @query("pip6_batch_forecasts")

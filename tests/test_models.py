@@ -4,7 +4,6 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from seriesloom.config import TrainConfig
 from seriesloom.operators import features as ft
