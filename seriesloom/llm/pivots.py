@@ -5,6 +5,10 @@ lists hold, for each pivot, the vectors that have it in their prefix. Two vector
 are nearly the same have nearly the same prefix, so pairs that share at least a few
 pivots are the candidates; their cosine is then worked out in double precision.
 
+Pivots are drawn by hash, then thinned so that no two are nearly alike: a large group of
+near copies keeps one or a few pivots of its own, whatever its share of the rows. Pivots in
+proportion to its rows would fill its members' prefixes with near copies in random order.
+
 Equal vectors collapse first and count by their number. Long lists are cut into blocks
 and each pair of blocks is a task of its own, so a pivot that a third of all vectors
 are near is spread. A pair that shares several pivots belongs to the smallest of them.
@@ -26,6 +30,8 @@ from seriesloom.llm.components import connected_components
 PREFIX = 12          # nearest pivots that describe a vector
 SHARED = 2           # pivots two vectors must share to be compared
 MOST_PIVOTS = 16_384
+DRAWN = 2            # vectors drawn for each pivot wanted, as thinning leaves some out
+APART = 0.1          # two pivots' cosine lies at least so far below the threshold of links
 BLOCK = 512          # members of a list that one task compares
 
 
@@ -34,6 +40,24 @@ def n_pivots(n: int) -> int:
     return int(min(max(64, n // 40), MOST_PIVOTS))
 
 
+def thinned(drawn: np.ndarray, alike: float, most: int) -> np.ndarray:
+    """The first ``most`` of ``drawn`` whose cosine with every one taken before is below ``alike``."""
+    unit = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
+    taken = unit[:0]
+    for lo in range(0, len(unit), 512):
+        part = unit[lo:lo + 512]
+        part = part[(part @ taken.T).max(1, initial=-1.0) < alike]
+        near = np.triu(part @ part.T >= alike, 1)
+        stay = np.ones(len(part), dtype=bool)
+        for i in range(len(part)):
+            if stay[i]:
+                stay &= ~near[i]
+        taken = np.vstack([taken, part[stay]])
+        if len(taken) >= most:
+            break
+    return taken[:most]
+
+
 def _prefixes(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """(class_id, vec, n, prefix): vectors of length one and their nearest pivots, sorted."""
     unit = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
@@ -136,8 +160,8 @@ def near_duplicates(
     link with nothing: their component is their own number. Equal vectors link with one
     another, also under one number: repeated rows count as vectors of their own, and get
     equal results. Rows without a number link, count, and stay, but name no component;
-    a component of only such rows is null. Pivots are at most ``MOST_PIVOTS`` vectors
-    with the smallest hashes; every vector is indexed.
+    a component of only such rows is null. Pivots are taken from at most ``MOST_PIVOTS``
+    vectors with the smallest hashes; every vector is indexed.
     """
     rows, d = V.valid(vectors, vec_id, vector)
     classes = stored(
@@ -153,7 +177,9 @@ def near_duplicates(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
             F.lit(True).alias("kept"),
         )
-    pivots = V.seed_rows(classes.select("vec"), n_pivots(many), 17)
+    wanted = n_pivots(many)
+    drawn = V.seed_rows(classes.select("vec"), min(DRAWN * wanted, MOST_PIVOTS), 17)
+    pivots = thinned(drawn, least - APART, wanted)
     described = stored(_prefixes(classes, pivots), "prefixes")
     members = described.select("class_id", "n", "vec", "prefix", F.explode("prefix").alias("pivot"))
     # One row per pivot: at most MOST_PIVOTS, so the lengths may be broadcast.

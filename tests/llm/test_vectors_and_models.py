@@ -89,6 +89,21 @@ def test_pivots_recall_on_the_table(spark):
     assert all(got[i] <= n for i, n in zip(ids, links))
 
 
+def test_pivots_find_a_jittered_third(spark):
+    """Links inside one group of near copies, each with its own jitter, that holds a third of all rows."""
+    rng = np.random.default_rng(3)
+    n, size = 15_000, 5000
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    x = np.vstack([centre + rng.normal(size=(size, 64)) * 0.27 / 8, rng.normal(size=(n - size, 64)) / 8])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x[:size] / np.linalg.norm(x[:size], axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in pivots.near_duplicates(table).collect()}
+    assert sum(got[i] for i in range(size)) >= 0.99 * links.sum() and links.sum() > size * size // 2
+    assert all(got[i] <= n for i, n in enumerate(links))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1100)]
