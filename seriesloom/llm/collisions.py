@@ -7,13 +7,17 @@ lies in the windows of more lines than a threshold is a candidate. Virtual rehas
 widens all windows in proportion until enough vectors passed; these are then verified
 by their inner product in double precision.
 
-The vectors are dealt to blocks by hash, each with its own sorted lines; the queries go
-in blocks to every one of them. Each block returns its best of every query, and these
+The vectors are dealt to blocks by ranges of norm, then by hash, each with its own sorted
+lines and its own largest norm for the added coordinate: a few long vectors do not press
+the others together. Sparse ranges are joined while a block of them is verified whole.
+The queries go in blocks to every one of them. Each block returns its best of every query, and these
 are merged with a limit that is applied before rows are shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +33,7 @@ WIDEN = 1.12         # factor between window widths
 SHARE = 0.6          # part of the lines on which a candidate must collide
 ENOUGH = 0.10        # part of a block that passes before windows stop widening
 LEAST = 1024         # and at least so many
+RATIO = 1.1          # largest to smallest norm of a range
 
 
 def lines(d: int, m: int, seed: int) -> np.ndarray:
@@ -41,11 +46,13 @@ def lines(d: int, m: int, seed: int) -> np.ndarray:
 class Index:
     """Sorted projections of one block of vectors."""
 
-    def __init__(self, x: np.ndarray, norm: float, d: int) -> None:
-        rest = np.sqrt(np.maximum(norm**2 - (x * x).sum(1), 0.0))
-        self.x, self.norm = x, norm
+    def __init__(self, x: np.ndarray, d: int) -> None:
+        scaled = x / np.abs(x).max()
+        squares = (scaled * scaled).sum(1)
+        rest = np.sqrt(squares.max() - squares)
+        self.x = x
         self.lines = lines(d + 1, LINES, 23)
-        lifted = np.hstack([x, rest[:, None]]) / norm
+        lifted = np.hstack([scaled, rest[:, None]]) / np.sqrt(squares.max())
         shadow = lifted @ self.lines.T
         self.order = np.argsort(shadow, axis=0, kind="stable")
         self.sorted = np.take_along_axis(shadow, self.order, axis=0).T.copy()
@@ -91,7 +98,26 @@ class Index:
                 width[todo] *= WIDEN
 
 
-def _search(d: int, norm: float, k: int):
+def ranges(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(range, first block, blocks) of every range of norm, given its number of vectors.
+
+    From the longest down, neighbours share a block as long as it is verified whole.
+    """
+    joined: list[tuple[list[int], int]] = []
+    for at in sorted(counts, reverse=True):
+        if joined and joined[-1][1] + counts[at] <= LEAST:
+            joined[-1] = ([*joined[-1][0], at], joined[-1][1] + counts[at])
+        else:
+            joined.append(([at], counts[at]))
+    made, first = [], 0
+    for members, n in joined:
+        blocks = -(-n // BLOCK)
+        made += [(at, first, blocks) for at in members]
+        first += blocks
+    return made
+
+
+def _search(d: int, k: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         asked = table.column("asked").to_numpy(zero_copy_only=False)
@@ -102,7 +128,7 @@ def _search(d: int, norm: float, k: int):
         if len(query_ids) and len(own):
             order = np.argsort(own, kind="stable")
             own, data, q = own[order], x[~asked][order], x[asked]
-            index = Index(data, norm, d)
+            index = Index(data, d)
             for i, rows in index.candidates(q):
                 rows = rows[own[rows] != query_ids[i]]
                 score = data[rows] @ q[i]
@@ -138,18 +164,23 @@ def nearest(
     rows, d = V.valid(vectors, vec_id, vector)
     rows = rows.where(F.col("vec_id").isNotNull())
     spark = rows.sparkSession
-    facts = rows.agg(
-        F.count("*").alias("n"),
-        F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("square"),
-    ).first()
-    if not facts["n"]:
+    # Logarithms of norms by the largest component, so that squares neither over- nor underflow.
+    top = rows.withColumn("top", F.array_max(F.transform("vec", F.abs)))
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top")))
+    size = F.ln("top") + F.ln(square) / 2
+    ranged = top.withColumn("at", F.floor(size / math.log(RATIO) + 0.5).cast("int")).drop("top")
+    # Doubles span fewer than 16 000 ranges: so many rows at most reach the driver and are broadcast.
+    counts = {r["at"]: r["count"] for r in ranged.groupBy("at").count().collect()}
+    if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = -(-facts["n"] // BLOCK)
+    dealt = ranges(counts)
+    blocks = max(first + n for _, first, n in dealt)
     asked = rows.where(is_query)
     many = asked.count()
     parts = max(-(-many // QUERIES), 1)
-    own = rows.select(
-        F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"),
+    table = F.broadcast(spark.createDataFrame(dealt, "at int, first int, blocks int"))
+    own = ranged.join(table, "at").select(
+        (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks"))).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(int(parts) - 1))).alias("part"),
         F.lit(False).alias("asked"), "vec_id", "vec",
     )
@@ -160,7 +191,7 @@ def nearest(
     )
     found = stored(
         own.unionByName(ask).groupBy("block", "part").applyInArrow(
-            _search(d, float(facts["square"]) ** 0.5, k), "query_id long, vec_id long, score double"
+            _search(d, k), "query_id long, vec_id long, score double"
         ),
         "found",
     )

@@ -159,6 +159,39 @@ def test_nearest_recall_when_windows_decide(spark, monkeypatch):
     assert all(v == sorted(v) for v in by_query.values())
 
 
+def matrix(table):
+    """Vectors by number, which run from zero."""
+    rows = table.select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    assert (rows["vec_id"] == np.arange(len(rows))).all()
+    return np.stack(rows["embedding"]).astype(float)
+
+
+def recall_of_nearest(table, x, k=20, **settings):
+    asked = np.arange(0, len(x), 200)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {int(q): set(np.argpartition(-row, k)[:k].tolist()) for q, row in zip(asked, score)}
+    got = collisions.nearest(table, F.col("vec_id") % 200 == 0, k=k, **settings).collect()
+    assert len(got) == k * len(want)
+    return sum(r["vec_id"] in want[r["query_id"]] for r in got) / len(got)
+
+
+@pytest.mark.parametrize("norms", ["one long", "uneven"])
+def test_nearest_recall_with_norms(spark, norms):
+    x = matrix(spark.read.parquet("/root/testdata/check_s/embeddings.parquet"))
+    if norms == "one long":
+        x[7] *= 10
+    else:
+        x *= np.exp(np.random.default_rng(2).normal(size=(len(x), 1)) * 0.3)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall_of_nearest(table, x) >= 0.95
+
+
+def test_nearest_ranges_of_norm():
+    made = collisions.ranges({9: 1, 5: 3, 4: 1000, 3: 1000, 0: 9000, -4: 20})
+    assert made == [(9, 0, 1), (5, 0, 1), (4, 0, 1), (3, 1, 1), (0, 2, 2), (-4, 4, 1)]
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0] * 8, 0, None), (1, [2.0] * 8, 0, None), (2, [2.0] * 8, 0, None), (3, [-1.0] + [0.5] * 7, 0, None)]
     got = collisions.nearest(spark.createDataFrame(rows + odd_rows(), KIND), F.col("vec_id") % 20 == 0, k=20).collect()
