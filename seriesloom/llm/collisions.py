@@ -17,6 +17,7 @@ are merged with a limit that is applied before rows are shuffled.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,16 @@ LEAST = 1024         # and at least so many
 RATIO = 1.1          # largest to smallest norm of a range
 
 
+class Windows(NamedTuple):
+    """Settings of the windows; they travel with the search to its workers."""
+
+    lines: int = LINES
+    widen: float = WIDEN
+    share: float = SHARE
+    enough: float = ENOUGH
+    least: int = LEAST
+
+
 def lines(d: int, m: int, seed: int) -> np.ndarray:
     """``m`` unit rows, orthogonal within each group of ``d``."""
     rng = np.random.default_rng(seed)
@@ -46,12 +57,12 @@ def lines(d: int, m: int, seed: int) -> np.ndarray:
 class Index:
     """Sorted projections of one block of vectors."""
 
-    def __init__(self, x: np.ndarray, d: int) -> None:
+    def __init__(self, x: np.ndarray, d: int, windows: Windows = Windows()) -> None:
         scaled = x / np.abs(x).max()
         squares = (scaled * scaled).sum(1)
         rest = np.sqrt(squares.max() - squares)
-        self.x = x
-        self.lines = lines(d + 1, LINES, 23)
+        self.x, self.windows = x, windows
+        self.lines = lines(d + 1, windows.lines, 23)
         lifted = np.hstack([scaled, rest[:, None]]) / np.sqrt(squares.max())
         shadow = lifted @ self.lines.T
         self.order = np.argsort(shadow, axis=0, kind="stable")
@@ -59,22 +70,22 @@ class Index:
         rank = np.empty(shadow.shape, dtype=np.uint16)
         np.put_along_axis(rank, self.order, np.arange(len(x), dtype=np.uint16)[:, None], axis=0)
         self.rank = rank.T.copy()
-        self.enough = min(len(x), max(LEAST, int(ENOUGH * len(x))))
+        self.enough = min(len(x), max(windows.least, int(windows.enough * len(x))))
 
     def candidates(self, q: np.ndarray):
         """(query, rows of candidates) for every query, when its windows are wide enough."""
         n = len(self.x)
         scaled = q / np.linalg.norm(q, axis=1, keepdims=True)
         shadow = np.hstack([scaled, np.zeros((len(q), 1))]) @ self.lines.T
-        wanted = max(int(SHARE * LINES), 1)
+        wanted = max(int(self.windows.share * len(self.lines)), 1)
         if self.enough >= n:
             for i in range(len(q)):
                 yield i, np.arange(n)
             return
         # First width: from where a few sampled vectors would just pass.
         pick = np.linspace(0, n - 1, 256).astype(int)
-        sample = np.empty((LINES, len(pick)))
-        for m in range(LINES):
+        sample = np.empty((len(self.lines), len(pick)))
+        for m in range(len(self.lines)):
             sample[m] = self.sorted[m, self.rank[m, pick]]
         for lo in range(0, len(q), 64):
             part = shadow[lo:lo + 64]
@@ -83,7 +94,7 @@ class Index:
             todo = np.arange(len(part))
             while len(todo):
                 hits = np.zeros((len(todo), n), dtype=np.uint8)
-                for m in range(LINES):
+                for m in range(len(self.lines)):
                     centre = part[todo, m]
                     first = np.searchsorted(self.sorted[m], centre - width[todo], side="left")
                     last = np.searchsorted(self.sorted[m], centre + width[todo], side="right")
@@ -95,17 +106,17 @@ class Index:
                 for i in np.flatnonzero(done):
                     yield lo + int(todo[i]), np.flatnonzero(passed[i])
                 todo = todo[~done]
-                width[todo] *= WIDEN
+                width[todo] *= self.windows.widen
 
 
-def ranges(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+def ranges(counts: dict[int, int], least: int = LEAST) -> list[tuple[int, int, int]]:
     """(range, first block, blocks) of every range of norm, given its number of vectors.
 
     From the longest down, neighbours share a block as long as it is verified whole.
     """
     joined: list[tuple[list[int], int]] = []
     for at in sorted(counts, reverse=True):
-        if joined and joined[-1][1] + counts[at] <= LEAST:
+        if joined and joined[-1][1] + counts[at] <= least:
             joined[-1] = ([*joined[-1][0], at], joined[-1][1] + counts[at])
         else:
             joined.append(([at], counts[at]))
@@ -117,7 +128,7 @@ def ranges(counts: dict[int, int]) -> list[tuple[int, int, int]]:
     return made
 
 
-def _search(d: int, k: int):
+def _search(d: int, k: int, windows: Windows):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         asked = table.column("asked").to_numpy(zero_copy_only=False)
@@ -128,7 +139,7 @@ def _search(d: int, k: int):
         if len(query_ids) and len(own):
             order = np.argsort(own, kind="stable")
             own, data, q = own[order], x[~asked][order], x[asked]
-            index = Index(data, d)
+            index = Index(data, d, windows)
             for i, rows in index.candidates(q):
                 rows = rows[own[rows] != query_ids[i]]
                 score = data[rows] @ q[i]
@@ -152,6 +163,7 @@ def _search(d: int, k: int):
 
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
+    windows: Windows = Windows(),
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found of each query.
 
@@ -173,7 +185,7 @@ def nearest(
     counts = {r["at"]: r["count"] for r in ranged.groupBy("at").count().collect()}
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dealt = ranges(counts)
+    dealt = ranges(counts, windows.least)
     blocks = max(first + n for _, first, n in dealt)
     asked = rows.where(is_query)
     many = asked.count()
@@ -191,7 +203,7 @@ def nearest(
     )
     found = stored(
         own.unionByName(ask).groupBy("block", "part").applyInArrow(
-            _search(d, k), "query_id long, vec_id long, score double"
+            _search(d, k, windows), "query_id long, vec_id long, score double"
         ),
         "found",
     )

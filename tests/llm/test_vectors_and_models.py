@@ -187,6 +187,18 @@ def test_nearest_recall_with_norms(spark, norms):
     assert recall_of_nearest(table, x) >= 0.95
 
 
+def test_nearest_window_settings_reach_the_workers(spark):
+    """On the largest check table the share of production alone still finds most; a tiny share shows."""
+    table = spark.read.parquet("/root/testdata/check_l/embeddings.parquet")
+    x = matrix(table)
+    found = [
+        recall_of_nearest(table, x, windows=w)
+        for w in (collisions.Windows(), collisions.Windows(least=64), collisions.Windows(least=64, enough=0.005))
+    ]
+    print("recall", found)
+    assert found[0] >= 0.96 and found[1] >= 0.94 and found[2] < 0.8
+
+
 def test_nearest_ranges_of_norm():
     made = collisions.ranges({9: 1, 5: 3, 4: 1000, 3: 1000, 0: 9000, -4: 20})
     assert made == [(9, 0, 1), (5, 0, 1), (4, 0, 1), (3, 1, 1), (0, 2, 2), (-4, 4, 1)]
