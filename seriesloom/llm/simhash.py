@@ -11,12 +11,14 @@ Equal fingerprints collapse first. In a small bucket the few members are compare
 one another. A larger bucket is never paired: there two fingerprints within two bits
 meet at a common centre, at most one bit from both, so each member is listed under its
 65 centres and linked to the smallest at each. That finds the same components with work
-in proportion to the members.
+in proportion to the members. For another radius than two, a larger bucket is cut into
+blocks, each pair of blocks is a task, and a task returns the links of a spanning forest.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ BITS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Members up to which a bucket is compared pair by pair.
 SMALL = 12
+#: Members of a larger bucket that one task compares with as many others.
+BLOCK = 1024
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -74,13 +78,52 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
         few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["t", "kept"])
         .where((F.col("a") < F.col("b")) & near).select("a", "b")
     )
-    return pairs.unionByName(_by_centres(members.where(F.col("n") > SMALL).select("fp").distinct(), radius))
+    many = members.where(F.col("n") > SMALL)
+    if radius == 2:
+        return pairs.unionByName(_by_centres(many.select("fp").distinct()))
+    return pairs.unionByName(_by_blocks(many, radius))
+
+
+def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within the radius that join all rows which such pairs connect."""
+    bits = prints.view(np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None]) <= radius
+    fresh = np.ones(len(bits), dtype=bool)
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for start in range(len(bits)):
+        todo = [start] if fresh[start] else []
+        fresh[start] = False
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & fresh)
+            fresh[new] = False
+            a.append(np.full(len(new), at))
+            b.append(new)
+            todo += new.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _by_blocks(members: DataFrame, radius: int) -> DataFrame:
+    """Links inside large buckets, block against block, pairs never leaving a task."""
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
+    )
+    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tasks = rows.withColumn("partner", partner).select(
+        "t", "kept", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "fp"
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        prints = table.column("fp").to_numpy()
+        a, b = _forest(prints, radius)
+        return pa.table({"a": pa.array(prints[a], pa.int64()), "b": pa.array(prints[b], pa.int64())})
+
+    return tasks.groupBy("t", "kept", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _by_centres(prints: DataFrame, radius: int) -> DataFrame:
-    """Links among many fingerprints: those at most one bit from a common centre."""
-    if radius != 2:
-        raise ValueError("buckets above the small size are joined for radius 2 only")
+def _by_centres(prints: DataFrame) -> DataFrame:
+    """Links at two bits among many fingerprints: those at most one bit from a common centre."""
     flips = F.array(*[F.lit(0).cast("long")] + [F.lit(_signed(1 << i)) for i in range(BITS)])
     spots = prints.select("fp", F.explode(flips).alias("flip")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")

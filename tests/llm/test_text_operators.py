@@ -207,6 +207,29 @@ def brute_components(rows, radius):
     return [(d, f"{f:016x}", least.get(find(i))) for i, (d, f) in enumerate(prints)]
 
 
+@pytest.mark.parametrize("radius", [1, 3, 4])
+def test_simhash_large_buckets_at_other_radii(spark, radius, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    made = {rng.choice(base) ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 4))) for _ in range(400)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in made]
+    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius).collect()
+    assert all(((r["a"] ^ r["b"]) % 2**64).bit_count() <= radius for r in links)
+    got = {f: f for f in signed}
+
+    def find(f):
+        while got[f] != f:
+            f = got[f]
+        return f
+
+    for r in links:
+        a, b = sorted((find(r["a"]), find(r["b"])))
+        got[b] = a
+    want = brute_components([(f, f % 2**64) for f in signed], radius)
+    assert {f: find(f) for f in signed} == {d: c for d, _, c in want}
+
+
 def test_simhash_fixture(docs, no_docs):
     rows = [(r["doc_id"], slow_fingerprint(r["text"] or "")) for r in docs.collect()]
     got = simhash.groups(docs).select("doc_id", simhash.as_hex(F.col("fp")).alias("f"), "component_id").collect()
