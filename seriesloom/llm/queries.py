@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import (
-    byte_bpe, collisions, line_dedup, nbsvm, packing, pivots, shards, simhash, subsequence, token_counts,
+    byte_bpe, collisions, languages, line_dedup, nbsvm, packing, pivots, ranked, repair, shards, simhash,
+    subsequence, token_counts,
 )
 from seriesloom.llm.common import read
 
@@ -78,11 +79,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "clean", "n_units", "n_removed", F.array_join(span, ",").alias("removed"))
 
 
+def op11_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of all for each benchmark item."""
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of all damaged conversations."""
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
+def op13_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    mark = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    found = languages.identify(docs, languages.learn(docs, ~mark))
+    return found.select("doc_id", mark.alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_pivot_permutation, op2_collision_counting, op3_token_counts, op4_packing, op5_toxicity,
-        op6_simhash, op7_shards, op8_quality, op9_byte_bpe, op10_line_dedup,
+        op6_simhash, op7_shards, op8_quality, op9_byte_bpe, op10_line_dedup, op11_term_pipeline,
+        op12_structure_repair, op13_language_mixture,
     )
 }
 
@@ -119,4 +139,34 @@ SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (NOT gon
        coalesce(string_agg(place || ':' || CAST(start AS BIGINT) || ':' || length(unit), ',' ORDER BY place)
                 FILTER (gone), '') AS removed
 FROM ranked GROUP BY doc_id""",
+    "op11_term_pipeline": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+held AS (SELECT * FROM words WHERE len(ts) > 0),
+total AS (SELECT count(*) AS big_n, CAST(sum(len(ts)) AS BIGINT) AS big_l FROM held),
+wanted AS (
+  SELECT DISTINCT item_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+each AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM held),
+tf AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*) AS tf FROM each
+  WHERE t IN (SELECT t FROM wanted) GROUP BY r, t),
+df AS (
+  SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * (SELECT big_n FROM total) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+  FROM tf GROUP BY t),
+part AS (
+  SELECT r, doc_id, t,
+         (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * (SELECT big_n FROM total)) // (SELECT big_l FROM total))) AS p
+  FROM tf),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * p) AS BIGINT) AS score FROM wanted JOIN part USING (t) JOIN df USING (t)
+  GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }
