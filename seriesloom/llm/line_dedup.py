@@ -1,30 +1,111 @@
-"""Substring dedup by hashing lines or paragraphs.
-
-A text is cut into units at line ends (or blank lines). Units are compared by a digest
-of their normalised form; of equal ones in the whole corpus the earliest by document
-number and place stays, the others are cut out. What is removed is reported with its
-place in the original text. Only digests and numbers are grouped; texts move once, to
-meet the list of their own removed units.
+"""Substring dedup by hashing the clauses of lines.
+
+A text's lines are cut into clauses behind punctuation. Clauses are compared by a digest of
+their normalised form, grouped over the whole corpus: of equal ones the earliest by document
+and place stays, later ones are repeats. One repeated clause alone means little, so repeats
+are cut only where neighbouring ones hold ``LEAST_WORDS`` words together; such a run may
+begin in mid-line and go over lines. What is removed is reported with its place in the
+original text. Only digests and numbers are grouped, each digest once for a document; texts
+move once, to meet the list of their own repeated digests.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import stored
 
-#: Units of fewer words are left alone: headings and list marks repeat without being
-#: copies.
-LEAST_WORDS = 5
-LINE = "\n"
-PARAGRAPH = "\n\n"
+#: Words of neighbouring repeated clauses from which they are cut. A passage of 50 words
+#: begins and ends in clauses that are not repeated as a whole.
+LEAST_WORDS = 30
+_ENDS = ".!?,;:。！？，；：、"
+_CLAUSE = re.compile(f"[^{_ENDS}]+[{_ENDS}]*|[{_ENDS}]+")
+#: Letters of scripts written without blanks: each counts as a word.
+_UNSPACED = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 _LAST = 2**63 - 1
 
 
-def normalised(unit: Column) -> Column:
-    """Lower case, white space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(unit), "[ \\t\\r\\f\\x0B\\n]+", " "))
+class Clause(NamedTuple):
+    line: int
+    start: int
+    end: int
+    norm: str
+
+
+def clauses(text: str) -> list[Clause]:
+    """The clauses of a text that hold more than blanks and punctuation.
+
+    The normalised form is lower case, has runs of white space as one blank, and neither
+    the punctuation behind the clause nor blanks at its ends.
+    """
+    out, at = [], 0
+    for n, line in enumerate(text.split("\n")):
+        for m in _CLAUSE.finditer(line):
+            norm = " ".join(m.group().rstrip(_ENDS).lower().split())
+            if norm:
+                out.append(Clause(n, at + m.start(), at + m.end(), norm))
+        at += len(line) + 1
+    return out
+
+
+def words(norm: str) -> int:
+    n = norm.count(" ") + 1
+    return n if norm.isascii() else n + len(_UNSPACED.findall(norm))
+
+
+def digest(norm: str) -> int:
+    n = xxhash.xxh3_64_intdigest(norm.encode("utf-8", "replace"))
+    return n - (1 << 64) if n >> 63 else n
+
+
+def spans_to_cut(units: list[Clause], repeated: set[int], least_words: int) -> list[int]:
+    """Places of the clauses to cut: ``repeated`` has digests that earlier documents hold."""
+    seen: set[int] = set()
+    gone: list[int] = []
+    run: list[int] = []
+    size = 0
+    for place, unit in enumerate(units):
+        d = digest(unit.norm)
+        if d in repeated or d in seen:
+            run.append(place)
+            size += words(unit.norm)
+        else:
+            if size >= least_words:
+                gone += run
+            run, size = [], 0
+        seen.add(d)
+    return gone + run if size >= least_words else gone
+
+
+def without(text: str, units: list[Clause], gone: list[int]) -> str:
+    """The text without some clauses; a line that loses all of them goes with its end."""
+    cut = set(gone)
+    of_line: dict[int, list[tuple[Clause, bool]]] = {}
+    for place, unit in enumerate(units):
+        of_line.setdefault(unit.line, []).append((unit, place in cut))
+    out, at = [], 0
+    for n, line in enumerate(text.split("\n")):
+        mine = of_line.get(n, [])
+        if not any(c for _, c in mine):
+            out.append(line)
+        elif not all(c for _, c in mine):
+            kept, last = [], 0
+            for unit, c in mine:
+                if c:
+                    kept.append(line[last:unit.start - at])
+                    last = unit.end - at
+            out.append("".join(kept) + line[last:])
+        at += len(line) + 1
+    return "\n".join(out)
 
 
 def _key(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
@@ -35,104 +116,105 @@ def _key(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
     ]
 
 
-def late_units(docs: DataFrame, cut: str, least_words: int, doc_id: str, text: str) -> DataFrame:
-    """(rank, version, place) of the units that repeat an earlier one.
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [
+            np.fromiter({digest(u.norm) for u in clauses(t or "")}, dtype=np.int64)
+            for t in batch.column("text").to_pylist()
+        ]
+        sizes = [len(x) for x in found]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate(found) if found else [], pa.int64()),
+            *(pa.array(np.repeat(batch.column(c).to_numpy(), sizes), pa.int64()) for c in ("rank", "version")),
+        ], names=["digest", "rank", "version"])
+
+
+def repeated_digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(rank, version, repeated): of each document the clause digests that an earlier one holds.
 
-    Sums, counts and smallest numbers are reduced before they are shuffled; the joins
-    by digest have both sides shuffled, so that a line found in a third of all documents
-    is split over tasks.
+    Counts and smallest numbers are reduced before they are shuffled; the join by digest
+    has both sides shuffled, so that a clause found in a third of all documents is split
+    over tasks.
     """
-    rows = docs.select(
-        *_key(docs, doc_id, text),
-        F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), cut.replace("\n", "\\n"))).alias("place", "unit"),
-    ).withColumn("unit", normalised(F.col("unit")))
-    words = F.length("unit") - F.length(F.replace(F.col("unit"), F.lit(" "), F.lit(""))) + 1
-    rows = rows.where((F.length("unit") > 0) & (words >= least_words)).select(
-        "rank", "version", "place", F.unhex(F.md5("unit")).alias("digest")
-    )
-    # Texts of one number rank by half of their hash, then units by place.
-    half = F.col("version").bitwiseAND(F.lit(0xFFFFFFFF))
-    found = stored(rows.withColumn("spot", F.shiftleft(half, 31) + F.col("place")), "units")
-    repeats = stored(
-        found.groupBy("digest").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
-        .where("n > 1").select("digest", "first_rank"),
+    rows = docs.select(*_key(docs, doc_id, text), F.col(text).alias("text"))
+    found = stored(rows.mapInArrow(_digests, "digest long, rank long, version long"), "clauses")
+    several = stored(
+        found.groupBy("digest").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1").drop("n"),
         "repeats",
     )
-    held = stored(found.join(repeats, "digest"), "held")
-    first = held.where("rank = first_rank").groupBy("digest").agg(F.min("spot").alias("first_spot"))
-    return held.join(stored(first, "first"), "digest").where(
-        "rank <> first_rank or spot <> first_spot"
-    ).select("rank", "version", "place")
+    held = stored(found.join(several, "digest"), "held")
+    # Several texts of the first number: the one with the smallest hash is the earliest.
+    first = held.where("rank = first").select("digest", "version")
+    ties = stored(
+        first.groupBy("digest").agg(F.count("*").alias("n"), F.min("version").alias("least")).where("n > 1").drop("n"),
+        "ties",
+    )
+    late = held.where("rank <> first").select("rank", "version", "digest").unionByName(
+        held.where("rank = first").join(ties, "digest").where("version <> least").select("rank", "version", "digest")
+    )
+    return late.groupBy("rank", "version").agg(F.collect_set("digest").alias("repeated"))
 
 
-def _cut_out(text: Column, gone: Column, cut: str) -> Column:
-    """Struct of clean text, number of units and cut spans, in one pass over the units.
+_MADE = "clean string, n_units long, removed array<struct<place:int,start:long,length:long>>"
 
-    ``gone`` holds the places of the units to remove, in order. Untouched texts are
-    passed on as they are.
-    """
-    units = F.split(text, cut.replace("\n", "\\n"))
-
-    def step(acc: Column, unit: Column) -> Column:
-        size = F.length(unit).cast("long")
-        hit = F.coalesce(F.get(gone, acc["next"]) == acc["place"], F.lit(False))
-        span = F.array(F.struct(acc["place"].alias("place"), acc["at"].alias("start"), size.alias("length")))
-        return F.struct(
-            (acc["place"] + 1).alias("place"), (acc["at"] + size + len(cut)).alias("at"),
-            (acc["next"] + hit.cast("int")).alias("next"),
-            F.when(hit, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    none = F.array().cast("array<struct<place:int,start:bigint,length:bigint>>")
-    start = F.struct(
-        F.lit(0).alias("place"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("next"), none.alias("spans")
-    )
-    stay = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), gone)
-    kept = F.array_join(F.transform(stay, lambda i: F.get(units, i)), cut)
-    touched = gone.isNotNull() & text.isNotNull()
-    return F.struct(
-        F.when(touched, kept).otherwise(text).alias("clean"),
-        F.when(text.isNull(), F.lit(0)).otherwise(F.size(units)).cast("long").alias("n_units"),
-        F.when(touched, F.aggregate(units, start, step, lambda acc: acc["spans"])).otherwise(none).alias("removed"),
-    )
 
+def _cut_out(least_words: int):
+    def one(text: str | None, repeated) -> tuple:
+        if text is None:
+            return None, 0, []
+        units = clauses(text)
+        gone = spans_to_cut(units, set() if repeated is None else set(repeated.tolist()), least_words)
+        spans = [{"place": p, "start": units[p].start, "length": units[p].end - units[p].start} for p in gone]
+        return without(text, units, gone) if gone else text, len(units), spans
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, lists in batches:
+            yield pd.DataFrame([one(t, r) for t, r in zip(texts, lists)], columns=["clean", "n_units", "removed"])
 
-def with_clean(docs: DataFrame, cut: str, least_words: int, doc_id: str, text: str) -> DataFrame:
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, _MADE)
+
+
+def with_clean(docs: DataFrame, least_words: int, doc_id: str, text: str) -> DataFrame:
     """(row, made): each row of ``docs`` as a struct beside its clean text and spans."""
-    gone = late_units(docs, cut, least_words, doc_id, text).groupBy("rank", "version").agg(
-        F.sort_array(F.collect_set("place")).alias("gone")
-    )
+    late = stored(repeated_digests(docs, doc_id, text), "late")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(docs, doc_id, text))
     # Lists are larger than their compressed size says: never broadcast, at any size.
-    both = rows.join(stored(gone, "gone").hint("merge"), ["rank", "version"], "left")
-    return both.select("row", _cut_out(F.col(f"row.{text}"), F.col("gone"), cut).alias("made"))
+    both = rows.join(late.hint("merge"), ["rank", "version"], "left")
+    return both.select("row", _cut_out(least_words)(F.col(f"row.`{text}`"), F.col("repeated")).alias("made"))
 
 
 def remove_repeats(
-    docs: DataFrame, cut: str = LINE, least_words: int = LEAST_WORDS,
-    doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(doc_id, clean, n_units, n_removed, removed) per row of ``docs``.
 
-    ``removed`` lists the cut units as (place, start, length): their number among the
-    text's units and their characters in the original text. ``clean`` is the text of
-    the units that stay. Rank is the document number (rows without one rank last), then
-    a hash of the text, then the place. Rows that repeat both number and text are one
-    document and get equal results. Null texts have no unit and stay null; empty ones
-    stay empty. Units below ``least_words`` words always stay. Nothing is capped.
+    ``removed`` lists the cut clauses as (place, start, length): their number among the
+    text's clauses and their characters in the original text. ``clean`` is the text of
+    what stays; lines that lose every clause go with their line end. Rank is the document
+    number (rows without one rank last), then a hash of the text, then the place; a
+    document's own later repeats count like those of other documents. Rows that repeat
+    both number and text are one document and get equal results. Null texts have no clause
+    and stay null; empty ones stay empty. Runs of repeated clauses below ``least_words``
+    words stay; letters of scripts without blanks count as words. Nothing is capped, other
+    columns are not looked at, an empty table gives none.
     """
-    return with_clean(docs, cut, least_words, doc_id, text).select(
-        F.col(f"row.{doc_id}").alias("doc_id"), "made.clean", "made.n_units",
+    return with_clean(docs, least_words, doc_id, text).select(
+        F.col(f"row.`{doc_id}`").alias("doc_id"), "made.clean", "made.n_units",
         F.size("made.removed").cast("long").alias("n_removed"), "made.removed",
     )
 
 
 def cleaned(
-    docs: DataFrame, cut: str = LINE, least_words: int = LEAST_WORDS,
-    doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None,
+    docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text",
+    n_chars: str | None = None,
 ) -> DataFrame:
-    """``docs`` with the clean text in place of the text, and its length in ``n_chars``."""
-    made = with_clean(docs, cut, least_words, doc_id, text)
+    """``docs`` with the clean text in place of the text, and its length in ``n_chars``.
+
+    All rows and columns stay, under the rules of ``remove_repeats``; a null text stays
+    null with length 0.
+    """
+    made = with_clean(docs, least_words, doc_id, text)
     new = {text: F.col("made.clean")}
     if n_chars is not None and n_chars in docs.columns:
         kind = docs.schema[n_chars].dataType

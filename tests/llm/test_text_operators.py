@@ -289,9 +289,68 @@ def test_one_of_each_group(docs):
 
 # ---- line dedup -----------------------------------------------------------------------
 
+PUNCTUATION = ".!?,;:。！？，；：、"
+
+
+def plain_dedup(docs):
+    """{number: clean text} of (number, text) in order of number, by lists of clauses, letter by letter."""
+    seen, out = set(), {}
+    for number, text in docs:
+        units, line, piece = [], 0, []
+
+        def close():
+            body = "".join(text[i] for i in piece)
+            norm = " ".join(body.rstrip(PUNCTUATION).lower().split())
+            if norm:
+                units.append((line, piece[0], piece[-1] + 1, norm))
+            piece.clear()
+
+        for i, letter in enumerate(text):
+            if letter == "\n":
+                if piece:
+                    close()
+                line += 1
+                continue
+            if piece and text[piece[-1]] in PUNCTUATION and letter not in PUNCTUATION:
+                close()
+            piece.append(i)
+        if piece:
+            close()
+        late = []
+        for u in units:
+            late.append(u[3] in seen)
+            seen.add(u[3])
+        gone, i = set(), 0
+        while i < len(units):
+            j = i
+            while j < len(units) and late[j]:
+                j += 1
+            size = sum(
+                len(u[3].split()) + sum("฀" <= x <= "๿" or "぀" <= x <= "ヿ" or "㐀" <= x <= "鿿" for x in u[3])
+                for u in units[i:j]
+            )
+            if size >= 30:
+                gone.update(range(i, j))
+            i = max(j, i + 1)
+        cut = {i for g in gone for i in range(*units[g][1:3])}
+        lines = []
+        at = 0
+        for n, body in enumerate(text.split("\n")):
+            mine = [g for g, u in enumerate(units) if u[0] == n]
+            if not (mine and all(g in gone for g in mine)):
+                lines.append("".join(x for i, x in enumerate(body, at) if i not in cut))
+            at += len(body) + 1
+        out[number] = "\n".join(lines)
+    return out
+
+
+PASSAGE = " ".join(
+    f"{'and' if i % 9 else 'However'} word{i} of the passage{',' if i % 7 == 6 else '.' if i % 11 == 10 else ''}" for i in range(16)
+)
+
 
 def test_lines_fixture(docs, no_docs):
-    got = {r["doc_id"]: r for r in line_dedup.remove_repeats(docs).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeats(docs, least_words=5).collect()}
     assert got[10]["clean"] == "line one of the shared text\nown words are here too"
     assert [tuple(s) for s in got[10]["removed"]] == [(2, 51, 27)]
     assert got[11]["clean"] == "something else is written here"
@@ -299,27 +358,56 @@ def test_lines_fixture(docs, no_docs):
     assert got[3]["clean"] == "" and got[1]["n_removed"] == 0
     assert got[4]["clean"] is None and got[4]["n_units"] == 0
     assert got[5]["clean"] == "" and got[8]["clean"] == "one two"
-    repeated = [r for r in line_dedup.remove_repeats(docs).collect() if r["doc_id"] == 2]
+    repeated = [r for r in line_dedup.remove_repeats(docs, least_words=5).collect() if r["doc_id"] == 2]
     assert len(repeated) == 2 and {r["clean"] for r in repeated} == {""}
     assert line_dedup.remove_repeats(no_docs).count() == 0
+    assert {r["n_removed"] for r in line_dedup.remove_repeats(docs).collect()} == {0}
 
 
-def test_removed_spans_rebuild_the_text(spark):
-    documents = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = line_dedup.remove_repeats(documents).join(documents.select("doc_id", "text"), "doc_id").collect()
-    assert any(r["n_removed"] for r in rows)
-    for r in rows:
-        parts = r["text"].split("\n")
-        assert all(r["text"][s:s + n] == parts[p] for p, s, n in r["removed"])
-        gone = {p for p, _, _ in r["removed"]}
-        assert r["clean"] == "\n".join(u for i, u in enumerate(parts) if i not in gone)
+def cleaned_texts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["clean"] for r in line_dedup.remove_repeats(docs).collect()}
 
 
-def test_paragraphs(spark):
-    docs = spark.createDataFrame(
-        [(1, "a b c d e\nf\n\ng h i j k"), (2, "g h  i j K\n\na b c d e f")], "doc_id long, text string")
-    got = {r["doc_id"]: r["clean"] for r in line_dedup.remove_repeats(docs, cut=line_dedup.PARAGRAPH).collect()}
-    assert got == {1: "a b c d e\nf\n\ng h i j k", 2: ""}
+def test_passages_wherever_they_stand(spark):
+    """In mid-line, over short lines, with one clause edited, and in a script without blanks."""
+    wrapped = PASSAGE.replace(", ", ",\n").replace(". ", ".\n")
+    chinese = "。".join("山水云天地人花鸟鱼虫"[i:] + "江河湖海" for i in range(8)) + "。"
+    edited = PASSAGE.replace("word14", "other14")
+    texts = [
+        f"First of all. {PASSAGE}. The end.", f"Another text, {PASSAGE}. Own words.", f"Top\n{wrapped}.\nbelow it",
+        f"Edited: {edited}. Bye.", f"Head. {chinese}", f"Tail\n{chinese}\nlast", "Short and common. The end. Own words.",
+    ]
+    got = cleaned_texts(spark, texts)
+    assert got == plain_dedup(list(enumerate(texts)))
+    assert got[0] == texts[0] and got[4] == texts[4] and got[6] == texts[6]
+    assert got[1] == "Another text, Own words."
+    assert got[2] == "Top\nbelow it" and got[5] == "Tail\nlast"
+    assert "other14" in got[3] and "word3" not in got[3]
+
+
+def test_earliest_of_one_number_and_of_none(spark):
+    """Texts of one number, and rows without any, rank by hash; one of each passage stays."""
+    rows = [(None, f"a {PASSAGE}."), (None, f"b. {PASSAGE}."), (3, f"c. {PASSAGE}."), (3, f"d. {PASSAGE}."), (9, f"e. {PASSAGE}.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.remove_repeats(docs).collect()
+    kept = [r["doc_id"] for r in got if "word3" in r["clean"]]
+    assert kept.count(3) == 1 and 9 not in kept and len(got) == 5
+
+
+def test_long_documents(spark):
+    rng = random.Random(4)
+    long = ". ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(8000))
+    texts = [long, f"Own. {long}", "word " * 200_000, "字" * 100_000]
+    got = cleaned_texts(spark, texts)
+    assert got[0] == texts[0] and got[1].strip() == "Own." and got[2] == texts[2] and got[3] == texts[3]
+
+
+def test_clauses_equal_plain_version(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect())
+    got = {r["doc_id"]: r["clean"] for r in line_dedup.remove_repeats(documents).collect()}
+    assert got == plain_dedup(rows) and any(got[d] != t for d, t in rows)
 
 
 def test_cleaned_keeps_columns(docs):

@@ -268,7 +268,7 @@ def test_insults_with_gaps_and_inserted_letters():
 
 
 def test_pipeline(spark):
-    from test_text_operators import brute_components, check_packing, slow_fingerprint
+    from test_text_operators import brute_components, check_packing, plain_dedup, slow_fingerprint
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -279,17 +279,7 @@ def test_pipeline(spark):
     kept -= {r["doc_id"] for r in bad.where("predicted = 1").collect()}
     groups = brute_components([(d, slow_fingerprint(texts[d])) for d in sorted(kept)], 2)
     kept = sorted(d for d, _, c in groups if d == c)
-    seen, clean = set(), {}
-    for d in kept:
-        lines = []
-        for unit in texts[d].split("\n"):
-            norm = " ".join(unit.lower().split())
-            if len(norm.split()) >= 5:
-                if norm in seen:
-                    continue
-                seen.add(norm)
-            lines.append(unit)
-        clean[d] = "\n".join(lines)
+    clean = plain_dedup([(d, texts[d]) for d in kept])
     pieces = corpus_pipeline.run(spark, SF).collect()
     check_packing(pieces, list(clean.items()))
 
