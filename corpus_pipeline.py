@@ -32,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one holds; ``n_chars`` follows the text."""
+    """Documents without passages that an earlier one holds; ``n_chars`` follows the text."""
     return line_dedup.cleaned(docs, n_chars="n_chars")
 
 
