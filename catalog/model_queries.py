@@ -41,7 +41,7 @@ query("mdl3_lasso", _closed("sign(cxy) * greatest(abs(cxy) - 2, 0) / vx"))(_one_
 # ---- trees on the daily grid ----------------------------------------------------------------
 
 FEATURES = ["price", "price_lag_5", "price_lag_7", "rolling_mean_5", "rolling_std_7", "momentum_5", "day_of_week", "month"]
-SMALL = TrainConfig(models=("linear", "ridge"), trees=5, forest_depth=5, boost_depth=4, leafwise_depth=5)
+SMALL = TrainConfig(models=("linear", "ridge"), trees=5, forest_depth=5, boost_depth=4)
 
 
 def _features(spark, sf):
@@ -94,7 +94,7 @@ def _two_valued(name):
         li = table(spark, sf, "lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
             (F.col("l_linestatus") == "O").cast("double").alias("is_open"))
-        cfg = TrainConfig(trees=1, bootstrap=False)
+        cfg = TrainConfig(trees=1, bootstrap=False, learning_rate=1.0, reg_lambda=0.0)
         scored = models.score(models.fit(name, li, ["is_open"], "l_extendedprice", cfg), li)
         return scored.select("l_orderkey", "l_linenumber", "l_partkey", snap("prediction", 3).alias("prediction"))
 
@@ -108,6 +108,47 @@ query("mdl5_one_round", _MEANS)(_two_valued("xgboost"))
 query("mdl6_one_round", _MEANS)(_two_valued("lightgbm"))
 
 
+_FEATS = ("l_quantity", "l_linenumber", "percent")
+
+
+def _grown_sql(leaves: int, l2: float, l1: float, rate: float, least: int) -> str:
+    """One tree, split by split, best leaf first, from its sums by leaf, feature and value."""
+    def drawn(g):
+        return f"(sign({g}) * greatest(abs({g}) - {l1!r}::DOUBLE, 0))"
+
+    steps = ["""r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, round(l_discount * 100) AS percent FROM lineitem),
+s0 AS (SELECT *, avg(l_extendedprice) OVER () AS base, avg(l_extendedprice) OVER () - l_extendedprice AS g, 0 AS leaf FROM r)"""]
+    for k in range(1, leaves):
+        long = " UNION ALL ".join(f"SELECT leaf, {i} AS f, CAST({c} AS DOUBLE) AS v, g FROM s{k - 1}" for i, c in enumerate(_FEATS))
+        value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_FEATS))
+        steps.append(f"""h{k} AS (SELECT leaf, f, v, sum(g) AS g, count(*) AS n FROM ({long}) GROUP BY ALL),
+c{k} AS (SELECT leaf, f, v, sum(g) OVER u AS lg, sum(n) OVER u AS ln, sum(g) OVER a AS tg, sum(n) OVER a AS tn FROM h{k}
+  WINDOW u AS (PARTITION BY leaf, f ORDER BY v), a AS (PARTITION BY leaf, f)),
+b{k} AS (SELECT leaf AS hit, f, v FROM c{k} WHERE ln >= {least} AND tn - ln >= {least}
+  ORDER BY {drawn('lg')} ^ 2 / (ln + {l2!r}) + {drawn('(tg - lg)')} ^ 2 / (tn - ln + {l2!r}) - {drawn('tg')} ^ 2 / (tn + {l2!r}) DESC, leaf, f, v LIMIT 1),
+s{k} AS (SELECT s.* EXCLUDE leaf, CASE WHEN leaf <> hit THEN leaf WHEN (CASE f {value} END) <= v THEN {2 * k - 1} ELSE {2 * k} END AS leaf
+  FROM s{k - 1} s, b{k})""")
+    weight = f"{drawn('sum(g) OVER (PARTITION BY leaf)')} / (count(*) OVER (PARTITION BY leaf) + {l2!r}::DOUBLE)"
+    return f"""WITH {", ".join(steps)}
+SELECT l_orderkey, l_linenumber, l_partkey, {snap_sql(f'base - {rate!r}::DOUBLE * {weight}', 3)} AS prediction FROM s{leaves - 1}"""
+
+
+def _grown(name, cfg):
+    def run(spark, sf):
+        li = table(spark, sf, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
+            F.round(F.col("l_discount") * 100).alias("percent"))
+        scored = models.score(models.fit(name, li, list(_FEATS), "l_extendedprice", cfg), li)
+        return scored.select("l_orderkey", "l_linenumber", "l_partkey", snap("prediction", 3).alias("prediction"))
+
+    return run
+
+
+query("mdl5_penalised_split", _grown_sql(2, 5000.0, 1e6, 0.1, 1))(
+    _grown("xgboost", TrainConfig(trees=1, boost_depth=1, reg_lambda=5000.0, reg_alpha=1e6)))
+query("mdl6_leafwise_tree", _grown_sql(6, 0.0, 0.0, 0.1, 20))(_grown("lightgbm", TrainConfig(trees=1, leaves=6)))
+
+
 @query("mdl7_coefficients", f"""WITH {_ONE} k AS (SELECT cxy / vx AS slope FROM c)
 SELECT 'linear' AS model, 'l_quantity' AS feature, round(abs(slope), 5) AS importance FROM k""")
 def mdl7_coefficients(spark, sf):

@@ -126,8 +126,15 @@ class TrainConfig:
     bootstrap: bool = True
     learning_rate: float = 0.1
     boost_depth: int = 6
-    leafwise_depth: int = 5  # a depth of 31 leaves, in place of unlimited depth
+    reg_lambda: float = 1.0
+    reg_alpha: float = 0.0
+    subsample: float = 1.0
+    colsample: float = 1.0
+    leaves: int = 31
+    leafwise_depth: int | None = None
+    leafwise_least_rows: int = 20
+    leafwise_lambda: float = 0.0
+    patience: int | None = 10
     forest_depth: int = 30  # the library's limit; the published setting has none
-    validation_tol: float = 1e-5
     ridge_alpha: float = 1.0
     lasso_alpha: float = 1.0

@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.config import TrainConfig
+from seriesloom.operators.boosting import BoostConfig, Task, fit_many
+from seriesloom.operators.gram import fit_linear_many
 from seriesloom.operators.splits import numeric_features
 from seriesloom.operators.summaries import label_codes
 from seriesloom.session import scratch_path
@@ -50,34 +52,37 @@ def _forest(train: DataFrame, label: str, cfg: TrainConfig) -> Estimator:
     )
 
 
-def _boosted(depth: str) -> Callable[[DataFrame, str, TrainConfig], Estimator]:
-    def build(train: DataFrame, label: str, cfg: TrainConfig) -> Estimator:
-        gbt = GBTRegressor(
-            labelCol=label, maxIter=cfg.trees, maxDepth=getattr(cfg, depth),
-            stepSize=cfg.learning_rate, seed=cfg.seed, validationTol=cfg.validation_tol,
-        )
-        return gbt.setValidationIndicatorCol("is_val") if "is_val" in train.columns else gbt
-
-    return build
-
-
 BUILDERS: dict[str, Callable[[DataFrame, str, TrainConfig], Estimator]] = {
     "linear": _linear,
     "ridge": _ridge,
     "lasso": _lasso,
     "random_forest": _forest,
-    "xgboost": _boosted("boost_depth"),
-    "lightgbm": _boosted("leafwise_depth"),
 }
 WITH_VALIDATION = ("xgboost", "lightgbm")
+#: Models that all horizons share the passes of.
+TOGETHER = ("linear", "ridge", *WITH_VALIDATION)
 
 
 def build(name: str, train: DataFrame, label: str, cfg: TrainConfig = TrainConfig()) -> Estimator:
     if name not in BUILDERS:
-        raise ValueError(f"unknown model {name!r}; have {sorted(BUILDERS)}")
+        raise ValueError(f"unknown model {name!r}; have {sorted([*BUILDERS, *WITH_VALIDATION])}")
     return BUILDERS[name](train, label, cfg)
 
 
+def boost_settings(name: str, cfg: TrainConfig) -> BoostConfig:
+    """Level by level under penalties for ``xgboost``, best leaf first for ``lightgbm``."""
+    common = {
+        "trees": cfg.trees, "learning_rate": cfg.learning_rate, "patience": cfg.patience, "seed": cfg.seed,
+        "rows": cfg.subsample, "columns": cfg.colsample,
+    }
+    if name == "xgboost":
+        return BoostConfig(depth=cfg.boost_depth, l2=cfg.reg_lambda, l1=cfg.reg_alpha, **common)
+    return BoostConfig(
+        depth=cfg.leafwise_depth, leaves=cfg.leaves, l2=cfg.leafwise_lambda, least_rows=cfg.leafwise_least_rows,
+        importance="split", **common,
+    )
+
+
 def _encoder(rows: DataFrame, column: str, folder: str) -> SQLTransformer:
     """A stage that joins the written codes of ``column``, one table per fit."""
     path = f"{folder.rstrip('/')}/{column}-{uuid.uuid4().hex}"
@@ -102,13 +107,43 @@ def fit(
     rows = df.filter(F.col(label).isNotNull())
     if split in df.columns:
         if name in WITH_VALIDATION:
-            rows = rows.filter(F.col(split).isin("train", "val")).withColumn("is_val", F.col(split) == "val")
+            rows = rows.filter(F.col(split).isin("train", "val"))
         else:
             rows = rows.filter(F.col(split) == "train")
-    indexers = [_encoder(rows, c, codes or scratch_path(df.sparkSession, "codes")) for c in categorical]
+    stages, inputs = _input_stages(rows, features, categorical, codes)
+    if name not in WITH_VALIDATION:
+        return Pipeline(stages=[*stages, build(name, rows, label, cfg)]).fit(rows)
+    ready = PipelineModel(stages)
+    task = Task(label, split if split in df.columns else None)
+    return PipelineModel([*stages, fit_many(ready.transform(rows), inputs, [task], boost_settings(name, cfg))[0]])
+
+
+def _input_stages(
+    rows: DataFrame, features: list[str], categorical: tuple[str, ...], codes: str | None,
+) -> tuple[list, list[str]]:
+    """Encoders fitted on ``rows`` and the assembler; and the names of the columns that models see."""
+    encoders = [_encoder(rows, c, codes or scratch_path(rows.sparkSession, "codes")) for c in categorical]
     inputs = [f for f in features if f not in categorical] + [f"{c}_code" for c in categorical]
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-    return Pipeline(stages=[*indexers, assembler, build(name, rows, label, cfg)]).fit(rows)
+    return [*encoders, VectorAssembler(inputCols=inputs, outputCol="features")], inputs
+
+
+def fit_together(
+    name: str, df: DataFrame, features: list[str], tasks: list[Task], cfg: TrainConfig = TrainConfig(),
+    categorical: tuple[str, ...] = (), codes: str | None = None,
+) -> list[PipelineModel]:
+    """``fit`` of one of ``TOGETHER`` for several labels, each with a split of its own, in shared passes.
+
+    Codes of categorical columns come from all rows that some label trains on.
+    """
+    some = [F.col(t.label).isNotNull() & (F.col(t.split) == "train") for t in tasks]
+    stages, inputs = _input_stages(df.filter(F.greatest(*[c.cast("int") for c in some]) == 1) if len(some) > 1
+                                   else df.filter(some[0]), features, categorical, codes)
+    ready = PipelineModel(stages).transform(df)
+    if name in WITH_VALIDATION:
+        made = fit_many(ready, inputs, tasks, boost_settings(name, cfg))
+    else:
+        made = [m[0] for m in fit_linear_many(ready, inputs, tasks, [cfg.ridge_alpha if name == "ridge" else 0.0])]
+    return [PipelineModel([*stages, m]) for m in made]
 
 
 def scoring_input(df: DataFrame, features: list[str], categorical: tuple[str, ...] = ()) -> DataFrame:

@@ -30,8 +30,9 @@ def train_grid(
     Targets and splits of all horizons come from one pass over the asset windows and
     are written once, so a lost executor never repeats the feature windows. With
     ``cfg.max_samples``, at most so many labelled train rows of a horizon are fitted on;
-    validation and test rows are never sampled. A failing model is recorded and the
-    grid goes on.
+    validation and test rows are never sampled; without it, linear and boosted models of
+    all horizons are fitted in shared passes. A failing model is recorded and the grid
+    goes on.
     """
     spark = df.sparkSession
     out = Trained(metrics=spark.createDataFrame([], "horizon int, model string, metric string, value double"))
@@ -40,6 +41,17 @@ def train_grid(
     every = models.scoring_input(every, features, categorical)
     named = [c for h in cfg.horizons for c in (feat.target_name(h), splits.split_name(h))]
     every = materialize(every.select(g.asset, g.day, *named, *features), "splits")
+    codes = f"{model_dir.rstrip('/')}/_codes"
+    together: dict[str, dict] = {}
+    if cfg.max_samples is None:
+        tasks = [models.Task(feat.target_name(h), splits.split_name(h)) for h in cfg.horizons]
+        for name in cfg.models:
+            if name in models.TOGETHER:
+                try:
+                    made = models.fit_together(name, every, features, tasks, cfg, categorical, codes)
+                    together[name] = dict(zip(cfg.horizons, made))
+                except Exception:  # noqa: BLE001 - each horizon is then tried, and named, by itself
+                    continue
     for h in cfg.horizons:
         label = feat.target_name(h)
         rows = every.filter(F.col(splits.split_name(h)).isNotNull()).select(
@@ -52,8 +64,8 @@ def train_grid(
             rows = train.unionByName(rows.filter(F.col("split") != "train"))
         for name in cfg.models:
             try:
-                model = models.fit(
-                    name, rows, features, label, cfg, categorical, codes=f"{model_dir.rstrip('/')}/_codes"
+                model = together[name][h] if name in together else models.fit(
+                    name, rows, features, label, cfg, categorical, codes=codes
                 )
                 out.saved.append(writers.save_model(model, model_dir, name, h))
                 scored = models.score(model, rows.filter(F.col("split") == "test"), "y_pred")
