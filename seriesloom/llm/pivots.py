@@ -9,6 +9,9 @@ Pivots are drawn by hash, then thinned so that no two are nearly alike: a large
 near copies keeps one or a few pivots of its own, whatever its share of the rows. Pivots in
 proportion to its rows would fill its members' prefixes with near copies in random order.
 
+Where all vectors lie in a few narrow cones, thinning leaves too few pivots for prefixes to
+tell vectors apart. All vectors are then one list, of which every pair is compared.
+
 Equal vectors collapse first and count by their number. Long lists are cut into blocks
 and each pair of blocks is a task of its own, so a pivot that a third of all vectors
 are near is spread. A pair that shares several pivots belongs to the smallest of them.
@@ -33,6 +36,8 @@ MOST_PIVOTS = 16_384
 DRAWN = 2            # vectors drawn for each pivot wanted, as thinning leaves some out
 APART = 0.1          # two pivots' cosine lies at least so far below the threshold of links
 BLOCK = 512          # members of a list that one task compares
+FEW = 4 * PREFIX     # with fewer pivots, all vectors are one list
+WHOLE_BLOCK = 2048   # members of that list that one task compares
 
 
 def n_pivots(n: int) -> int:
@@ -79,7 +84,7 @@ def _prefixes(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.select("class_id", "n", "vec").mapInArrow(run, "class_id long, n long, vec binary, prefix array<int>")
 
 
-def _compare(least: float):
+def _compare(least: float, needed: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pivot, i, j = (k.as_py() for k in key)
         if not table.num_rows:
@@ -107,13 +112,13 @@ def _compare(least: float):
                     foreign[np.ix_(a, b)] = True
                 else:
                     shared[np.ix_(a, b)] += 1
-        near = (shared >= SHARED) & ~foreign
+        near = (shared >= needed) & ~foreign
         if i == j:
             near = np.triu(near, 1)
-        a, b = np.nonzero(near)
-        if len(a) > near.size // 8:
+        if np.count_nonzero(near) > near.size // 8:
             near &= x[left] @ x[right].T >= least
         else:
+            a, b = np.nonzero(near)
             good = np.zeros(len(a), dtype=bool)
             for lo in range(0, len(a), 50_000):
                 s = slice(lo, lo + 50_000)
@@ -161,12 +166,13 @@ def near_duplicates(
     another, also under one number: repeated rows count as vectors of their own, and get
     equal results. Rows without a number link, count, and stay, but name no component;
     a component of only such rows is null. Pivots are taken from at most ``MOST_PIVOTS``
-    vectors with the smallest hashes; every vector is indexed.
+    vectors with the smallest hashes; every vector is indexed. With fewer than ``FEW`` pivots
+    left, every pair is compared.
     """
     rows, d = V.valid(vectors, vec_id, vector)
     classes = stored(
         rows.groupBy("vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn(
-            "class_id", F.xxhash64("vec")
+            "class_id", F.monotonically_increasing_id()
         ),
         "classes",
     )
@@ -180,12 +186,15 @@ def near_duplicates(
     wanted = n_pivots(many)
     drawn = V.seed_rows(classes.select("vec"), min(DRAWN * wanted, MOST_PIVOTS), 17)
     pivots = thinned(drawn, least - APART, wanted)
+    needed, block = SHARED, BLOCK
+    if len(pivots) < FEW:
+        pivots, needed, block = pivots[:1], 1, WHOLE_BLOCK
     described = stored(_prefixes(classes, pivots), "prefixes")
     members = described.select("class_id", "n", "vec", "prefix", F.explode("prefix").alias("pivot"))
     # One row per pivot: at most MOST_PIVOTS, so the lengths may be broadcast.
     lengths = stored(
         described.select(F.explode("prefix").alias("pivot")).groupBy("pivot").agg(
-            F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")
+            F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")
         ),
         "lists",
     )
@@ -199,7 +208,7 @@ def near_duplicates(
     )
     found = stored(
         tasks.groupBy("pivot", "i", "j").applyInArrow(
-            _compare(least), "class_id long, links long, a long, b long"
+            _compare(least, needed), "class_id long, links long, a long, b long"
         ),
         "links",
     )
