@@ -82,7 +82,7 @@ def fitted(counts: dict[str, dict[str, int]]) -> Model:
     names = sorted(counts)
     grams_of = sorted({g for c in counts.values() for g in c}, key=lambda g: (len(g), g))
     index = {g: i for i, g in enumerate(grams_of)}
-    n = np.array([[counts[name].get(g, 0) for name in names] for g in grams_of], dtype=float).reshape(-1, len(names))
+    n = np.array([[counts[name].get(g, 0) for name in names] for g in grams_of], dtype=float).reshape(len(grams_of), len(names))
     letters = max(1, sum(len(g) == 1 for g in grams_of))
     total: dict[str, np.ndarray] = {}
     kinds: dict[str, np.ndarray] = {}
