@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import Bounded, stored, text_udf
+from seriesloom.llm.common import stored, text_udf
 
 ORDER = 3             # letters of an n-gram, the word's ends count
 PER_LANGUAGE = 2000   # learned documents of a language, at most: smallest hashes of their numbers
 PIECE = 12            # letters of a word that are read as one draw; longer runs are cut
+AT_ONCE = 4096        # words scored together
+REMEMBERED = 1 << 17  # words or n-grams: more than ``AT_ONCE`` words hold
 ROUNDS = 50
 SETTLED = 1e-4
 #: Log-likelihood that each language beyond the first must gain, times the log of the words.
@@ -59,18 +62,58 @@ class Model:
     known: dict[str, np.ndarray]
     left: dict[str, np.ndarray]
 
-    def of_word(self, word: str) -> np.ndarray:
-        """Log-likelihood of a word under each language."""
-        padded = " " * (ORDER - 1) + word + " "
-        total = np.zeros(len(self.names))
-        for i in range(ORDER - 1, len(padded)):
-            value = self.known[""]
-            for n in range(1, ORDER + 1):
-                gram = padded[i - n + 1:i + 1]
-                row = self.known.get(gram)
-                value = row if row is not None else value + self.left.get(gram[:-1], 0.0)
-            total += value
-        return total
+    def after(self, gram: str) -> np.ndarray:
+        """Log-probability of the last letter of an n-gram after the ones before it."""
+        value = self.known[""]
+        for n in range(1, len(gram) + 1):
+            part = gram[-n:]
+            row = self.known.get(part)
+            value = row if row is not None else value + self.left.get(part[:-1], 0.0)
+        return value
+
+
+class Remembered:
+    """Rows of numbers by key, worked out when first met; all go once there are ``REMEMBERED``."""
+
+    def __init__(self, fn: Callable[[list[str]], np.ndarray], width: int) -> None:
+        self.fn, self.rows, self.table = fn, {}, np.zeros((REMEMBERED, width))
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        """One row for each key, of which there are fewer than ``REMEMBERED``."""
+        new = set(keys).difference(self.rows)
+        if len(self.rows) + len(new) > REMEMBERED:
+            self.rows, new = {}, set(keys)
+        if new:
+            lo = len(self.rows)
+            self.rows.update(zip(new, range(lo, lo + len(new))))
+            self.table[lo:lo + len(new)] = self.fn(list(new))
+        return self.table[np.fromiter(map(self.rows.__getitem__, keys), dtype=np.int64, count=len(keys))]
+
+
+class Scorer:
+    """Log-likelihoods of words under each language; words and n-grams are remembered."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.grams = Remembered(self._of_grams, len(model.names))
+        self.words = Remembered(self._of_new, len(model.names))
+
+    def of_words(self, found: list[str]) -> np.ndarray:
+        """One row for each word."""
+        return np.concatenate([self.words.of(found[lo:lo + AT_ONCE]) for lo in range(0, len(found), AT_ONCE)])
+
+    def _of_new(self, found: list[str]) -> np.ndarray:
+        before = " " * (ORDER - 1)
+        chain = before + "".join(before + word + " " for word in found)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + ORDER
+        values = self.grams.of([chain[i:i + ORDER] for i in range(len(chain) - ORDER + 1)])
+        return np.add.reduceat(values, np.cumsum(sizes) - sizes, axis=0)
+
+    def _of_grams(self, grams: list[str]) -> np.ndarray:
+        # Two blanks at the end: a place between words.
+        return np.array([
+            np.zeros(len(self.model.names)) if g.endswith("  ") else self.model.after(g) for g in grams
+        ])
 
 
 def fitted(counts: dict[str, dict[str, int]]) -> Model:
@@ -141,24 +184,30 @@ def learn(
     return fitted(counts)
 
 
-def mixture(scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+def mixture(scores: np.ndarray, counts: np.ndarray, least: float = -np.inf) -> tuple[np.ndarray, float]:
     """(proportions, log-likelihood) of a document's words under all given languages.
 
-    ``scores`` has the log-likelihood of each word under each language.
+    ``scores`` has the log-likelihood of each word under each language. By concavity no
+    proportions reach more than the likelihood so far and the words' number times the log of
+    the largest factor by which a proportion grows. Once that is at most ``least``, it is
+    returned as the likelihood: the set cannot do better.
     """
     top = scores.max(1)
     like = np.exp(scores - top[:, None])
     share = np.full(scores.shape[1], 1.0 / scores.shape[1])
-    total = counts.sum()
+    total, base = counts.sum(), float(counts @ top)
     for _ in range(ROUNDS):
-        part = like * share
-        sums = part.sum(1)
-        new = (counts / sums) @ part / total
+        sums = like @ share
+        growth = (counts / sums) @ like / total
+        limit = float(counts @ np.log(sums)) + base + total * np.log(growth.max())
+        if limit <= least:
+            return share, limit
+        new = share * growth
         moved = np.abs(new - share).max()
         share = new
         if moved < SETTLED:
             break
-    return share, float(counts @ (np.log(np.maximum(like @ share, 1e-300)) + top))
+    return share, float(counts @ np.log(np.maximum(like @ share, 1e-300))) + base
 
 
 def infer(scores: np.ndarray, counts: np.ndarray) -> tuple[list[int], np.ndarray]:
@@ -169,13 +218,17 @@ def infer(scores: np.ndarray, counts: np.ndarray) -> tuple[list[int], np.ndarray
     shares, value = np.ones(1), float(alone[best[0]])
     if scores.shape[1] == 1:
         return best, shares
-    every, _ = mixture(scores, counts)
+    # No set is likelier than all languages together.
+    every, likelihood = mixture(scores, counts, value + penalty)
+    if likelihood <= value + penalty:
+        return best, shares
     order = [i for i in np.argsort(-every, kind="stable").tolist() if i != best[0]]
     tried = list(best)
     for i in order:
         tried = [*tried, i]
-        share, likelihood = mixture(scores[:, tried], counts)
-        if likelihood - penalty * (len(tried) - 1) <= value:
+        least = value + penalty * (len(tried) - 1)
+        share, likelihood = mixture(scores[:, tried], counts, least)
+        if likelihood <= least:
             break
         value = likelihood - penalty * (len(tried) - 1)
         best, shares = tried, share
@@ -187,14 +240,13 @@ def predict(model: Model):
     """Function of a text column: (lang_pred, score, languages, shares)."""
 
     def make():
-        of_word = Bounded(model.of_word)
+        scorer = Scorer(model)
 
         def one(text: str) -> tuple:
             found = words(text)
             if not found or not model.names:
                 return UNDETERMINED, 0.0, [], []
-            scores = np.array([of_word[w] for w in found])
-            langs, shares = infer(scores, np.fromiter(found.values(), dtype=float, count=len(found)))
+            langs, shares = infer(scorer.of_words(list(found)), np.fromiter(found.values(), dtype=float, count=len(found)))
             names = [model.names[i] for i in langs]
             return names[0], min(1.0, max(0.0, float(shares[0]))), names, [float(x) for x in shares]
 

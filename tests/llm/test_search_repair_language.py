@@ -301,3 +301,37 @@ def test_model_sums_to_one():
                 value = row if row is not None else value + model.left.get(g[:-1], 0.0)
             total += np.exp(value)
         assert np.allclose(total, 1.0)
+
+
+def test_words_score_as_their_letters(monkeypatch):
+    """Sums of remembered n-grams are the letters' own, also after all were forgotten."""
+    counts = {k: dict(Counter(g for w, n in languages.words(t).items() for _ in range(n) for g in languages.grams(w)))
+              for k, t in {"x": "abba abc cab", "y": "bcb cbc"}.items()}
+    model = languages.fitted(counts)
+    monkeypatch.setattr(languages, "REMEMBERED", 64)
+    monkeypatch.setattr(languages, "AT_ONCE", 4)
+    scorer = languages.Scorer(model)
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        found = sorted({"".join(rng.choice(list("abcé字"), rng.integers(1, 9))) for _ in range(11)})
+        padded = ["  " + w + " " for w in found]
+        plain = [sum(model.after(p[i - 2:i + 1]) for i in range(2, len(p))) for p in padded]
+        assert np.allclose(scorer.of_words(found), plain)
+
+
+def test_limit_decides_only_what_is_decided():
+    """Where a set is given up early, its greatest likelihood is no better than what it must beat."""
+    rng = np.random.default_rng(6)
+    early = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        mine = rng.integers(0, 3, n) if rng.random() < 0.5 else np.zeros(n, int)
+        scores = rng.normal(-8, 2, (n, 3))
+        scores[np.arange(n), mine] += 6
+        counts = rng.integers(1, 5, n).astype(float)
+        least = float((counts @ scores).max()) + 2 * np.log(counts.sum() + 1)
+        _, whole = languages.mixture(scores, counts)
+        _, found = languages.mixture(scores, counts, least)
+        assert (found <= least) == (whole <= least)
+        early += found != whole
+    assert early > 50
