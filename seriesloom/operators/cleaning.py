@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.config import PrepConfig
+from seriesloom.operators.ordering import picked_rows
 from seriesloom.operators.quantiles import exact_quantiles
 
 
@@ -30,15 +31,13 @@ def first_per_timestamp(
 ) -> DataFrame:
     """One row per (asset, ts): the first in ingest order.
 
-    ``order`` must be unique inside a duplicate group. A single kept number with
-    a single order column stays a hash aggregate; wider rows travel as a struct.
+    ``order`` must be unique inside a duplicate group. Kept numbers and dates with
+    order columns of whole numbers or times stay a hash aggregate (``ordering``).
     """
     rest = keep or [c for c in df.columns if c not in (asset, ts)]
-    key = F.struct(*order) if len(order) > 1 else (F.col(order[0]) if isinstance(order[0], str) else order[0])
-    if len(rest) == 1:
-        return df.groupBy(asset, ts).agg(F.min_by(rest[0], key).alias(rest[0]))
-    packed = df.groupBy(asset, ts).agg(F.min_by(F.struct(*rest), key).alias("_row"))
-    return packed.select(asset, ts, "_row.*")
+    if len(rest) == 1 and len(order) == 1:
+        return df.groupBy(asset, ts).agg(F.min_by(rest[0], order[0]).alias(rest[0]))
+    return picked_rows(df, [asset, ts], rest, order, last=False)
 
 
 def with_asset_stats(df: DataFrame, stats: DataFrame, asset: str = "asset_id") -> DataFrame:

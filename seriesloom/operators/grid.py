@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.dates import bucket_day
+from seriesloom.operators.ordering import picked_rows
 
 STEP_DAYS = {"D": 1, "W": 7}
 
@@ -22,8 +23,7 @@ def resample_last(
     """Last known price per asset and bucket."""
     known = df.filter(F.col(price).isNotNull())
     bucketed = known.withColumn(day, bucket_day(F.col(ts), frequency))
-    latest = F.max_by(price, F.struct(ts, *(order or [])))
-    return bucketed.groupBy(asset, day).agg(latest.alias(price))
+    return picked_rows(bucketed, [asset, day], [price], [ts, *(order or [])])
 
 
 def densify(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.config import SplitConfig
 from seriesloom.operators import features as feat
+from seriesloom.operators.ordering import picked_rows
 
 # ---- Fixed values ------------------------------------------------------------
 NOT_FEATURES = ("asset_id", "brand", "model", "date", "timestamp")
@@ -136,8 +137,7 @@ def top_per_group(df: DataFrame, by: list[str], order: list, n: int) -> DataFram
 def latest_row(df: DataFrame, asset: str = "asset_id", ts: str = "ts", tie: list[str] | None = None) -> DataFrame:
     """Newest row per asset, as an aggregate whose partial results merge before the shuffle.
 
-    Rows travel as structs, so each task orders its own rows by asset.
+    ``tie`` tells rows of one time apart.
     """
     rest = [c for c in df.columns if c != asset]
-    newest = F.max_by(F.struct(*rest), F.struct(ts, *(tie or [])))
-    return df.groupBy(asset).agg(newest.alias("_row")).select(asset, "_row.*")
+    return picked_rows(df, [asset], rest, [ts, *(tie or [])])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.ordering import picked_rows
+
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -19,18 +21,16 @@ def upsert(
     """Rows of both, one per key: a new row replaces an existing one.
 
     Inside a batch the greatest ``order`` wins. A first load is taken as is.
-    Written as an aggregate, so duplicates of a hot key collapse before moving; with
-    struct keys each task orders its own rows first.
+    Written as an aggregate, so duplicates of a hot key collapse before moving.
     """
     order = order or []
     cols = [*keys, value, *order]
     if existing is None:
         return new.select(*keys, value)
-    ranked = existing.select(*cols, F.lit(0).alias("_batch")).unionByName(
-        new.select(*cols, F.lit(1).alias("_batch"))
+    ranked = existing.select(*cols, F.lit(False).alias("_new")).unionByName(
+        new.select(*cols, F.lit(True).alias("_new"))
     )
-    winner = F.max_by(F.struct(value), F.struct("_batch", *order))
-    return ranked.groupBy(*keys).agg(winner.alias("_w")).select(*keys, f"_w.{value}")
+    return picked_rows(ranked, list(keys), [value], ["_new", *order])
 
 
 def added_rows(existing: DataFrame, merged: DataFrame, by: str = "asset_id") -> DataFrame:

@@ -3,11 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalog import registry
 from seriesloom.config import PrepConfig
+from seriesloom.operators import cleaning, grid, splits, upsert
 from seriesloom.operators import features as ft
-from seriesloom.operators import splits
 from seriesloom.plans import features_plan
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +56,21 @@ def test_latest_row_has_no_window(spark):
     assert "Window" not in plan(splits.latest_row(registry.p(spark, SF), tie=["tie"]))
 
 
+def test_first_and_last_are_never_sorted(spark):
+    p = registry.p(spark, SF).withColumn("day", F.col("ts"))
+    halves = [p.filter("tie % 2 = 0"), p.filter("tie % 2 = 1")]
+    frames = {
+        "first": cleaning.first_per_timestamp(p, ["day", "tie"]),
+        "latest": splits.latest_row(p, tie=["tie"]),
+        "upsert": upsert.upsert(*halves, ["tie"]),
+        "resample": grid.resample_last(p, "W", ["tie"]),
+    }
+    for name, df in frames.items():
+        text = plan(df)
+        assert "partial_m" in text and "SortAggregate" not in text and "Sort [" not in text, name
+        assert "ObjectHashAggregate" not in text, name
+
+
 def test_no_cross_joins_or_python(spark):
     import __spark_entry__ as entry
 
