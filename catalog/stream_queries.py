@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import P_SQL, p, query, r, table
 from seriesloom.session import scratch_path
+from seriesloom.sources.bucket_table import BucketTable, current, merge
 from seriesloom.streaming import series_streams as ss
 
 
@@ -13,6 +14,12 @@ from seriesloom.streaming import series_streams as ss
 LATENESS = "60 days"
 
 
+def _prices(path):
+    """Current prices by nation and year; among rows of a batch the greatest tie stays."""
+    return BucketTable(
+        path, "asset_id INT, ts DATE, price DOUBLE, tie BIGINT", ("asset_id", "ts"), ("tie",), ("asset_id", "year(ts)"))
+
+
 def _events(spark, sf):
     schema = table(spark, sf, "events").schema
     return ss.event_time(ss.stream_files(spark, sf, "events.parquet", schema), "ts")
@@ -21,16 +28,24 @@ def _events(spark, sf):
 @query("stm1_incremental_upsert", f"""
 WITH {P_SQL} SELECT asset_id, ts, arg_max(price, struct_pack(a := tie % 2, b := tie)) AS price FROM p GROUP BY 1, 2""", as_text=("ts",))
 def stm1(spark, sf):
-    source, out = scratch_path(spark, "arrivals"), scratch_path(spark, "ingested")
+    source = scratch_path(spark, "arrivals")
     checkpoint = scratch_path(spark, "ingest-checkpoint")
     rows = p(spark, sf)
-    schema = "asset_id INT, ts DATE, price DOUBLE, tie BIGINT"
+    kept = _prices(scratch_path(spark, "ingested"))
     # Two arrivals, each ingested by its own run of the same query.
     for part in (0, 1):
         rows.filter(F.col("tie") % 2 == part).write.mode("append").parquet(source)
-        ss.ingest_prices(ss.stream_files(spark, source, "*.parquet", schema), out, checkpoint)
-    ss.compact(spark, out, ["asset_id", "ts"], ["tie"], schema)
-    return ss.merged_prices(spark, out, schema)
+        ss.run_into_buckets(ss.stream_files(spark, source, "*.parquet", kept.schema), kept, checkpoint)
+    return current(spark, kept).drop("tie")
+
+
+@query("set2_upsert_by_buckets", f"""
+WITH {P_SQL} SELECT asset_id, ts, arg_max(price, struct_pack(a := tie % 3 = 0, b := tie)) AS price FROM p GROUP BY 1, 2""", as_text=("ts",))
+def set2_buckets(spark, sf):
+    rows, kept = p(spark, sf), _prices(scratch_path(spark, "upserted"))
+    for part in ("tie % 3 <> 0", "tie % 3 = 0"):
+        merge(kept, rows.filter(part))
+    return current(spark, kept).drop("tie")
 
 
 @query("stm2_sustained_errors", """
@@ -38,13 +53,17 @@ WITH c AS (SELECT time_bucket(INTERVAL 2 HOUR, ts) AS window_start, count(*) AS
 h AS (SELECT * FROM c WHERE n > 5)
 SELECT h.window_start, h.n FROM h JOIN h prev ON prev.window_start = h.window_start - INTERVAL 2 HOUR""", as_text=("window_start",))
 def stm2(spark, sf):
-    out = scratch_path(spark, "error-windows")
-    errors = _events(spark, sf).filter(F.col("event_type") == "error")
-    alerts, schema = scratch_path(spark, "error-alerts"), "window_start TIMESTAMP, n BIGINT"
-    ss.run_with_alerts(
-        ss.window_counts(errors, "ts", "2 hours", LATENESS), out, alerts, scratch_path(spark, "checkpoint"),
-        ["window_start"], schema, lambda counts: ss.sustained(counts, 7200, threshold=5), reach=7200)
-    return ss.newest_version(spark, alerts, ["window_start"], schema)
+    alerts = scratch_path(spark, "error-alerts")
+    events = _events(spark, sf).select("ts", "event_type")
+    # A heartbeat after the last event lets the watermark pass every window.
+    last = ss.event_time(table(spark, sf, "events"), "ts").agg(F.max("ts").alias("ts"))
+    beats = scratch_path(spark, "heartbeat")
+    last.select((F.col("ts") + F.expr(f"INTERVAL {LATENESS} + INTERVAL 1 DAY")).alias("ts"),
+                F.lit("heartbeat").alias("event_type")).write.parquet(beats)
+    both = events.unionByName(ss.stream_files(spark, beats, "*.parquet", events.schema))
+    found = ss.sustained_stream(both, "ts", F.col("event_type") == "error", 7200, LATENESS, threshold=5)
+    ss.run_to_files(found, alerts, scratch_path(spark, "checkpoint"))
+    return spark.read.schema("window_start TIMESTAMP, n BIGINT").parquet(alerts)
 
 
 @query("stm3_latency_p95", """
@@ -73,7 +92,8 @@ def stm4(spark, sf):
 SELECT user_id, ts, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
        as_text=("ts",))
 def stm5(spark, sf):
-    out = scratch_path(spark, "latest")
-    latest = ss.latest_per_asset(_events(spark, sf), "user_id", "ts", ["event_type", "value"], "event_id")
-    ss.run_to_table(latest, out, scratch_path(spark, "checkpoint"))
-    return ss.newest_version(spark, out, ["user_id"], "user_id BIGINT, ts TIMESTAMP, event_type STRING, value DOUBLE")
+    kept = BucketTable(
+        scratch_path(spark, "latest"), "user_id BIGINT, ts TIMESTAMP, event_id BIGINT, event_type STRING, value DOUBLE",
+        ("user_id",), ("ts", "event_id"), newer_batch_wins=False)
+    ss.run_into_buckets(_events(spark, sf), kept, scratch_path(spark, "checkpoint"))
+    return current(spark, kept).drop("event_id")

@@ -1,7 +1,9 @@
 """Continuous forms: upsert ingest, alert windows, dedupe, latest value.
 
-Each streaming query publishes through ``run_to_table``: a micro-batch writes
-its own folder, replaced if the batch is retried, and readers keep the newest
+Series and latest values are kept in a ``BucketTable``: a micro-batch rewrites only the
+buckets that it touches. Alerts on counts are a stream of their own, two windows in a
+chain, without a look at earlier output. ``run_to_table`` publishes a log: a micro-batch
+writes its own folder, replaced if the batch is retried, and readers keep the newest
 version of each key. No driver state, and a lost executor only re-runs a task.
 """
 
@@ -9,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.quantiles import exact_quantiles
+from seriesloom.sources.bucket_table import BucketTable, merge
 from seriesloom.sources.writers import safe_replace
 
 # ---- Fixed values ------------------------------------------------------------
@@ -47,6 +50,33 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "update"
     query.awaitTermination()
 
 
+def run_into_buckets(df: DataFrame, table: BucketTable, checkpoint: str) -> None:
+    """Merge everything available into ``table``; a retried micro-batch changes nothing."""
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        merge(table, batch, checkpoint, batch_id)
+
+    query = (
+        df.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> int:
+    """Append final rows to ``path``, each once; returns what came too late.
+
+    Counted as the engine reports it: rows that a stateful step refused, after those of
+    one task and one group were combined.
+    """
+    query = (
+        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def run_with_alerts(
     df: DataFrame, path: str, alerts: str, checkpoint: str, keys: list[str], schema: str,
     rule: Callable[[DataFrame], DataFrame], reach: int,
@@ -152,6 +182,26 @@ def sustained(counts: DataFrame, width_seconds: int, threshold: int = ERROR_THRE
     ).select("window_start", "n")
 
 
+def sustained_stream(df: DataFrame, ts: str, counted: Column, width_seconds: int, lateness: str,
+                     threshold: int = ERROR_THRESHOLD, in_a_row: int = ERROR_WINDOWS_IN_A_ROW) -> DataFrame:
+    """``sustained`` as a stream: counted windows feed a second, sliding one.
+
+    An alert is emitted once, when the watermark has passed it. Rows that are not
+    ``counted``, such as heartbeats, still move the watermark, which closes windows
+    while there are no errors.
+    """
+    width, reach = f"{width_seconds} seconds", f"{width_seconds * in_a_row} seconds"
+    # Counted inside the aggregate: a filter would be pushed below the watermark and
+    # take the heartbeats away.
+    timed = df.withWatermark(ts, lateness).groupBy(F.window(ts, width)).agg(F.count_if(counted).alias("n"))
+    high = timed.filter(F.col("n") > threshold)
+    votes = high.select(F.window_time("window").alias("at"), F.col("window.start").alias("window_start"), "n")
+    runs = votes.groupBy(F.window("at", reach, width)).agg(
+        F.count("*").alias("_v"), F.max("window_start").alias("window_start"), F.max_by("n", "window_start").alias("n")
+    )
+    return runs.filter(F.col("_v") == in_a_row).select("window_start", "n")
+
+
 def window_values(df: DataFrame, ts: str, value: str, width: str, lateness: str) -> DataFrame:
     """Value counts per tumbling window: state splits by value, so no window is hot.
 

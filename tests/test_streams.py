@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from seriesloom.sources.bucket_table import BucketTable, current
 from seriesloom.streaming import series_streams as ss
 
 T0 = dt.datetime(2024, 1, 1)
@@ -45,6 +46,43 @@ def test_alerts_are_raised_inside_the_stream(spark, tmp_path):
     assert seen == [{}, {60: 2}, {60: 2}, {60: 3, 360: 2}]
 
 
+def test_alerts_by_chained_windows(spark, tmp_path):
+    """Each alert comes once, when the watermark has passed it; late rows are counted, not used."""
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    schema, seen, late = "ts TIMESTAMP, kind STRING", [], []
+
+    def run(seconds, kind="error"):
+        rows = [(T0 + dt.timedelta(seconds=s), kind) for s in seconds]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        found = ss.sustained_stream(
+            ss.stream_files(spark, src, "*.parquet", schema), "ts", F.col("kind") == "error", 60, "60 seconds")
+        late.append(ss.run_to_files(found, out, cp))
+        rows = spark.read.schema("window_start TIMESTAMP, n BIGINT").parquet(out).collect()
+        seen.append(sorted(((r["window_start"] - T0).seconds, r["n"]) for r in rows))
+
+    run([0, 1, 61, 62, 63, 121, 122, 300, 301])
+    run([400], "heartbeat")
+    run([2, 3])
+    run([420, 421, 480, 481])
+    run([1000], "heartbeat")
+    assert seen == [[(60, 3), (120, 2)]] * 4 + [[(60, 3), (120, 2), (480, 2)]]
+    assert late[0] == 0 and late[2] > 0 and late[3] == 0
+
+
+def test_stream_into_buckets_matches_the_log(spark, tmp_path):
+    schema = "asset_id STRING, ts DATE, price DOUBLE, tie BIGINT"
+    src, cp, cp2 = (str(tmp_path / n) for n in ("src", "cp", "cp2"))
+    kept = BucketTable(str(tmp_path / "kept"), schema, ("asset_id", "ts"), ("tie",), ("asset_id", "year(ts)"), buckets=8)
+    days = [dt.date(2023, 1, 1) + dt.timedelta(days=200 * i) for i in range(5)]
+    for turn in range(3):
+        rows = [(f"a{i}", d, float(turn * 100 + i), t) for i in range(6) for d in days[turn:turn + 3] for t in (2, 1)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        ss.run_into_buckets(ss.stream_files(spark, src, "*.parquet", schema), kept, cp)
+        ss.ingest_prices(ss.stream_files(spark, src, "*.parquet", schema), str(tmp_path / "log"), cp2)
+    got = {tuple(r) for r in current(spark, kept).drop("tie").collect()}
+    assert got == {tuple(r) for r in ss.merged_prices(spark, str(tmp_path / "log"), schema).collect()} and len(got) == 30
+
+
 def rows_at(spark, seconds, values=None):
     values = values or [1.0] * len(seconds)
     rows = [(T0 + dt.timedelta(seconds=s), v) for s, v in zip(seconds, values)]
