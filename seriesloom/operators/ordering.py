@@ -56,13 +56,14 @@ def picked_rows(df: DataFrame, by: list[str], rest: list[str], order: list[str |
     """Per group the row that is last (or first) by ``order``, reduced before the shuffle.
 
     ``order`` tells the rows of a group apart. Columns of fixed width are picked one by
-    one by the same key; with a text or nested column the row travels as a struct.
+    one by the same packed key; otherwise the row travels as a struct.
     """
     pick, key = (F.max_by if last else F.min_by), packed_order(df, order)
     if not rest:
         return df.select(*by).distinct()
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    if all(isinstance(kinds[c], _FIXED) for c in rest):
-        keyed = df.select(*by, *rest, key.alias("_key"))
+    keyed = df.select(*by, *rest, key.alias("_key"))
+    narrow = len(rest) == 1 or isinstance(keyed.schema["_key"].dataType, T.DecimalType)
+    if narrow and all(isinstance(kinds[c], _FIXED) for c in rest):
         return keyed.groupBy(*by).agg(*[pick(c, "_key").alias(c) for c in rest])
     return df.groupBy(*by).agg(pick(F.struct(*rest), key).alias("_row")).select(*by, "_row.*")
