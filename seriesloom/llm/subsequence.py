@@ -10,7 +10,9 @@ table with a weight for each subsequence, and scoring a string is a sum of look-
 Sentences are scored by their strings, and documents by their worst strings, weighed
 against how many they hold. Labels mark documents, not sentences: strings are blamed
 that begin or contain runs of letters typical of toxic documents, each as often as it
-occurs in toxic and in clean ones.
+occurs in toxic and in clean ones. A toxic document without a typical run blames the
+strings with the best smoothed log-odds; after each training round it blames only the
+one that the kernel machine then finds worst (multiple-instance turns).
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ DECAY = 0.6         # factor for each letter of a gap
 LETTERS = 32        # 0 pads, 1-26 letters, 27-29 other scripts by hash, 30 word start, 31 digits
 WINDOW = 24         # longer strings are read in windows of this length, half overlapping
 LANDMARKS = 96
+RARE = 256          # at most so many more for runs too rare to be typical
 TAMPERED = 0.02     # weight of insults with an inserted letter, made up for training
 
 _STEPS = [(0, *c) for c in itertools.combinations(range(1, SPAN), LENGTH - 1)]
@@ -220,24 +223,34 @@ def _runs(w: str) -> set[str]:
 
 
 def _different(bags: list[set[str]]) -> list[int]:
-    """Places of documents that do not nearly repeat an earlier one: copies prove nothing."""
-    seen: set[tuple] = set()
+    """Places of documents that do not nearly repeat an earlier one: copies prove nothing.
+
+    Earlier documents with an equal triple of least hashes are compared whole: copies
+    share four of five strings.
+    """
+    seen: dict[tuple, list[int]] = {}
     kept = []
     for i, bag in enumerate(bags):
-        rare = [s for s in bag if len(s) >= 8]
-        marks = {(k, min((xxhash.xxh64_intdigest(s, k) for s in rare), default=i)) for k in range(6)}
-        if len(marks & seen) < 3:
+        least = [min((xxhash.xxh64_intdigest(s, k) for s in bag), default=0) for k in range(12)]
+        bands = [(k, *least[k:k + 3]) for k in range(0, 12, 3)]
+        near = dict.fromkeys(j for band in bands for j in seen.get(band, ()))
+        if not any(len(bag & bags[j]) >= 0.8 * len(bag | bags[j]) for j in near):
             kept.append(i)
-        seen |= marks
+            for band in bands:
+                seen.setdefault(band, []).append(i)
     return kept
 
 
-def _typical(bags: list[set[str]], y: np.ndarray) -> dict[str, float]:
-    """Runs of letters found in 2 % of toxic documents and four times as often as in clean ones."""
+def _counted(bags: list[set[str]], y: np.ndarray) -> list[Counter]:
+    """Clean and toxic documents by run of letters."""
     count = [Counter(), Counter()]
     for bag, mark in zip(bags, y):
         count[mark].update({g for s in bag for w in windows(s) for g in _runs(w)})
-    n1, n0 = max(int(y.sum()), 1), max(int((y == 0).sum()), 1)
+    return count
+
+
+def _typical(count: list[Counter], n0: int, n1: int) -> dict[str, float]:
+    """Runs of letters found in 2 % of toxic documents and four times as often as in clean ones."""
     value = {}
     for g, c in count[1].items():
         usual = (count[0][g] + 0.5) / n0
@@ -248,6 +261,35 @@ def _typical(bags: list[set[str]], y: np.ndarray) -> dict[str, float]:
     return {g: value[g] for g in best}
 
 
+def _rare(bags: list[list[str]], count: list[Counter], n0: int, n1: int) -> dict[str, float]:
+    """Runs that mark toxic documents in which none is typical: the best of two strings of each.
+
+    Ranked by smoothed log-odds, and only where they are more than half of the toxic
+    documents: a few without a typical run may be mislabelled. The evidence asked for is
+    loosened, from runs of three documents to runs of one, until nine of ten have one.
+    """
+    if len(bags) <= n1 / 2:
+        return {}
+    odds = {}
+    for words in bags:
+        best = {}
+        for w in words:
+            for g in _runs(w):
+                if g not in odds:
+                    odds[g] = float(np.log((count[1][g] + 0.5) / (n1 + 1) * (n0 + 1) / (count[0][g] + 0.5)))
+            best[w] = max(_runs(w), key=lambda g: (odds[g], count[1][g], len(g), g), default=None)
+        top = sorted((w for w in best if best[w]), key=lambda w: (-odds[best[w]], -count[1][best[w]], w))[:2]
+        for w in top:
+            odds[best[w], "taken"] = odds[best[w]]
+    taken = {g[0]: v for g, v in odds.items() if isinstance(g, tuple)}
+    marked = [set().union(*map(_runs, words)) for words in bags]
+    for least in (3, 2, 1):
+        firm = {g: v for g, v in taken.items() if count[1][g] >= least and v >= np.log(4)}
+        if sum(not firm.keys().isdisjoint(m) for m in marked) >= 0.9 * len(bags):
+            return firm
+    return taken
+
+
 def _suspects(toxic: Counter, typical: dict[str, float], most: int) -> list[str]:
     """Landmarks: strings of toxic documents with the most typical runs, two for each run."""
     best = {w: max((g for g in _runs(w) if g in typical), key=lambda g: (typical[g], g), default="") for w in toxic}
@@ -268,11 +310,17 @@ def fit(bags: list[set[str]], y: np.ndarray, share: float, turns: int = 2, seed:
     every, marks = bags, y
     alone = _different(bags)
     bags, y = [bags[i] for i in alone], y[alone]
-    typical = _typical(bags, y)
+    d1, d0 = int((y == 1).sum()), int((y == 0).sum())
+    count = _counted(bags, y)
+    typical = _typical(count, max(d0, 1), max(d1, 1))
     toxic, plain = Counter(), Counter()
     for bag, mark in zip(bags, y):
         (toxic if mark else plain).update({w for s in bag for w in windows(s)})
     suspects = _suspects(toxic, typical, LANDMARKS // 2)
+    cut_up = [sorted({w for s in bag for w in windows(s)}) for bag, mark in zip(bags, y) if mark]
+    open_bags = [c for c in cut_up if all(typical.keys().isdisjoint(_runs(w)) for w in c)]
+    rare = _rare(open_bags, count, d0, d1)
+    suspects += [w for w in _suspects(Counter({w: toxic[w] for c in open_bags for w in c}), rare, RARE) if w not in suspects]
     if not suspects:
         return _constant(int(round(share * (n1 + n0))), n1 + n0 - int(round(share * (n1 + n0))))
     rng = np.random.default_rng(seed)
@@ -317,7 +365,9 @@ def fit(bags: list[set[str]], y: np.ndarray, share: float, turns: int = 2, seed:
     # Blamed strings weigh by the toxic documents they are in; the others by the clean
     # ones, at the odds of the classes: strings with typical runs, common ones, those
     # like the suspects, and a draw.
-    blamed = sorted(w for w in toxic if not typical.keys().isdisjoint(_runs(w)))
+    in_open = {w for c in open_bags for w in c}
+    maybe = {w for w in in_open if not rare.keys().isdisjoint(_runs(w))}
+    blamed = sorted(maybe | {w for w in toxic if not typical.keys().isdisjoint(_runs(w))})
     doubtful = [w for w in others if not typical.keys().isdisjoint(_runs(w))]
     drawn = [others[i] for i in rng.permutation(len(others))[:1500]]
     negative = list(dict.fromkeys([*common[:600], *doubtful[::max(1, len(doubtful) // 1500)], *hard, *drawn]))
@@ -327,6 +377,14 @@ def fit(bags: list[set[str]], y: np.ndarray, share: float, turns: int = 2, seed:
     cost1 = np.r_[[10.0 * toxic[w] for w in blamed], [10.0 * TAMPERED] * len(altered)]
     raw = None
     for _ in range(turns + 1):
+        if raw is not None and maybe:
+            # Blame again: of each open document only the string that is worst now.
+            margin = dict(zip(blamed, raw.margins(blamed).tolist()))
+            worst_of = [max((w for w in c if w in maybe), key=lambda w: (margin[w], w), default=None) for c in open_bags]
+            left = maybe - set(worst_of)
+            stays = np.r_[[w not in left for w in blamed], np.ones(len(x1) - len(blamed), bool)]
+            x1, cost1 = x1[stays], cost1[stays]
+            blamed, maybe = [w for w in blamed if w not in left], maybe - left
         x = np.vstack([x1, x0])
         sign = np.r_[np.ones(len(x1)), -np.ones(len(x0))]
         cost = np.r_[cost1, [max(10.0 * odds * plain[w], 0.5) for w in negative]]

@@ -280,6 +280,35 @@ def test_insults_with_gaps_and_inserted_letters():
     assert sum(score(w) >= 0.5 for w in clean[:300]) <= 3
 
 
+@pytest.mark.parametrize("insults, recall", [(30, 0.5), (60, 0.25), (120, 0.3)])
+def test_many_rare_insults(insults, recall):
+    """Every insult is rare, some are tampered with: still no constant model."""
+    rng = random.Random(5)
+    syllables = [a + b for a in "bcdfghklmnprst" for b in "aeiou"]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(6000)]
+    odds = [1 / (i + 5) for i in range(6000)]
+    bad = ["".join(rng.choice("bcdfgjklmnpqrstvwxz") + rng.choice("aeiouy") for _ in range(3)) + rng.choice("xzkq") for _ in range(insults)]
+    bags = []
+    for i in range(1500):
+        bag = set(rng.choices(words, odds, k=rng.randint(20, 60)))
+        if i % 4 == 0:
+            insult = rng.choice(bad)
+            if rng.random() < 0.3:
+                k = rng.randint(2, len(insult) - 1)
+                insult = insult[:k] + rng.choice("aeinorst") + insult[k:]
+            bag.add(insult)
+        bags.append(bag)
+    y = np.array([int(i % 4 == 0) for i in range(1500)])
+    model = subsequence.fit(bags[:1200], y[:1200], 0.25)
+    got = []
+    for bag in bags[1200:]:
+        margins = sorted((float(model.margins(subsequence.windows(w)).max()) for w in bag), reverse=True)
+        got.append(model.probability(margins[:subsequence.WORST], len(bag)))
+    toxic, found = y[1200:] == 1, np.array(got) >= 0.5
+    assert len(set(got)) > 10
+    assert found[toxic].mean() >= recall and found[~toxic].mean() <= 0.15
+
+
 # ---- pipeline -------------------------------------------------------------------------
 
 
