@@ -105,23 +105,48 @@ def remove_outliers(
 
 def fill_limited(
     df: DataFrame, method: str = "linear", limit: int = 5,
-    asset: str = "asset_id", ts: str = "ts", price: str = "price",
+    asset: str = "asset_id", ts: str = "ts", price: str = "price", block_days: int = 32,
 ) -> DataFrame:
     """Fill at most ``limit`` missing rows of each gap, then drop what is left.
 
     Linear spacing is by row. Forward and linear fill from the left edge (a
-    trailing gap repeats the last value), backfill from the right. Input holds
-    one row per asset and day, so a partition is bounded by the calendar.
+    trailing gap repeats the last value), backfill from the right. Works on raw rows:
+    an asset is scanned in blocks of ``block_days``, each a window partition of its own,
+    and one row a block carries the nearest known prices across block edges. Rows
+    without a time form the first block.
     """
-    w = Window.partitionBy(asset).orderBy(ts)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     known = F.col(price).isNotNull()
-    rn = df.withColumn("_rn", F.row_number().over(w))
-    marks = rn.withColumns({
-        "_left": F.last(price, True).over(before),
-        "_right": F.first(price, True).over(after),
-        "_left_rn": F.last(F.when(known, F.col("_rn")), True).over(before),
-        "_right_rn": F.first(F.when(known, F.col("_rn")), True).over(after),
+    span = F.floor(F.col(ts).cast("timestamp").cast("long") / (86_400 * block_days))
+    rows = df.withColumn("_block", F.coalesce(span, F.lit(-(1 << 62))))
+    w = Window.partitionBy(asset, "_block").orderBy(ts)
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(known, F.struct(F.col(price).alias("p"), F.col("_in").alias("n")))
+    inside = rows.withColumn("_in", F.row_number().over(w)).withColumns({
+        "_before": F.last(at, True).over(before), "_after": F.first(at, True).over(after),
+    })
+    edges = inside.groupBy(F.col(asset).alias("_asset"), F.col("_block").alias("_b")).agg(
+        F.count("*").alias("_n"), F.min_by(at, F.when(known, F.col("_in"))).alias("_first"),
+        F.max_by(at, F.when(known, F.col("_in"))).alias("_last"),
+    )
+    blocks = Window.partitionBy("_asset").orderBy("_b")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    later = blocks.rowsBetween(1, Window.unboundedFollowing)
+
+    def moved(c: str) -> Column:
+        """The edge with its place counted in the asset, not in its block."""
+        place = F.struct(F.col(c)["p"].alias("p"), (F.col(c)["n"] + F.col("_start")).alias("n"))
+        return F.when(F.col(c).isNotNull(), place)
+
+    carried = edges.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
+        "_asset", "_b", "_start", F.last(moved("_last"), True).over(earlier).alias("_carry"),
+        F.first(moved("_first"), True).over(later).alias("_ahead"),
+    )
+    same = F.col(asset).eqNullSafe(F.col("_asset")) & (F.col("_block") == F.col("_b"))
+    marks = inside.join(carried, same).withColumns({
+        "_l": F.coalesce(moved("_before"), F.col("_carry")), "_r": F.coalesce(moved("_after"), F.col("_ahead")),
+    }).withColumns({
+        "_rn": F.col("_in") + F.col("_start"), "_left": F.col("_l.p"), "_right": F.col("_r.p"),
+        "_left_rn": F.col("_l.n"), "_right_rn": F.col("_r.n"),
     })
     from_left = F.col("_rn") - F.col("_left_rn")
     from_right = F.col("_right_rn") - F.col("_rn")

@@ -61,6 +61,24 @@ def test_limited_fill(spark, method, want):
     assert prices(cleaning.fill_limited(days(spark, values), method, 2)) == want
 
 
+@pytest.mark.parametrize("method", ["linear", "forward", "backfill"])
+def test_limited_fill_across_blocks(spark, method):
+    """Blocks of any length give what one block gives, gaps over several blocks and rows without a time included."""
+    rng = np.random.default_rng(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = [
+        (a, start + dt.timedelta(hours=7 * i), float(rng.integers(1, 90)) if rng.random() < 0.25 else None)
+        for a in ("a", "b", None) for i in range(120)
+    ] + [("a", None, 5.0), ("c", start, None), ("d", start, 1.0)]
+    df = spark.createDataFrame(rows, "asset_id STRING, ts TIMESTAMP, price DOUBLE")
+
+    def filled(days):
+        got = cleaning.fill_limited(df, method, 9, block_days=days).collect()
+        return sorted(((r["asset_id"] or "", str(r["ts"]), round(r["price"], 9)) for r in got))
+
+    assert filled(1) == filled(3) == filled(10_000) and len(filled(1)) > 200
+
+
 def test_limited_fill_like_pandas(spark):
     import pandas as pd
 
