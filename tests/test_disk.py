@@ -5,12 +5,13 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalog import registry
-from seriesloom.operators import cleaning
+from seriesloom.operators import cleaning, grid
 from seriesloom.operators import features as ft
 from seriesloom.plans import features_plan
-from seriesloom.session import DROP_SHUFFLE
+from seriesloom.session import DROP_SHUFFLE, SMALL_TASKS, small_tasks
 
 SF = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 1)
@@ -81,3 +82,40 @@ def test_shared_sort_needs_the_grid_of_one_block(spark):
     assert "_block" not in ft.add_features(df).columns + ft.add_ema(df).columns
     assert [r["price_lag_30"] for r in shared] == [r["price_lag_30"] for r in lags]
     assert [r["ema_20"] for r in shared] == [r["ema_20"] for r in ema]
+
+
+def sparse_rows(spark):
+    rows = [(a, DAY + dt.timedelta(days=100 * i), float(a + i + 1), i) for a in range(40) for i in range(30)]
+    return spark.createDataFrame(rows, "asset_id long, ts date, price double, tie int")
+
+
+def test_tasks_hold_a_bounded_part_of_the_grid(spark, monkeypatch):
+    # 1200 rows read become 116 040 of the grid.
+    monkeypatch.setattr(grid, "ROWS_A_TASK", 10_000)
+    made = features_plan.daily_prices(sparse_rows(spark), ["tie"], passes=2)
+    sizes = [r["count"] for r in made.withColumn("_task", F.spark_partition_id()).groupBy("_task").count().collect()]
+    assert sum(sizes) == 40 * 2901 and max(sizes) <= 40_000
+    whole = features_plan.daily_prices(sparse_rows(spark), ["tie"])
+    assert sorted(made.collect()) == sorted(whole.collect())
+
+
+def test_tasks_follow_the_grid_to_come(spark):
+    df, least = sparse_rows(spark), spark.sparkContext.defaultParallelism
+    assert grid.tasks_for(df, rows_a_task=5_802) == max(20, least)
+    assert grid.tasks_for(df, "W", rows_a_task=829) == max(21, least)  # 415 weeks an asset
+    assert grid.tasks_for(df, rows_a_task=1) == 40  # no more than assets
+    assert grid.tasks_for(df, min_rows=31) == 1
+    one = spark.createDataFrame([(None, None), (1, None), (2, DAY)], "asset_id long, ts date")
+    assert grid.tasks_for(one, rows_a_task=1) == 3
+
+
+def test_small_tasks_leave_smaller_settings(spark):
+    files, merged = SMALL_TASKS
+    before = spark.conf.get(files), spark.conf.get(merged)
+    spark.conf.set(files, "1m")
+    try:
+        with small_tasks(spark):
+            assert (spark.conf.get(files), spark.conf.get(merged)) == ("1048576b", f"{SMALL_TASKS[merged]}b")
+        assert (spark.conf.get(files), spark.conf.get(merged)) == ("1m", before[1])
+    finally:
+        spark.conf.set(files, before[0])
